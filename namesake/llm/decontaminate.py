@@ -110,6 +110,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
     tokens = F.regexp_extract_all("text", F.lit(plain), F.lit(0))
     gaps = F.split("text", plain, -1)
     inside = lambda i: F.exists("_hit_spans", lambda s: (s["pos"] <= i) & (i < s["end"]))
-    left = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.when(~inside(i), F.get(tokens, i)), F.lit(""))))
+    pairs = F.zip_with(gaps, tokens, lambda g, t: F.struct(g.alias("gap"), t.alias("word")))
+    left = F.transform(pairs, lambda x, i: F.concat(x["gap"], F.coalesce(F.when(~inside(i), x["word"]), F.lit(""))))
     cut = docs.join(hits, same, "left")
     return cut.select(*[F.when(F.col("_hit_spans").isNull(), F.col("text")).otherwise(F.array_join(left, "")).alias("text") if c == "text" else docs[c] for c in docs.columns])
