@@ -7,8 +7,11 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 SLICE_CHARS = 1 << 21
 
@@ -44,7 +47,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
     for batch in batches:
         sizes = batch.column(batch.schema.get_field_index(text))
         start = total = 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(sizes), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(sizes), 0).to_pylist()
         for i, n in enumerate(lengths):
             if total and total + n > limit:
                 yield batch.slice(start, i - start)
@@ -60,19 +63,14 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
     make runs once in each task and returns a function from {column: list} to {column: list or array};
     null texts arrive as None. Only `columns` are read, so other columns of any name do no harm.
     """
-    out = pa.schema([])
+    out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        nonlocal out
         work = make()
         for part in slices(batches):
             got = work({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    out = to_arrow_schema(_parse_datatype_string(schema))
     return docs.select(*columns).mapInArrow(run, schema)
 
 

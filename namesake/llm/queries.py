@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
-from . import decontaminate, sharding
-from .common import read
+from pyspark.sql import functions as F
+
+from . import decontaminate, language_id, packing, sharding, token_counts
+from .common import held_out, read
 from .sql import BENCHMARK_SQL
 
 
+def op1_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"))
+
+
+def op4_best_fit_packing(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 3, 1)
+    found = language_id.identify(docs, language_id.labelled_sample(docs, ~out))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_decontaminate(spark, sf_dir):
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -16,6 +33,9 @@ def op10_jump_shard(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
     "op10_jump_shard": op10_jump_shard,
 }
