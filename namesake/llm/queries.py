@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, packing, sharding, token_counts
+from . import decontaminate, language_id, packing, quality, sharding, token_counts, toxicity
 from .common import held_out, read
 from .sql import BENCHMARK_SQL
 
@@ -13,10 +13,20 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark, sf_dir):
+    out = held_out(F.col("doc_id"), 4, 2)
+    found = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~out)
+    return found.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark, sf_dir):
+    return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_language_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 3, 1)
@@ -34,7 +44,9 @@ def op10_jump_shard(spark, sf_dir):
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_toxicity": op2_toxicity,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
     "op10_jump_shard": op10_jump_shard,
