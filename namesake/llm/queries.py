@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, packing, quality, sharding, token_counts, toxicity
+from . import decontaminate, language_id, packing, pii, quality, sharding, token_counts, toxicity
 from .common import held_out, read
 from .sql import BENCHMARK_SQL
 
@@ -38,6 +38,10 @@ def op7_decontaminate(spark, sf_dir):
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_pii(spark, sf_dir):
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def op10_jump_shard(spark, sf_dir):
     return sharding.shard(read(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
+    "op8_pii": op8_pii,
     "op10_jump_shard": op10_jump_shard,
 }
 
