@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, packing, pii, quality, sharding, token_counts, toxicity
+from . import decontaminate, language_id, near_dups, packing, pii, quality, sharding, token_counts, toxicity
 from .common import held_out, read
-from .sql import BENCHMARK_SQL
+from .sql import BENCHMARK_SQL, NEAR_DUPS_SQL
 
 
 def op1_token_counts(spark, sf_dir):
@@ -42,6 +42,10 @@ def op8_pii(spark, sf_dir):
     return pii.report(read(spark, sf_dir, "documents"))
 
 
+def op9_near_dups(spark, sf_dir):
+    return near_dups.find(read(spark, sf_dir, "documents"))
+
+
 def op10_jump_shard(spark, sf_dir):
     return sharding.shard(read(spark, sf_dir, "documents"))
 
@@ -54,9 +58,11 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
     "op8_pii": op8_pii,
+    "op9_near_dups": op9_near_dups,
     "op10_jump_shard": op10_jump_shard,
 }
 
 ORACLE = {
     "op7_decontaminate": BENCHMARK_SQL,
+    "op9_near_dups": NEAR_DUPS_SQL,
 }
