@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Fixed value: a word is a run of characters outside this ASCII class (letters are lower-cased first).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,7 +69,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
         lambda s, x: F.struct(F.greatest(s["end"], x["end"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(s["end"], x["pos"]))).cast("long").alias("n")),
         lambda s: s["n"],
     )
-    per_doc = per_doc.withColumn("n_hit", covered)
+    per_doc = materialize(per_doc.withColumn("n_hit", covered))  # small; read three times below
     clean = per_doc.filter(F.size("windows") == 0).withColumn("items", F.array().cast("array<string>"))
     names = wanted.select("window", F.explode("items").alias("item"))
     names = F.broadcast(names) if size <= BROADCAST_WINDOWS else names
