@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_dups, packing, pii, quality, sharding, token_counts, toxicity
+from . import decontaminate, language_id, near_dups, packing, pii, pitman_yor, quality, sharding, token_counts, toxicity
 from .common import held_out, read
 from .sql import BENCHMARK_SQL, NEAR_DUPS_SQL
 
@@ -19,6 +19,10 @@ def op2_toxicity(spark, sf_dir):
     return found.select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op3_pitman_yor(spark, sf_dir):
+    return pitman_yor.score(read(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7, 2))
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_jump_shard(spark, sf_dir):
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
+    "op3_pitman_yor": op3_pitman_yor,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
