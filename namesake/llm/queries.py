@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from . import decontaminate, language_id, near_dups, packing, pii, pitman_yor, quality, sharding, token_counts, toxicity
@@ -65,6 +66,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_near_dups": op9_near_dups,
     "op10_jump_shard": op10_jump_shard,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {
