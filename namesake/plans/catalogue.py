@@ -110,3 +110,6 @@ SELECT person_id, pmid, assertion FROM a WHERE o > 2 AND n > 2 UNION ALL SELECT
 )
 def _trimmed(t):
     return trimmed_assertions(_cand(t))
+
+
+from . import report_queries  # noqa: E402, F401  (registers its queries)
