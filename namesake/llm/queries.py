@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, language_id, near_dups, packing, pii, pitman_yor, quality, sharding, token_counts, toxicity
 from .common import held_out, read
-from .sql import BENCHMARK_SQL, NEAR_DUPS_SQL
+from .sql import BENCHMARK_SQL, NEAR_DUPS_SQL, SHARDS_SQL
 
 
 def op1_token_counts(spark, sf_dir):
@@ -72,4 +72,5 @@ QUERIES = {
 ORACLE = {
     "op7_decontaminate": BENCHMARK_SQL,
     "op9_near_dups": NEAR_DUPS_SQL,
+    "op10_jump_shard": SHARDS_SQL,
 }

@@ -44,3 +44,24 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
        d.doc_id = least(d.doc_id, coalesce(c.b, d.doc_id)) AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 """
+
+#: The slots are those of tables up to salts_for's first step, whose shards are numbered in one part.
+SHARDS_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(v ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+hexed AS (SELECT row_number() OVER () AS rid, doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 8 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+crc AS (
+  SELECT rid, doc_id, size,
+         xor(list_reduce(list_concat([4294967295::UBIGINT], [('0x' || h[2 * k + 1:2 * k + 2])::UBIGINT FOR k IN range(size - 8)]),
+                         lambda c, b: xor(tab[(xor(c, b) & 255)::INT + 1], c >> 8)), 4294967295::UBIGINT)::BIGINT AS text_crc32
+  FROM hexed, tab),
+jump AS (
+  SELECT rid, (CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END)::UHUGEINT AS k, -1::BIGINT AS b, 0::BIGINT AS j FROM hexed
+  UNION ALL
+  SELECT rid, k2, j, floor((j + 1) * (2147483648.0::DOUBLE / ((k2 // 8589934592)::DOUBLE + 1)))::BIGINT
+  FROM (SELECT rid, (k * 2862933555777941757 + 1) % 18446744073709551616 AS k2, j FROM jump WHERE j < 24)),
+ends AS (SELECT rid, b::INT AS shard, CASE WHEN j = 24 THEN 24 ELSE b END::INT AS grown_shard FROM jump WHERE j >= 24)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32) - 1 AS slot, grown_shard
+FROM crc JOIN ends USING (rid)
+"""
