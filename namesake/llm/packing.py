@@ -6,6 +6,7 @@ import bisect
 import os
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import map_texts, materialize, number_within, salts_for
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 800_000
+CACHE = 1_200_000
 #: ASCII marks that the tokenizer splits from the letters before them, as one run.
 MARKS = ".,;:!?"
 
@@ -77,16 +78,20 @@ class Encoder:
         return [b"".join(map(get, words)) for words in split]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker, so that what a task has learned serves the next."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and end_id, cut where longer than the capacity."""
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def make():
-        encoder = Encoder(path)
-
         def work(rows):
             out = defaultdict(list)
-            for doc_id, ids in zip(rows["doc_id"], encoder.encode(rows["text"])):
+            for doc_id, ids in zip(rows["doc_id"], encoder(path).encode(rows["text"])):
                 ids += tail
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
