@@ -6,11 +6,11 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts
+from .near_dups import mix
 from .linear import Rows, fit, labelled_ids, sigmoid
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -34,14 +34,41 @@ IDENTITY_TERMS = (
 SWAP = {a: b for kind in IDENTITY_TERMS for a, b in zip(kind, kind[1:] + kind[:1])}
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed features of a lower-case word: itself, its beginnings of 3 to 8 letters, its last 4."""
-    names = ["=" + word, *("^" + word[:k] for k in range(3, min(9, len(word)))), "$" + word[-4:]]
-    return [xxhash.xxh32_intdigest(x) & ((1 << BITS) - 1) for x in names]
+_POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
+LONGEST = 4096
+
+
+def word_features(words: list[str]) -> np.ndarray:
+    """Hashed features of lower-case words, a row each: the word, its beginnings of 3 to 8 letters if it is longer, and
+    its last 4 letters. -1 where there is none. Hashes are sums of code points times powers, so that all beginnings come
+    from one running sum. Of words over LONGEST letters the rest doesn't count."""
+    words = [w[:LONGEST] for w in words]
+    if not words:
+        return np.zeros((0, 8), np.int32)
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64)
+    size = np.array([len(w) for w in words])
+    end = np.cumsum(size)
+    start = end - size
+    place = np.arange(len(codes)) - np.repeat(start, size)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * _POWERS[place])])
+    values = [sums[end] - sums[start]]
+    there = [np.ones(len(words), bool)]
+    for k in range(3, 9):
+        there.append(size > k)
+        values.append(sums[np.minimum(start + k, end)] - sums[start])
+    last = np.zeros(len(words), np.uint64)
+    for j in range(1, 5):
+        last += np.where(size >= j, codes[np.maximum(end - j, start)], 0).astype(np.uint64) * _POWERS[j]
+    values.append(last)
+    there.append(np.ones(len(words), bool))
+    salt = np.arange(1, 9, dtype=np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93)
+    found = (mix(np.stack(values) + salt) >> np.uint64(64 - BITS)).astype(np.int32)
+    return np.where(np.stack(there), found, -1).T
 
 
 def text_features(words: set[str]) -> np.ndarray:
-    return np.array(sorted({f for w in words for f in word_features(w)}), np.int32)
+    found = np.unique(word_features(sorted(words)))
+    return found[found >= 0].astype(np.int32)
 
 
 @dataclass
@@ -52,17 +79,27 @@ class Model:
     intercept: float
 
     def scorer(self):
+        """A function of texts; it keeps which words have a feature that counts."""
         cache: dict[str, tuple[int, ...]] = {}
         weights = self.weights
+        counts = np.zeros(1 << BITS, bool)
+        counts[list(weights)] = True
 
-        def score(text: str | None) -> float:
-            words = set(WORD.findall((text or "").lower()))
+        def score(texts: list[str | None]) -> list[float]:
+            split = [set(WORD.findall((t or "").lower())) for t in texts]
             if len(cache) > 1_000_000:
                 cache.clear()
-            for w in words - cache.keys():
-                cache[w] = tuple(f for f in word_features(w) if f in weights)
-            found = {f for got in map(cache.__getitem__, words) if got for f in got}
-            return float(sigmoid(self.intercept + sum(weights[f] for f in sorted(found))))
+            new = list(set().union(*split) - cache.keys())
+            cache.update(dict.fromkeys(new, ()))
+            features = word_features(new)
+            active = counts[features] & (features >= 0)
+            for k in np.flatnonzero(active.any(1)):
+                cache[new[k]] = tuple(features[k, active[k]].tolist())
+            out = []
+            for words in split:
+                found = {f for got in map(cache.__getitem__, words) if got for f in got}
+                out.append(float(sigmoid(self.intercept + sum(weights[f] for f in sorted(found)))))
+            return out
 
         return score
 
@@ -139,7 +176,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: Column, column: str = "toxic
         one = model.scorer()
 
         def work(rows):
-            scores = [one(t) for t in rows["text"]]
+            scores = one(rows["text"])
             return {"doc_id": rows["doc_id"], "score": scores, "predicted": [int(s >= threshold) for s in scores]}
 
         return work
