@@ -42,6 +42,11 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
+def in_lowest(h: Column, share: Column) -> Column:
+    """Whether a 64-bit hash is in the lowest share (0 to 1) of all hashes."""
+    return h.cast("double") / float(1 << 64) + 0.5 <= share
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of text, one row at least; bounds a task's memory."""
     for batch in batches:

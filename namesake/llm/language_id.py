@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import in_lowest, map_texts
 
 LETTER = re.compile(r"[^\W\d_]")
 #: Segments are parsed side by side; a phrase ends where its segment does.
@@ -120,14 +120,15 @@ class Identifier:
 def labelled_sample(docs: DataFrame, keep: Column, per_language: int = DOCS_PER_LANGUAGE, chars: int = CHARS_PER_DOC) -> dict[str, str]:
     """Of each language, pieces of the per_language labelled texts with the lowest hashes: its rows' number doesn't matter.
 
-    A piece begins at a hashed place. Taken in two steps, so that no task gets more than per_language rows of a part.
+    A piece begins at a hashed place. Rows whose hashes can't be among the lowest go before anything is shuffled: what
+    is left is 8 times as many as are needed.
     """
     known = docs.filter(keep & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
     place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - chars)).cast("int") + 1
+    shares = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(8.0 * per_language) / F.count("*")).alias("share"))  # a row per language
     cut = known.select("lang", F.xxhash64("doc_id", F.lit(1)).alias("h"), F.substring(F.col("text"), place, F.lit(chars)).alias("part"))
-    cut = cut.withColumn("salt", F.pmod(F.col("h"), F.lit(64)))
-    for keys in (["lang", "salt"], ["lang"]):
-        cut = cut.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "part"))).filter(F.col("n") <= per_language)
+    cut = cut.join(F.broadcast(shares), "lang").filter(in_lowest(F.col("h"), F.col("share")))
+    cut = cut.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).filter(F.col("n") <= per_language)
     rows = cut.select("lang", "h", "part").collect()  # bounded by languages, per_language and chars
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h, r.part)):
