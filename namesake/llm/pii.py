@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import in_lowest, map_texts
 from .lstm_crf import Tagger
 
 KINDS = ("email", "ip", "card", "phone")
@@ -238,7 +238,9 @@ def sample(docs: DataFrame, keep: Column | None = None, limit: int = SAMPLE_DOCS
     """Surroundings of the digits and @ of the `limit` documents with the lowest hashes that have any, 4,000 characters each at most."""
     known = docs.filter(F.col("text").rlike("[0-9@]")) if keep is None else docs.filter(keep & F.col("text").rlike("[0-9@]"))
     near = F.array_join(F.regexp_extract_all("text", F.lit(r"(?s).{0,40}[0-9@].{0,40}"), F.lit(0)), "\n")
-    rows = known.select(F.xxhash64("doc_id", F.lit(3)).alias("h"), F.substring(near, 1, 4000).alias("part"))
+    h = F.xxhash64("doc_id", F.lit(3))
+    share = min(1.0, 8 * limit / max(1, known.count()))  # of the hashes; leaves 8 times as many rows as are needed
+    rows = known.filter(in_lowest(h, F.lit(share))).select(h.alias("h"), F.substring(near, 1, 4000).alias("part"))
     return [r.part for r in rows.orderBy("h", "part").limit(limit).collect()]
 
 
