@@ -25,14 +25,14 @@ cum AS (SELECT *, sum(p) OVER (ORDER BY score DESC)::BIGINT AS tp, sum(q) OVER (
 
 # Retrieval
 
-INDEX = SQL + f""", idx AS (
+RETRIEVAL = SQL + f""", idx AS (
   SELECT a.pmid, l || ' ' || f[1] AS lenient, l || ' ' || f AS strict, a.orcid, r.entry_date, r.pub_date
   FROM (SELECT *, {sql.key('last_name')} AS l, {sql.key('first_name')} AS f FROM author) a JOIN article r USING (pmid)),
 ppl AS (SELECT *, l || ' ' || f[1] AS lenient, l || ' ' || f AS strict FROM (SELECT *, {sql.key('last_name')} AS l, {sql.key('first_name')} AS f FROM identity)),
 n1 AS (SELECT lenient, count(DISTINCT pmid) AS n FROM idx GROUP BY lenient), n2 AS (SELECT strict, count(DISTINCT pmid) AS n FROM idx GROUP BY strict),
 dec AS (
-  SELECT p.*, coalesce(n1.n, 0) AS lenient_count, CASE WHEN coalesce(n1.n, 0) > 700 THEN coalesce(n2.n, 0) END AS strict_count,
-         CASE WHEN coalesce(n1.n, 0) <= 700 THEN 'lenient' WHEN coalesce(n2.n, 0) <= 200 THEN 'strict' ELSE 'skipped' END AS query_type
+  SELECT p.*, coalesce(n1.n, 0) AS lenient_count, CASE WHEN coalesce(n1.n, 0) > {{lenient}} THEN coalesce(n2.n, 0) END AS strict_count,
+         CASE WHEN coalesce(n1.n, 0) <= {{lenient}} THEN 'lenient' WHEN coalesce(n2.n, 0) <= {{strict}} THEN 'strict' ELSE 'skipped' END AS query_type
   FROM ppl p LEFT JOIN n1 USING (lenient) LEFT JOIN n2 USING (strict)),
 named AS (
   SELECT DISTINCT d.person_id, i.pmid FROM dec d JOIN idx i ON i.lenient = d.lenient WHERE query_type = 'lenient'
@@ -41,34 +41,59 @@ orc AS (SELECT DISTINCT p.person_id, i.pmid FROM identity p JOIN idx i ON i.orci
 """
 
 
-@query(INDEX + "SELECT person_id, query_type, lenient_count, strict_count FROM dec")
-def retrieval_decisions(t):
-    return retrieve.retrieve_by_name(t.identity, retrieve.author_index(t.article), SITE)[1]
+def index_sql(cfg):
+    """The retrieval's tables at the thresholds."""
+    return RETRIEVAL.replace("{lenient}", str(cfg.lenient_threshold)).replace("{strict}", str(cfg.strict_threshold))
 
 
-@query(INDEX + "SELECT person_id, pmid FROM named")
-def candidates_cascade(t):
-    return retrieve.retrieve_by_name(t.identity, retrieve.author_index(t.article), SITE)[0]
+INDEX, DEFAULT_INDEX = index_sql(SITE), index_sql(Params())
 
 
-@query(INDEX + "SELECT person_id, pmid, 'search' AS source FROM (SELECT * FROM named UNION SELECT * FROM orc) x WHERE NOT EXISTS (FROM link l WHERE l.person_id = x.person_id AND l.pmid = x.pmid)")
-def candidates_orcid_union(t):
-    return retrieve.retrieve(t.identity, t.article, t.link, cfg=SITE)
+DECISIONS = "SELECT person_id, query_type, lenient_count, strict_count FROM dec"
+
+
+@query(INDEX + DECISIONS)
+def retrieval_decisions(t, cfg=SITE):
+    return retrieve.retrieve_by_name(t.identity, retrieve.author_index(t.article), cfg)[1]
+
+
+CASCADE = "SELECT person_id, pmid FROM named"
+
+
+@query(INDEX + CASCADE)
+def candidates_cascade(t, cfg=SITE):
+    return retrieve.retrieve_by_name(t.identity, retrieve.author_index(t.article), cfg)[0]
+
+
+UNION = "SELECT person_id, pmid, 'search' AS source FROM (SELECT * FROM named UNION SELECT * FROM orc) x WHERE NOT EXISTS (FROM link l WHERE l.person_id = x.person_id AND l.pmid = x.pmid)"
+
+
+@query(INDEX + UNION)
+def candidates_orcid_union(t, cfg=SITE):
+    return retrieve.retrieve(t.identity, t.article, t.link, cfg=cfg)
 
 
 def _log(t):
     return t.identity.select("person_id", F.when(F.col("person_id").cast("long") % 3 > 0, F.lit("1997-06-01").cast("date")).alias("last_retrieval_date"), F.when(F.col("person_id").cast("long") % 2 == 0, F.lit("1996-06-01").cast("date")).alias("last_orcid_retrieval_date"))
 
 
-@query(
-    INDEX
-    + """SELECT DISTINCT person_id, pmid, 'search' AS source FROM (
+WINDOW = """SELECT DISTINCT person_id, pmid, 'search' AS source FROM (
   SELECT n.person_id, n.pmid FROM named n JOIN article a USING (pmid) WHERE n.person_id::BIGINT % 3 = 0 OR a.entry_date >= DATE '1997-06-01' OR a.pub_date >= DATE '1997-06-01'
   UNION ALL SELECT o.person_id, o.pmid FROM orc o JOIN article a USING (pmid) WHERE o.person_id::BIGINT % 2 = 1 OR a.entry_date >= DATE '1996-06-01' OR a.pub_date >= DATE '1996-06-01') x
 WHERE NOT EXISTS (FROM link l WHERE l.person_id = x.person_id AND l.pmid = x.pmid)"""
-)
-def incremental_window(t):
-    return retrieve.retrieve(t.identity, t.article, t.link, _log(t), "update", SITE)
+
+
+@query(INDEX + WINDOW)
+def incremental_window(t, cfg=SITE):
+    return retrieve.retrieve(t.identity, t.article, t.link, _log(t), "update", cfg)
+
+
+# SITE's thresholds reach every branch at sf0.01 but find nothing by name at sf0.1: the same at the production thresholds
+for _sql, _ask in ((DECISIONS, retrieval_decisions), (CASCADE, candidates_cascade), (UNION, candidates_orcid_union), (WINDOW, incremental_window)):
+
+    @query(DEFAULT_INDEX + _sql, f"{_ask.__name__}_default")
+    def _at_defaults(t, ask=_ask):
+        return ask(t, Params())
 
 
 # Table upkeep
