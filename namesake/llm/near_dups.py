@@ -15,6 +15,8 @@ MASK = (1 << 64) - 1
 FULL = np.uint64(MASK)
 #: A verification unit holds so many shingles from each of its two sides, or one document.
 UNIT_SHINGLES = 1 << 17
+#: And about so many sets, as it compares all pairs of sets in one matrix.
+UNIT_SETS = 1 << 11
 
 
 class WordHash(dict):
@@ -129,8 +131,10 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         part = np.zeros((len(sets), block), np.float32)
         part[owner[a:b], where[a:b] - at] = 1
         both += part @ part.T
-    both = both.astype(np.int64)
-    links = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+    links = np.empty(both.shape, bool)
+    for k in range(0, len(sets), 256):
+        some = both[k : k + 256].astype(np.int64)
+        links[k : k + 256] = 100 * some >= percent * (n[k : k + 256, None] + n[None, :] - some)
     label = np.full(len(sets), -1)
     for k in range(len(sets)):
         if label[k] < 0:
@@ -154,6 +158,24 @@ def _verify(percent: int, size: int):
     return work
 
 
+def place(members: DataFrame, percent: int) -> DataFrame:
+    """(nid, family, unit) of members (nid, family, n): two of a family that can link by their sizes share a unit."""
+    level = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int").alias("level")
+    members = materialize(members.select("nid", "family", "n", level))
+    parts = F.greatest(F.ceil(F.sum("n") / F.lit(UNIT_SHINGLES)), F.ceil(F.count("*") / F.lit(UNIT_SETS)))
+    totals = members.groupBy("family", "level").agg(parts.cast("int").alias("parts"))
+    above = totals.select("family", (F.col("level") - 1).alias("level"), F.col("parts").alias("above"))
+    below = totals.select("family", (F.col("level") + 1).alias("level"), F.col("parts").alias("below"))
+    sized = totals.join(above, ["family", "level"], "left").join(below, ["family", "level"], "left").na.fill(0, ["above", "below"])
+    placed = members.join(sized, ["family", "level"]).withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
+    unit = lambda level, p, q: F.struct(level.alias("level"), p.alias("p"), q.alias("q"))
+    range_to = lambda c: F.when(c > 0, F.sequence(F.lit(0), c - 1)).otherwise(F.array().cast("array<int>"))
+    own = F.transform(range_to(F.col("parts")), lambda i: unit(2 * F.col("level"), F.least(i, F.col("part")), F.greatest(i, F.col("part"))))
+    up = F.transform(range_to(F.col("above")), lambda i: unit(2 * F.col("level") + 1, F.col("part"), i))
+    down = F.transform(range_to(F.col("below")), lambda i: unit(2 * F.col("level") - 1, i, F.col("part")))
+    return placed.select("nid", "family", F.explode(F.concat(own, up, down)).alias("unit"))
+
+
 def find(docs: DataFrame, percent: int = 85, size: int = 3, count: int = 48, rows: int = 7) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id and kept.
 
@@ -176,19 +198,7 @@ def find(docs: DataFrame, percent: int = 85, size: int = 3, count: int = 48, row
     candidates = spread.join(hubs, "h").filter("nid <> hub").select(F.col("hub").alias("a"), F.col("nid").alias("b")).distinct()
     families = components(candidates).select(F.col("node").alias("nid"), F.col("label").alias("family"))
 
-    level = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int").alias("level")
-    members = materialize(families.join(classes.select("nid", "n"), "nid").select("nid", "family", "n", level))
-    totals = members.groupBy("family", "level").agg(F.ceil(F.sum("n") / F.lit(UNIT_SHINGLES)).cast("int").alias("parts"))
-    above = totals.select("family", (F.col("level") - 1).alias("level"), F.col("parts").alias("above"))
-    below = totals.select("family", (F.col("level") + 1).alias("level"), F.col("parts").alias("below"))
-    sized = totals.join(above, ["family", "level"], "left").join(below, ["family", "level"], "left").na.fill(0, ["above", "below"])
-    placed = members.join(sized, ["family", "level"]).withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
-    unit = lambda level, p, q: F.struct(level.alias("level"), p.alias("p"), q.alias("q"))
-    range_to = lambda c: F.when(c > 0, F.sequence(F.lit(0), c - 1)).otherwise(F.array().cast("array<int>"))
-    own = F.transform(range_to(F.col("parts")), lambda i: unit(2 * F.col("level"), F.least(i, F.col("part")), F.greatest(i, F.col("part"))))
-    up = F.transform(range_to(F.col("above")), lambda i: unit(2 * F.col("level") + 1, F.col("part"), i))
-    down = F.transform(range_to(F.col("below")), lambda i: unit(2 * F.col("level") - 1, i, F.col("part")))
-    units = placed.select("nid", "family", F.explode(F.concat(own, up, down)).alias("unit"))
+    units = place(families.join(classes.select("nid", "n"), "nid"), percent)
     texts = docs.select(F.col("doc_id").alias("nid"), "text").join(units, "nid")
     found = texts.groupBy("family", "unit").applyInArrow(_verify(percent, size), "a long, b long")
     final = components(found.distinct()).select(F.col("node").alias("nid"), F.col("label"))

@@ -99,3 +99,22 @@ def test_components(spark):
     linked = {x for a, b in pairs if a != b for x in (a, b)}
     got = {r.node: r.label for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {x: parent[x] for x in linked}
+
+
+def test_units_are_bounded_by_sets(spark):
+    sizes = {i: 13 + i % 3 for i in range(12_000)}  # a template with a varying word: many sets, few shingles
+    members = spark.createDataFrame([(i, 1, n) for i, n in sizes.items()], "nid long, family long, n long")
+    units = near_dups.place(members, 85).groupBy("unit").agg(F.collect_list("nid").alias("nids")).collect()
+    assert max(len(r.nids) for r in units) < 2.3 * near_dups.UNIT_SETS
+    places = [set() for _ in sizes]
+    for k, r in enumerate(units):
+        for i in r.nids:
+            places[i].add(k)
+    rng = random.Random(3)
+    assert all(places[a] & places[b] for a, b in (rng.sample(range(12_000), 2) for _ in range(5000)) if 100 * min(sizes[a], sizes[b]) >= 85 * max(sizes[a], sizes[b]))
+
+
+def test_brute_force_in_units_of_few_sets(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "UNIT_SETS", 50)
+    docs = corpus(2)
+    assert sorted(tuple(r) for r in near_dups.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()) == brute(docs)
