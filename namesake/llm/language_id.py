@@ -13,14 +13,18 @@ from .common import in_lowest, map_texts
 LETTER = re.compile(r"[^\W\d_]")
 #: Segments are parsed side by side; a phrase ends where its segment does.
 SEGMENT = 256
-SYMBOLS = 64
+#: Up to so many different symbols an automaton's transitions are a table, beyond it they are sorted keys.
+TABLE_SYMBOLS = 64
 #: Bounds of the labelled sample: documents of a language, and characters taken from each.
 DOCS_PER_LANGUAGE = 160
 CHARS_PER_DOC = 200
 
 
 class Automaton:
-    """The suffix automaton of a string of symbols 1 to SYMBOLS - 1, as a table of next states; 0 is both root and 'none'."""
+    """The suffix automaton of a string of positive symbols, as its next states; 0 is both root and 'none'.
+
+    Its own symbols are numbered from 1; all others, which it can't follow, are 0.
+    """
 
     def __init__(self, symbols: list[int]):
         nexts: list[dict[int, int]] = [{}]
@@ -48,48 +52,60 @@ class Automaton:
                         at = link[at]
                     link[to] = link[new] = copy
             last = new
-        self.table = np.zeros((len(nexts), SYMBOLS), np.int32)
-        for state, row in enumerate(nexts):
-            self.table[state, list(row.keys())] = list(row.values())
-        self.flat = self.table.ravel()
+        own = np.unique(np.array(symbols, np.int32))
+        self.number = np.zeros(int(own.max(initial=0)) + 2, np.int32)
+        self.number[own] = np.arange(1, len(own) + 1)
+        self.width = len(own) + 1
+        states = np.repeat(np.arange(len(nexts)), [len(row) for row in nexts])
+        at = states * self.width + self.number[np.fromiter((c for row in nexts for c in row), np.int64, len(states))]
+        to = np.fromiter((x for row in nexts for x in row.values()), np.int32, len(states))
+        self.flat = self.keys = None
+        if self.width <= TABLE_SYMBOLS:
+            self.flat = np.zeros(len(nexts) * self.width, np.int32)
+            self.flat[at] = to
+        else:
+            order = np.argsort(at)
+            self.keys, self.to = at[order], to[order]
+            self.first = np.zeros(self.width, np.int32)
+            self.first[at[at < self.width]] = to[at < self.width]
         self.bits = np.log2(max(2, len(symbols)))
 
+    def _next(self, state: np.ndarray, row: np.ndarray) -> np.ndarray:
+        if self.keys is None:
+            return self.flat.take(state * self.width + row)
+        want = state.astype(np.int64) * self.width + row
+        place = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+        return np.where(self.keys[place] == want, self.to[place], np.int32(0))
+
     def phrases(self, columns: np.ndarray) -> np.ndarray:
-        """Of each column, the number of longest matches that its symbols fall into; a symbol of 0 is a phrase by itself."""
+        """Of each column, the number of longest matches that its symbols fall into; a symbol not its own is a phrase by itself."""
         state = np.zeros(columns.shape[1], np.int32)
         count = np.zeros(columns.shape[1], np.int32)
+        first = self.flat if self.keys is None else self.first
         for row in columns:
-            to = self.flat.take(state * SYMBOLS + row)
+            row = self.number.take(row, mode="clip")  # what is over its largest symbol becomes 0
+            to = self._next(state, row)
             none = to == 0
             count += none | (state == 0)
-            np.copyto(to, self.flat.take(row), where=none)
+            np.copyto(to, first.take(row), where=none)
             state = to
         return count
 
 
 class Identifier:
     def __init__(self, samples: dict[str, str]):
-        """samples: of each language, labelled text. The symbols are the commonest lower-case letters of all of it."""
+        """samples: of each language, labelled text. The symbols are the lower-case letters of all of it."""
         self.languages = sorted(samples)
-        counts: dict[str, int] = {}
-        for text in samples.values():
-            for c in text.lower():
-                if LETTER.match(c):
-                    counts[c] = counts.get(c, 0) + 1
-        letters = sorted(counts, key=lambda c: (-counts[c], c))[: SYMBOLS - 3]
-        # 1: not a letter; SYMBOLS - 1: a letter that no language of the sample uses; 0: past a segment's end
+        letters = sorted({c for text in samples.values() for c in text.lower() if LETTER.match(c)})
+        # 1: not a letter; the last: a letter that no language of the sample uses; 0: past a segment's end
         kinds = {c: i for i, c in enumerate(letters, 2)}
-        classes = np.empty(0x10000, np.uint8)
-        for code in range(0x10000):
-            c = chr(code)
-            low = c.lower()
-            classes[code] = kinds.get(low[0], SYMBOLS - 1) if LETTER.match(c) else 1
-        self.classes = classes
+        self.classes = np.ones(0x110000, np.int32)
+        for m in LETTER.finditer("".join(map(chr, range(0x110000)))):
+            self.classes[m.start()] = kinds.get(m[0].lower()[0], len(letters) + 2)
         self.automata = [Automaton(self._symbols(samples[x]).tolist()) for x in self.languages]
 
     def _symbols(self, text: str) -> np.ndarray:
-        codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-        return np.where(codes < 0x10000, self.classes[np.minimum(codes, 0xFFFF)], SYMBOLS - 1).astype(np.uint8)
+        return self.classes[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")]
 
     def identify(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
@@ -98,12 +114,12 @@ class Identifier:
             return langs, scores
         symbols = [self._symbols(texts[i]) for i in known]
         parts = np.array([-(-len(x) // SEGMENT) for x in symbols])
-        padded = np.zeros((parts.sum(), SEGMENT), np.uint8)
+        padded = np.zeros((parts.sum(), SEGMENT), np.int32)
         flat, at = padded.reshape(-1), 0
         for x, n in zip(symbols, parts.tolist()):
             flat[at : at + len(x)] = x
             at += n * SEGMENT
-        columns = np.ascontiguousarray(padded.T).astype(np.int32)
+        columns = np.ascontiguousarray(padded.T)
         starts = np.concatenate([[0], np.cumsum(parts)[:-1]])
         size = np.array([len(x) for x in symbols])
         extra = parts * SEGMENT - size  # padding counts one phrase each

@@ -56,3 +56,40 @@ def test_segments_change_little():
     model = Identifier({x: sentence(x, rng, 400) for x in WORDS})
     for lang in WORDS:
         assert model.identify([sentence(lang, rng, 10 * SEGMENT)])[0] == [lang]
+
+
+def alphabet(first, n):
+    return [c for c in map(chr, range(first, first + n)) if c.isalpha()]
+
+
+SCRIPTS = {"el": alphabet(0x3B1, 25), "en": alphabet(0x61, 26), "gothic": alphabet(0x10330, 20), "ja": alphabet(0x3041, 80), "ko": alphabet(0xAC00, 2000), "ru": alphabet(0x430, 32), "zh": alphabet(0x4E00, 3000)}
+
+
+def test_many_scripts():
+    rng = random.Random(8)
+    line = lambda lang, n: "".join(rng.choice(SCRIPTS[lang]) + rng.choice(["", "", " "]) for _ in range(n))
+    model = Identifier({x: line(x, 9000) for x in SCRIPTS})
+    for lang in SCRIPTS:
+        langs, scores = model.identify([line(lang, 60) for _ in range(10)])
+        assert langs == [lang] * 10 and min(scores) > 0.01, lang
+
+
+def test_phrases_over_a_large_alphabet_match_brute_force():
+    rng = random.Random(6)
+    source = [rng.randint(1, 90) for _ in range(3000)]
+    automaton = Automaton(source)
+    assert automaton.keys is not None
+    runs = {tuple(source[a : a + n]) for n in range(1, 42) for a in range(len(source) - n + 1)}
+    for _ in range(30):
+        line = []
+        while len(line) < 40:
+            a = rng.randrange(3000)
+            line += [*source[a : a + rng.randint(1, 6)], *[rng.randint(1, 99)] * rng.randint(0, 1)]
+        line = line[:40]
+        count, at = 0, 0
+        while at < len(line):
+            n = 1
+            while at + n < len(line) and tuple(line[at : at + n + 1]) in runs:
+                n += 1
+            count, at = count + 1, at + n
+        assert automaton.phrases(np.array(line, np.int32)[:, None])[0] == count
