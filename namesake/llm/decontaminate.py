@@ -25,7 +25,10 @@ def _windows(tokens: Column, length: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = 13) -> DataFrame:
-    """(h, window, length, items): the distinct windows of the items. Items without words have none."""
+    """(h, window, length, items): the distinct windows of the items. Items without words have none.
+
+    An item with a null item_id has windows like any other, but no name: items can be empty.
+    """
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     length = F.least(F.size("w"), F.lit(n))
     cut = items.select("item_id", length.alias("length"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.slice("w", i, length))).alias("part"))
@@ -35,7 +38,7 @@ def benchmark_windows(benchmark: DataFrame, n: int = 13) -> DataFrame:
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, items (sorted as strings), spans (array of start, end in words), copies.
 
-    Rows are told apart by doc_id and the hash of the text; equal rows become one with their number in `copies`.
+    Benchmark items with a null item_id hit words like any other, and aren't among items. Rows are told apart by doc_id and the hash of the text; equal rows become one with their number in `copies`.
     A null text has no words. Ids may be null.
     """
     wanted = benchmark_windows(benchmark, n).persist()
@@ -76,7 +79,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     dirty = per_doc.filter(F.size("windows") > 0)
     items = dirty.select("doc_id", "key", F.explode("windows").alias("window")).join(names, "window").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
     items = items.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "items")
-    dirty = dirty.join(items, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("key").eqNullSafe(F.col("_key"))).drop("_id", "_key")
+    dirty = dirty.join(items, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("key").eqNullSafe(F.col("_key")), "left").drop("_id", "_key")
+    dirty = dirty.withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return clean.unionByName(dirty).select("doc_id", "key", "n_words", "n_hit", "items", "spans", "copies")
 
 

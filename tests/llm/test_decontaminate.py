@@ -70,3 +70,14 @@ def test_empty_tables(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert report(d.limit(0), b).count() == 0
     assert {r.n_hit for r in report(d, b.limit(0)).collect()} == {0}
+
+
+def test_items_without_an_id(spark):
+    docs = [(1, "one two three four"), (2, "five six seven"), (None, "one two three four five six"), (4, "clean")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(None, "two three four"), (7, "five six"), (None, "six")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in report(d, b).collect()}
+    none, seven = (hashlib.sha256(x).hexdigest() for x in (b"", b"7"))
+    assert got == {1: (4, 3, 0, none, True), 2: (3, 2, 1, seven, True), None: (6, 5, 1, seven, True), 4: (1, 0, 0, none, False)}
+    assert [r.doc_id for r in decontaminate(d, b).collect()] == [4]
+    assert sorted(r.text.strip() for r in decontaminate(d, b, "spans").collect()) == ["clean", "one", "one", "seven"]
