@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections import defaultdict
 from functools import lru_cache
@@ -18,6 +19,14 @@ TOKENIZER = "word_bpe_49k.json"
 CACHE = 1_200_000
 #: ASCII marks that the tokenizer splits from the letters before them, as one run.
 MARKS = ".,;:!?"
+#: str.split() parts at these too, the tokenizer doesn't.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+CHUNK = re.compile(rf"(?:\S|[{SEPARATORS}])+")
+
+
+def chunks_of(text: str) -> list[str]:
+    """The text parted at the tokenizer's white space."""
+    return CHUNK.findall(text) if any(c in text for c in SEPARATORS) else text.split()
 
 
 class Encoder:
@@ -55,7 +64,7 @@ class Encoder:
                 self.cache[c] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").split() for t in texts]
+        split = [chunks_of(t or "") for t in texts]
         cache = self.cache
         if len(cache) > self.limit:
             cache.clear()

@@ -90,3 +90,11 @@ def test_plan_covers_every_rank_and_fits(seed):
             assert low == end
             end = high
         assert end == count
+
+
+def test_separators_are_tokens():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    odd = [f"a{x}{c}{y}b, the{c}" for c in "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2003\u2028\u202f\u3000\x0b\x0c" for x in ("", " ", "\x1f") for y in ("", "\n", "\x1c.")]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
+    assert packing.Encoder(path).encode(odd) == want
