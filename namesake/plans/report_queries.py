@@ -201,7 +201,7 @@ def disagreements(t):
 
 @query()
 def bootstrap_ci(t):
-    return evaluate.bootstrap_ci(_eval(t), 200)
+    return evaluate.bootstrap_ci(_eval(t))
 
 
 # Reports
