@@ -1,51 +1,51 @@
-"""A hierarchical Pitman-Yor language model: contexts' restaurants over one shared parent, seated by Gibbs sampling."""
+"""A hierarchical Pitman-Yor language model: a restaurant for every word before, over one shared parent, seated by Gibbs sampling."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
-from .near_dups import mix
+from .common import discard, materialize, slices
+from .restaurants import RARE, Layout, Seating, discount_of, homes, key_arrays, keys_from, pack, seat_parent, unpack
 
-#: Restaurants of contexts: the word before, hashed. Their totals are what the driver sees, so their number is a bound.
-CONTEXTS = 1 << 16
 #: Tokens of a chunk of documents and, about, of a part of the model; they bound what a task holds.
 CHUNK_TOKENS = 1_000_000
-PART_TOKENS = 2_500_000
+CHUNK_DOCS = 60_000
+PART_TOKENS = 3_000_000
 #: Different words that a task counts before it passes them on.
 COUNTED = 2_000_000
-CHUNK_DOCS = 60_000
-#: Words of at least this share of all tokens (so this many at most) are spread over parts by their contexts too.
-HOT = 2000
+#: Bound of the dictionary that gives common words short names; other words go by their hashes.
+DICTIONARY = 1 << 20
 SAMPLES = 2
-MOVES = 16
-SEATED = 256
-END = 0x5851F42D4C957F2D
+#: Full sweeps before the first sample, and before each sample.
+BURN_IN, BETWEEN = 1, 1
 STRENGTH, PARENT_STRENGTH = 1.0, 10.0
+END = 0x5851F42D4C957F2D
+
+ROWS = "kind byte, at long, source long, data binary, counts array<long>, hot array<long>"
+SCHEMA = pa.schema([("kind", pa.int8()), ("at", pa.int64()), ("source", pa.int64()), ("data", pa.binary()), ("counts", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64()))])
+#: Kinds of rows. To the part `at`: its pairs, the words it needs to know of from their homes, what they say, the tables
+#: that it adds to them, the words of chunks at home there. To the chunk `at`: counts of its pairs and of its words.
+PART, NEED, KNOWN, ADDED, ASKED, PAIRS, WORDS, TOTAL = range(8)
 
 
 class WordHash(dict):
-    """64-bit hashes of words; few are kept, as parts of the model need the memory."""
+    """63-bit hashes of words; few are kept, as parts of the model need the memory."""
 
     def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(self) < 250_000:
+        value = xxhash.xxh64_intdigest(word) >> 1
+        if len(self) < 250_000 and len(word) < 64:
             self[word] = value
         return value
 
 
-def contexts_of(hashes: np.ndarray) -> np.ndarray:
-    return (mix(hashes) >> np.uint64(48)).astype(np.uint16)
-
-
 def tokens_of(text: str | None, table: WordHash) -> np.ndarray:
     """Hashes of the words of the ASCII-lower-cased text and of its end."""
     words = (text or "").encode().lower().split()
@@ -56,16 +56,12 @@ def tokens_of(text: str | None, table: WordHash) -> np.ndarray:
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(ids, train flags, token counts, tokens, contexts, document of each token) of about CHUNK_TOKENS tokens."""
+    """(ids, train flags, token counts, tokens) of about CHUNK_TOKENS tokens, one document at least."""
     table = WordHash()
     ids, train, parts, total = [], [], [], 0
 
     def close():
-        sizes = np.array([len(x) for x in parts])
-        tokens = np.concatenate(parts)
-        before = np.roll(tokens, 1)
-        before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = END
-        return ids, np.array(train, bool), sizes, tokens, contexts_of(before), np.repeat(np.arange(len(sizes)), sizes).astype(np.uint16)
+        return ids, np.array(train, bool), np.array([len(x) for x in parts]), np.concatenate(parts)
 
     for batch in slices(batches):
         rows = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
@@ -82,342 +78,429 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(kind, key, n) over training tokens: kind 0 of words, kind 1 of contexts."""
+    """(kind, key, n): kind 0: training tokens by their words' hashes; kind 1: all tokens, under the key 0."""
     schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
 
     def out(kind: int, keys: np.ndarray, n: np.ndarray):
         for at in range(0, len(keys), 100_000):
             k = keys[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(n[at : at + 100_000])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k.astype(np.int64)), pa.array(n[at : at + 100_000])], schema=schema)
 
     def run(batches):
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        by_context = np.zeros(CONTEXTS, np.int64)
-        for _, train, _, tokens, contexts, doc in chunks(batches):
-            keep = train[doc]
-            by_context += np.bincount(contexts[keep], minlength=CONTEXTS)
-            new, n = np.unique(tokens[keep].view(np.int64), return_counts=True)
+        keys, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        for _, train, sizes, tokens in chunks(batches):
+            total += len(tokens)
+            new, n = np.unique(tokens[np.repeat(train, sizes)], return_counts=True)
             keys, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
             counts = np.bincount(place, np.concatenate([counts, n]), len(keys)).astype(np.int64)
             if len(keys) > COUNTED:
                 yield from out(0, keys, counts)
                 keys, counts = keys[:0], counts[:0]
         yield from out(0, keys, counts)
-        used = np.flatnonzero(by_context)
-        yield from out(1, used, by_context[used])
+        yield from out(1, np.zeros(1, np.int64), np.array([total]))
 
     return docs.mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *[x.nbytes for x in arrays]], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(x.tobytes() for x in arrays))
+def common_words(counts: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the commonest training words, `bound` at most, and their counts."""
+    level = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("long")
+    words = counts.filter("kind = 0")
+    levels = sorted(((r[0], r[1]) for r in words.groupBy(level).count().collect()), reverse=True)  # a few hundred at most
+    total, least = 0, math.inf
+    for k, n in levels:
+        total += n
+        if total > bound:
+            break
+        least = k
+    got = words.filter(level >= (least if levels and least < math.inf else 1 << 30)).select("key", "n").toArrow()
+    keys, n = got.column("key").to_numpy().astype(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
 
 
-def _unpack(raw: bytes, *kinds) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(raw)
-    sizes = np.frombuffer(raw, np.int64, len(kinds), 8)
-    at, out = 8 * (1 + len(kinds)), []
-    for size, kind in zip(sizes.tolist(), kinds):
-        out.append(np.frombuffer(raw[at : at + size], kind))
-        at += size
-    return out
+def _row(kind: int, at: int, source: int, data: bytes | None, counts=None, hot=None) -> tuple:
+    return kind, at, source, data, counts, hot
 
 
-def route(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
-    """(part, chunk, docs, data): of each chunk its tokens by part of the model, and once the chunk's documents.
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(SCHEMA)], schema=SCHEMA)
 
-    A part has all tokens of its words; those of hot words go by word and context.
-    """
-    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("docs", pa.binary()), ("data", pa.binary())])
+
+def cut_chunks(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """(chunk, data): the documents' ids, flags and sizes, the words' keys, and each token's word by its rank in the chunk."""
+    schema = pa.schema([("chunk", pa.int64()), ("data", pa.binary())])
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         base = TaskContext.get().partitionId() << 32
-        for number, (ids, train, sizes, tokens, contexts, doc) in enumerate(chunks(batches)):
+        for number, (ids, train, sizes, tokens) in enumerate(chunks(batches)):
             words, place = np.unique(tokens, return_inverse=True)
-            home = (mix(words ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(parts)).astype(np.int64)[place]
-            spread = np.isin(words, hot)[place]
-            home[spread] = (mix(tokens[spread] + contexts[spread] * np.uint64(0xE7037ED1A0B428DB)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(home << 40 | place << 16 | doc, kind="stable")
-            home, place, contexts, doc = home[order], place[order], contexts[order], doc[order]
-            known = np.array([i is not None for i in ids])
-            about = _pack(np.array([i or 0 for i in ids], np.int64), known, train, sizes.astype(np.int64))
-            rows = [((base + number) % parts, base + number, about, None)]
-            edges = np.searchsorted(home, np.arange(parts + 1))
-            for p in range(parts):
-                a, b = edges[p], edges[p + 1]
-                if a < b:
-                    own, count = np.unique(place[a:b], return_counts=True)
-                    step = np.diff(doc[a:b], prepend=doc[a : a + 1])
-                    flags = np.packbits(train)
-                    rows.append((p, base + number, None, _pack(words[own], count.astype(np.uint32), step, contexts[a:b], flags, np.array([len(ids), doc[a]], np.int64))))
-            for row in rows:
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
-
-    return docs.mapInArrow(run, "part int, chunk long, docs binary, data binary")
-
-
-def seatings(c: np.ndarray, weight: np.ndarray, discount: float, rng, samples: int = SAMPLES) -> list[np.ndarray]:
-    """Numbers of tables of c customers with one dish each, one array per sample.
-
-    weight: what a new table weighs, (strength + discount * tables of the restaurant) * the parent's probability of
-    the dish; a table of n customers weighs n - discount. Customers sit down one after the other; then, before each
-    sample, up to MOVES random customers of each dish get up and sit down anew given all others. Dishes of over
-    SEATED customers are seated in growing blocks instead, whose new tables are binomial.
-    """
-    out = [np.minimum(c, 1).astype(np.int32) for _ in range(samples)]
-    many = np.flatnonzero(c > SEATED)
-    if len(many):
-        for s in range(samples):
-            n, t = np.ones(len(many)), np.ones(len(many))
-            while (n < c[many]).any():
-                m = np.minimum(np.maximum(1, n // 8), c[many] - n)
-                w = weight[many]
-                t += rng.binomial(m.astype(np.int64), w / (w + n - discount * t))
-                n += m
-            out[s][many] = t
-    some = np.flatnonzero((c > 1) & (c <= SEATED))
-    some = some[np.argsort(-c[some], kind="stable")]
-    n, w = c[some], weight[some]
-    if not len(some):
-        return out
-    start = np.concatenate([[0], np.cumsum(n)[:-1]])
-    seat, size = np.zeros(int(n.sum()), np.int32), np.zeros(int(n.sum()), np.int32)
-    size[start] = 1
-    t = np.ones(len(some), np.int32)
-    active = np.searchsorted(-n, -np.arange(int(n[0]) + 1), side="left")  # of i: dishes of more than i customers
-
-    def sit(a: int, customer, others, drawn):
-        """Seat one customer of each of the first a dishes; others: how many sit there; drawn: picks one of these."""
-        new = rng.random(a) * (w[:a] + others - discount * t[:a]) < w[:a]
-        rest = np.flatnonzero(~new)
-        while len(rest):
-            table = seat[start[rest] + drawn(rest)]
-            good = rng.random(len(rest)) * size[start[rest] + table] < size[start[rest] + table] - discount
-            fit = rest[good]
-            seat[start[fit] + customer[fit]] = table[good]
-            size[start[fit] + table[good]] += 1
-            rest = rest[~good]
-        fresh = np.flatnonzero(new)
-        label = customer[fresh].copy()
-        while (used := size[start[fresh] + label] > 0).any():
-            label[used] = (label[used] + 1) % n[fresh[used]]
-        seat[start[fresh] + customer[fresh]] = label
-        size[start[fresh] + label] = 1
-        t[fresh] += 1
-
-    for i in range(1, int(n[0])):
-        a = int(active[i])
-        sit(a, np.full(a, i), i, lambda rest: (rng.random(len(rest)) * i).astype(np.int64))  # noqa: B023
-    for s in range(samples):
-        for m in range(min(MOVES, int(n[0]))):
-            a = max(1, int(active[m]))
-            who = (rng.random(a) * n[:a]).astype(np.int64)
-            table = seat[start[:a] + who]
-            size[start[:a] + table] -= 1
-            t[:a] -= size[start[:a] + table] == 0
-
-            def other(rest):
-                j = (rng.random(len(rest)) * (n[rest] - 1)).astype(np.int64)
-                return j + (j >= who[rest])  # noqa: B023
-
-            sit(a, who, n[:a] - 1, other)
-        out[s][some] = t
-    return out
+            at = np.minimum(np.searchsorted(sent.value, words), max(0, len(sent.value) - 1))
+            known = sent.value[at] == words if len(sent.value) else np.zeros(len(words), bool)
+            keys = np.where(known, at.astype(np.uint64), words | RARE)
+            order = np.argsort(keys)
+            where = np.empty(len(order), np.int64)
+            where[order] = np.arange(len(order))
+            place = where[place]
+            n = np.bincount(place, minlength=len(keys))
+            rank = np.empty(len(keys), np.int64)
+            rank[np.argsort(-n, kind="stable")] = np.arange(len(keys))
+            end = int(where[np.searchsorted(words, np.uint64(END))])
+            ids_known = np.array([i is not None for i in ids])
+            ids_all = np.array([i or 0 for i in ids], np.int64)
+            data = pack(ids_all.view(np.uint64), ids_known, train, sizes, *key_arrays(keys[order]), n, rank[place], np.array([end]))
+            yield pa.RecordBatch.from_arrays([pa.array([base + number]), pa.array([data], pa.binary())], schema=schema)
+
+    return docs.mapInArrow(run, "chunk long, data binary")
+
+
+def open_chunk(data: bytes, hot: np.ndarray, parts: int):
+    ids, known, train, sizes, steps, rare, n, rank, end = unpack(data)
+    keys = keys_from(steps, rare)
+    place = np.argsort(-n, kind="stable")[rank]
+    return ids.view(np.int64), known.astype(bool), train.astype(bool), sizes, keys, place, Layout(keys, place, sizes, int(end[0]), hot, parts)
+
+
+def route(chunked: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
+    """Rows of PART: of each chunk its pairs at home in a part, with the number of training tokens of each."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                chunk, data = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                _, _, train, sizes, keys, _, plan = open_chunk(data, hot, parts)
+                counts = np.bincount(plan.pair[np.repeat(train, sizes)], minlength=len(plan.part))
+                rows = []
+                for p, a, b in plan.parts():
+                    first, context = np.unique(plan.context[a:b], return_index=True)
+                    words, place = np.unique(plan.word[a:b], return_inverse=True)
+                    runs = np.diff(context, append=b - a)
+                    rows.append(_row(PART, p, chunk, pack(*key_arrays(keys[first]), *key_arrays(keys[words]), runs, place, counts[a:b])))
+                    if len(rows) == 64:
+                        yield from _table(rows).to_batches()
+                        rows = []
+                if rows:
+                    yield from _table(rows).to_batches()
+
+    return chunked.mapInArrow(run, ROWS)
 
 
 class Part:
-    """The tokens of a part of the model, and its dishes: pairs of a word and a context."""
+    """Whole restaurants of some contexts, and shares of hot ones: dishes, their customers, and which of them a chunk has."""
 
     def __init__(self, blobs: list[tuple[int, bytes]]):
-        found, counts, contexts, docs, keep, self.sizes, self.chunks = [], [], [], [], [], [], []
-        offset = 0
-        for chunk, raw in blobs:
-            own, count, step, context, flags, (size, first) = _unpack(raw, np.uint64, np.uint32, np.uint16, np.uint16, np.uint8, np.int64)
-            doc = (np.cumsum(step, dtype=np.uint16) + np.uint16(first)).astype(np.int32)
-            found.append(own)
-            counts.append(count)
-            contexts.append(context)
-            keep.append(np.unpackbits(flags, count=int(size)).astype(bool)[doc])
-            docs.append(doc + np.int32(offset))
-            self.chunks.append(chunk)
-            self.sizes.append(int(size))
-            offset += int(size)
-        self.doc, self.train = np.concatenate(docs), np.concatenate(keep)
-        self.words, place = np.unique(np.concatenate(found), return_inverse=True)
-        dishes = np.repeat(place, np.concatenate(counts)) << 16
-        dishes |= np.concatenate(contexts)
-        del found, counts, contexts, docs, keep, place
-        keys, pair = np.unique(dishes, return_inverse=True)
-        self.pair = pair.astype(np.int32)
-        del dishes, pair
-        self.word, self.context = keys >> 16, keys & 0xFFFF
-        self.c = np.bincount(self.pair[self.train], minlength=len(keys))
-
-    def counts(self, hot: np.ndarray, hot_counts: np.ndarray) -> np.ndarray:
-        """Training tokens of each word: of hot words over all parts."""
-        c = np.bincount(self.word, self.c, len(self.words)).astype(np.int64)
-        at, found = self.hot_places(hot)
-        c[found] = hot_counts[at[found]]
-        return c
-
-    def hot_places(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(hot, self.words), max(0, len(hot) - 1))
-        return at, (hot[at] == self.words) if len(hot) else np.zeros(len(self.words), bool)
-
-
-def discount_of(ones: float, twos: float) -> float:
-    """The usual estimate from the numbers of dishes with one and two customers."""
-    return float(np.clip(ones / (ones + 2 * twos), 0.1, 0.95)) if ones + twos > 0 else 0.5
-
-
-def seat_part(part: Part, shared: dict, seed: int) -> dict:
-    """Samples of the part: tables of its dishes and, of words that aren't hot, of the parent; and their sums."""
-    rng = np.random.default_rng(seed)
-    hot = shared["hot"]
-    total = part.counts(hot, shared["hot_counts"])
-    at, is_hot = part.hot_places(hot)
-    ones, twos = int((part.c == 1).sum()), int((part.c == 2).sum())
-    d = discount_of(ones, twos)
-    parent = (total + 0.5) / (shared["N"] + 0.5 * (shared["V"] + 1))
-    weight = (STRENGTH + d * shared["tables"][part.context]) * parent[part.word]
-    tables = seatings(part.c, weight, d, rng)
-    sums, hot_sums, parents, totals = [], [], [], []
-    for t in tables:
-        sums.append(np.bincount(part.context, t, CONTEXTS).astype(np.int64))
-        c1 = np.bincount(part.word, t, len(part.words)).astype(np.int64)
-        hot_sums.append(np.bincount(at[is_hot], c1[is_hot], len(hot)).astype(np.int64))
-        c1[is_hot] = 0
-        d1 = discount_of((c1 == 1).sum(), (c1 == 2).sum())
-        t1 = seatings(c1, np.full(len(c1), (PARENT_STRENGTH + d1 * shared["V"]) / (shared["V"] + 1)), d1, rng, 1)[0]
-        parents.append(t1)
-        totals += [int(c1.sum()), int(t1.sum()), int((c1 == 1).sum()), int((c1 == 2).sum())]
-    return {"seats": _pack(np.concatenate(tables), np.concatenate(parents)), "tables": np.concatenate(sums), "hot": np.concatenate(hot_sums), "totals": [*totals, ones, twos]}
-
-
-def probabilities(part: Part, seats: bytes, model: dict) -> np.ndarray:
-    """The averaged predictive probability of each dish of the part."""
-    tables, parents = (x.reshape(SAMPLES, -1) for x in _unpack(seats, np.int32, np.int32))
-    at, is_hot = part.hot_places(model["hot"])
-    d, out = model["d"], np.zeros(len(part.c))
+        found = [(chunk, unpack(raw)) for chunk, raw in blobs]
+        read = [(c, keys_from(a[0], a[1]), keys_from(a[2], a[3]), *a[4:]) for c, a in found]
+        self.contexts = np.unique(np.concatenate([r[1] for r in read]))
+        self.words = np.unique(np.concatenate([r[2] for r in read]))
+        codes = [np.repeat(np.searchsorted(self.contexts, c), runs) << 32 | np.searchsorted(self.words, w)[place] for _, c, w, runs, place, _ in read]
+        dishes, inverse = np.unique(np.concatenate(codes), return_inverse=True)
+        self.c = np.bincount(inverse, np.concatenate([r[5] for r in read]), len(dishes)).astype(np.int64)
+        self.context, self.word = dishes >> 32, dishes & 0xFFFFFFFF
+        self.chunks = np.array([r[0] for r in read], np.int64)
+        self.sizes = np.array([len(x) for x in codes])
+        self.dish = inverse
+
+    def pack(self) -> bytes:
+        runs = np.bincount(self.context, minlength=len(self.contexts))
+        starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        steps = np.diff(self.dish, prepend=0)
+        steps[starts] = self.dish[starts]
+        return pack(*key_arrays(self.contexts), *key_arrays(self.words), runs, self.word, self.c, self.chunks.view(np.uint64), self.sizes, steps)
+
+    @classmethod
+    def unpack(cls, raw: bytes) -> Part:
+        a = unpack(raw)
+        self = cls.__new__(cls)
+        self.contexts, self.words = keys_from(a[0], a[1]), keys_from(a[2], a[3])
+        self.context, self.word, self.c = np.repeat(np.arange(len(self.contexts)), a[4]), a[5], a[6]
+        self.chunks, self.sizes = a[7].view(np.int64), a[8]
+        total = np.cumsum(a[9])
+        before = np.concatenate([[0], total[np.cumsum(self.sizes)[:-1] - 1]])
+        self.dish = total - np.repeat(before, self.sizes)
+        return self
+
+    def types(self) -> np.ndarray:
+        """Of each word, its dishes here that have customers."""
+        return np.bincount(self.word[self.c > 0], minlength=len(self.words))
+
+    def context_types(self) -> np.ndarray:
+        return np.bincount(self.context[self.c > 0], minlength=len(self.contexts))
+
+    def needed(self) -> np.ndarray:
+        """Words whose dishes are reseated here."""
+        out = np.zeros(len(self.words), bool)
+        out[self.word[self.c > 1]] = True
+        return out
+
+    def spread(self, values: np.ndarray, places: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """The values of hot keys, at their places among hot."""
+        out = np.zeros(len(hot), np.int64)
+        at = np.minimum(np.searchsorted(hot, places), max(0, len(hot) - 1))
+        good = hot[at] == places if len(hot) else np.zeros(len(places), bool)
+        out[at[good]] = values[good]
+        return out
+
+
+def build(group: pa.Table, hot: np.ndarray, parts: int) -> pa.Table:
+    """The part of the chunks' rows, and what it needs from the homes of its words: the numbers of its dishes of them."""
+    got = sorted(zip(group.column("source").to_pylist(), group.column("data").to_pylist()))
+    number = group.column("at")[0].as_py()
+    part = Part(got)
+    types, needed = part.types(), part.needed()
+    totals = [len(part.c), int((part.c > 0).sum()), int((part.c == 1).sum()), int((part.c == 2).sum())]
+    extra = np.concatenate([part.spread(types, part.words, hot), part.spread(part.context_types(), part.contexts, hot)])
+    rows = [_row(PART, number, number, part.pack(), totals, extra.tolist())]
+    home = homes(part.words, hot, parts)
+    home[types == 0] = -1
+    order = np.argsort(home, kind="stable")
+    order = order[home[order] >= 0]
+    found, first = np.unique(home[order], return_index=True)
+    for q, some in zip(found.tolist(), np.split(order, first[1:])):
+        rows.append(_row(NEED, q, number, pack(*key_arrays(part.words[some]), types[some], needed[some])))
+    return _table(rows)
+
+
+def answer(group: pa.Table, model: dict) -> pa.Table:
+    """At the words' home: their dishes in all restaurants are one table each at first; the parent seats these tables."""
+    at = group.column("at")[0].as_py()
+    asked = [(s, unpack(d)) for s, d in sorted(zip(group.column("source").to_pylist(), group.column("data").to_pylist()))]
+    keys = [keys_from(a[0], a[1]) for _, a in asked]
+    words, place = np.unique(np.concatenate(keys), return_inverse=True)
+    c = np.bincount(place, np.concatenate([a[2] for _, a in asked])).astype(np.int64)
+    ones, twos = int((c == 1).sum()), int((c == 2).sum())
+    t = seat_parent(c, 1 / (model["V"] + 1), model["V"] / len(words), PARENT_STRENGTH, discount_of(ones, twos), at)
+    rows, done = [_row(TOTAL, at, at, None, [int(c.sum()), int(t.sum()), ones, twos])], 0
+    for (source, a), k in zip(asked, keys):
+        mine = place[done : done + len(k)][a[3] > 0]
+        rows.append(_row(KNOWN, source, at, pack(c[mine], t[mine])))
+        done += len(k)
+    return _table(rows)
+
+
+def parent_share(c, t, parent: dict, V: int):
+    """The parent's probability of words of c customers and t tables there."""
+    return (c - parent["d"] * t + (PARENT_STRENGTH + parent["d"] * parent["T"]) / (V + 1)) / (PARENT_STRENGTH + parent["C"])
+
+
+def reseat(group: pa.Table, model: dict) -> pa.Table:
+    """Gibbs sampling of a part's restaurants, given the parent; what chunks need of it, and its tables for the parent."""
+    rows = list(zip(*(group.column(n).to_pylist() for n in ("kind", "source", "data"))))
+    number, hot, parts = group.column("at")[0].as_py(), model["hot"], model["parts"]
+    part = Part.unpack(next(d for k, _, d in rows if k == PART))
+    types, needed = part.types(), part.needed()
+    home = homes(part.words, hot, parts)
+    prob = np.zeros(len(part.words))
+    for source, data in ((s, d) for k, s, d in rows if k == KNOWN):
+        c1, t1 = unpack(data)
+        prob[(home == source) & needed & (types > 0)] = parent_share(c1, t1, model["parent"], model["V"])
+    is_hot = home == -1
+    at = np.searchsorted(hot, part.words[is_hot])
+    prob[is_hot] = parent_share(model["hot_c"][at], model["hot_t"][at], model["parent"], model["V"])
+    own = part.context_types()
+    scale = np.ones(len(part.contexts))
+    spread = homes(part.contexts, hot, parts) == -1
+    scale[spread] = model["hot_types"][np.searchsorted(hot, part.contexts[spread])] / np.maximum(1, own[spread])
+    many = np.flatnonzero(part.c > 1)
+    samples = [(part.c > 0).astype(np.int64) for _ in range(SAMPLES)]
+    if len(many):
+        seats = Seating(part.c[many], part.context[many], prob[part.word[many]], own.copy(), scale, STRENGTH, model["d"], number)
+        for _ in range(BURN_IN):
+            seats.sweep()
+        for s in range(SAMPLES):
+            for _ in range(BETWEEN):
+                seats.sweep()
+            samples[s][many] = seats.counts()
+    tables = [np.bincount(part.context, t, len(part.contexts)).astype(np.int64) for t in samples]
+    more = [np.bincount(part.word, t, len(part.words)).astype(np.int64) - types for t in samples]
+    extra = [*(part.spread(m, part.words, hot) for m in more), *(part.spread(t, part.contexts, hot) for t in tables)]
+    customers = np.bincount(part.context, part.c, len(part.contexts)).astype(np.int64)
+    out, edges = [], np.concatenate([[0], np.cumsum(part.sizes)])
+    asked, lengths = [], []
+    for chunk, a, b in zip(part.chunks.tolist(), edges, edges[1:]):
+        dish = part.dish[a:b]
+        mine = np.unique(part.context[dish])
+        mine = mine[~spread[mine]]
+        asked.append(np.diff(mine, prepend=0))
+        lengths.append(len(mine))
+        out.append(_row(PAIRS, chunk, number, pack(part.c[dish], *(t[dish] for t in samples), customers[mine], *(t[mine] for t in tables))))
+    words = pack(*key_arrays(part.contexts), part.chunks.view(np.uint64), np.array(lengths), np.concatenate(asked))
+    out.append(_row(ASKED, number, number, words, None, np.concatenate(extra).tolist()))
+    changed = np.flatnonzero(np.any(more, axis=0) & ~is_hot)
+    changed = changed[np.argsort(home[changed], kind="stable")]
+    found, first = np.unique(home[changed], return_index=True)
+    for q, some in zip(found.tolist(), np.split(changed, first[1:])):
+        out.append(_row(ADDED, q, number, pack(*key_arrays(part.words[some]), *(m[some] for m in more))))
+    return _table(out)
+
+
+def seat_words(group: pa.Table, model: dict) -> pa.Table:
+    """At the words' home: the parent's customers are the tables of all restaurants; they are seated for each sample."""
+    rows = sorted(zip(*(group.column(n).to_pylist() for n in ("kind", "source", "data"))))
+    at = group.column("at")[0].as_py()
+    asked = next((unpack(d) for k, _, d in rows if k == ASKED), None)
+    if asked is None:
+        return _table([])
+    words = keys_from(asked[0], asked[1])
+    c = np.zeros((SAMPLES, len(words)), np.int64)
+    for kind, _, data in rows:
+        if kind in (NEED, ADDED):
+            a = unpack(data)
+            place = np.searchsorted(words, keys_from(a[0], a[1]))
+            for s in range(SAMPLES):
+                c[s, place] += a[2] if kind == NEED else a[2 + s]
+    tables, totals = [], []
     for s in range(SAMPLES):
-        m = model["samples"][s]
-        c1 = np.bincount(part.word, tables[s], len(part.words))
-        t1 = parents[s].astype(float)
-        c1[is_hot], t1[is_hot] = m["hot_c"][at[is_hot]], m["hot_t"][at[is_hot]]
-        parent = (c1 - m["d1"] * t1 + (PARENT_STRENGTH + m["d1"] * m["T1"]) / (model["V"] + 1)) / (PARENT_STRENGTH + m["C1"])
-        whole = STRENGTH + model["customers"][part.context]
-        out += (part.c - d * tables[s] + (STRENGTH + d * m["tables"][part.context]) * parent[part.word]) / whole
-    return out / SAMPLES
+        ones, twos = int((c[s] == 1).sum()), int((c[s] == 2).sum())
+        known = max(1, int((c[s] > 0).sum()))
+        tables.append(seat_parent(c[s], 1 / (model["V"] + 1), model["V"] / known, PARENT_STRENGTH, discount_of(ones, twos), at + (s << 32), 2))
+        totals += [int(c[s].sum()), int(tables[s].sum()), ones, twos]
+    out, done = [_row(TOTAL, at, at, None, totals)], 0
+    for chunk, n in zip(asked[2].view(np.int64).tolist(), asked[3].tolist()):
+        mine = np.cumsum(asked[4][done : done + n])
+        out.append(_row(WORDS, chunk, at, pack(*c[:, mine], *tables_of(tables, mine))))
+        done += n
+    return _table(out)
+
+
+def tables_of(tables: list[np.ndarray], mine: np.ndarray) -> list[np.ndarray]:
+    return [t[mine] for t in tables]
+
+
+class Chunk:
+    """A chunk's documents with what its words and pairs have in the model."""
+
+    def __init__(self, rows: list[tuple], model: dict):
+        self.model, hot = model, model["hot"]
+        data = next(d for k, _, d in rows if k == PART)
+        self.ids, self.known_ids, self.train, self.sizes, self.keys, self.place, self.plan = open_chunk(data, hot, model["parts"])
+        plan, n = self.plan, len(self.keys)
+        home = plan.home
+        self.count, self.tables = np.zeros(n, np.int64), np.zeros((SAMPLES, n), np.int64)
+        self.parent_c, self.parent_t = np.zeros((SAMPLES, n), np.int64), np.zeros((SAMPLES, n), np.int64)
+        self.c, self.t = np.zeros(len(plan.part), np.int64), np.zeros((SAMPLES, len(plan.part)), np.int64)
+        span = {p: (a, b) for p, a, b in plan.parts()}
+        for kind, source, raw in rows:
+            if kind not in (PAIRS, WORDS):
+                continue
+            got, own = unpack(raw), np.flatnonzero(home == source)
+            if kind == WORDS:
+                self.parent_c[:, own], self.parent_t[:, own] = got[:SAMPLES], got[SAMPLES:]
+                continue
+            a, b = span[source]
+            self.c[a:b], self.t[:, a:b] = got[0], got[1 : 1 + SAMPLES]
+            self.count[own], self.tables[:, own] = got[1 + SAMPLES], got[2 + SAMPLES :]
+        own = np.flatnonzero(home == -1)
+        at = np.searchsorted(hot, self.keys[own])
+        self.count[own] = model["hot_counts"][at]
+        for s in range(SAMPLES):
+            m = model["samples"][s]
+            self.tables[s, own], self.parent_c[s, own], self.parent_t[s, own] = m["hot_tables"][at], m["hot_c"][at], m["hot_t"][at]
+
+    def parents(self) -> list[np.ndarray]:
+        return [parent_share(self.parent_c[s], self.parent_t[s], self.model["samples"][s], self.model["V"]) for s in range(SAMPLES)]
+
+    def probabilities(self) -> np.ndarray:
+        """The averaged predictive probability of each pair."""
+        d, out = self.model["d"], np.zeros(len(self.c))
+        for s, parent in enumerate(self.parents()):
+            out += self.c - d * self.t[s] + (STRENGTH + d * self.tables[s])[self.plan.context] * parent[self.plan.word]
+        return out / SAMPLES / (STRENGTH + self.count)[self.plan.context]
+
+    def scores(self) -> pa.Table:
+        N, V = self.model["N"], self.model["V"]
+        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        sums = lambda x: np.bincount(doc, x, len(self.sizes))
+        score = sums(np.log10(self.probabilities())[self.plan.pair])
+        base = sums(np.log10((self.count + 1) / (N + V + 1))[self.place])
+        known = sums((self.count > 0)[self.place]).astype(np.int64)
+        return pa.table([pa.array(self.ids, mask=~self.known_ids), pa.array(~self.train), pa.array(self.sizes), pa.array(known), pa.array(np.full(len(known), N)), pa.array(base), pa.array(score)], schema=OUT)
+
+
+OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _sums(table: DataFrame, name: str, width: int) -> np.ndarray:
+    """Sums of a short array over all rows that have it."""
+    out = np.zeros(width, np.int64)
+    for r in table.filter(F.col(name).isNotNull()).select(F.posexplode(name).alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
+        out[r.k] = r.n
+    return out
+
+
+def _hot_parent(c: np.ndarray, sums: np.ndarray, V: int, seed: int, sweeps: int) -> tuple[np.ndarray, dict]:
+    """Tables of hot words in the parent, and the parent's discount and totals with them."""
+    d = discount_of(sums[2], sums[3])
+    t = seat_parent(c, 1 / (V + 1), V / max(1, len(c)), PARENT_STRENGTH, d, seed, sweeps)
+    return t, {"d": d, "C": int(sums[0] + c.sum()), "T": int(sums[1] + t.sum())}
 
 
 def learn(docs: DataFrame, held: Column) -> tuple[DataFrame, dict]:
-    """The parts' table (kind 0: data and seats of a part; kind 1: documents of a chunk) and what all parts share.
+    """Rows (kind, at, source, data) of each chunk: its documents, and what its pairs and words have in the model; and
+    what all chunks share.
 
-    The driver sees the totals of contexts and of hot words, which are bounded, and the sums of the rest.
+    The driver sees sums, the dictionary of common words and counts of hot ones, which are bounded.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", held.alias("held"))
     counts = materialize(count_words(rows))
-    size = counts.filter("kind = 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    V, N = int(size[0]), int(size[1])
-    hot_rows = counts.filter((F.col("kind") == 0) & (F.col("n") * HOT >= max(1, N))).select("key", "n").collect()  # HOT at most
-    hot_rows = sorted((np.int64(r.key).view(np.uint64), r.n) for r in hot_rows)
-    customers = np.zeros(CONTEXTS, np.int64)
-    for r in counts.filter("kind = 1").select("key", "n").collect():  # CONTEXTS at most
-        customers[r.key] = r.n
-    shared = {"N": N, "V": V, "hot": np.array([h for h, _ in hot_rows], np.uint64), "hot_counts": np.array([n for _, n in hot_rows], np.int64), "tables": 0.6 * customers**0.9}
-    parts = max(1, -(-N // PART_TOKENS))
-    sent = spark.sparkContext.broadcast(shared)
-    schema = pa.schema([("kind", pa.int8()), ("part", pa.int32()), ("chunks", pa.list_(pa.int64())), ("data", pa.list_(pa.binary())), ("seats", pa.binary()), ("tables", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64())), ("totals", pa.list_(pa.int64()))])
-
-    def seat(group: pa.Table) -> pa.Table:
-        got = sorted(zip(group.column("chunk").to_pylist(), group.column("docs").to_pylist(), group.column("data").to_pylist()), key=lambda r: (r[0], r[1] is None))
-        number = group.column("part")[0].as_py()
-        out = [(1, number, [c], [d], None, None, None, None) for c, d, _ in got if d is not None]
-        blobs = [(c, raw) for c, _, raw in got if raw is not None]
-        if blobs:
-            s = seat_part(Part(blobs), sent.value, number)
-            out.append((0, number, [c for c, _ in blobs], [b for _, b in blobs], s["seats"], s["tables"], s["hot"], s["totals"]))
-        return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
-
-    routed = route(rows, parts, shared["hot"])
-    kinds = "kind byte, part int, chunks array<long>, data array<binary>, seats binary, tables array<long>, hot array<long>, totals array<long>"
-    table = materialize(routed.groupBy("part").applyInArrow(seat, kinds))
-
-    def summed(name: str, width: int) -> np.ndarray:
-        out = np.zeros(width, np.int64)
-        for r in table.filter("kind = 0").select(F.posexplode(name).alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
-            out[r.k] = r.n
-        return out
-
-    tables = summed("tables", SAMPLES * CONTEXTS).reshape(SAMPLES, CONTEXTS)
-    hot_c = summed("hot", SAMPLES * len(hot_rows)).reshape(SAMPLES, len(hot_rows))
-    totals = summed("totals", 4 * SAMPLES + 2)
-    model = {"N": N, "V": V, "hot": shared["hot"], "hot_counts": shared["hot_counts"], "customers": customers, "d": discount_of(*totals[-2:]), "samples": []}
-    rng = np.random.default_rng(1)
+    size = counts.groupBy("kind").agg(F.count("*").alias("n"), F.sum("n").alias("total"))
+    size = {r["kind"]: (r["n"], r["total"]) for r in size.collect()}
+    V, N = size.get(0, (0, 0))
+    parts = max(1, -(-size.get(1, (0, 0))[1] // PART_TOKENS))
+    common, n = common_words(counts, DICTIONARY)
+    discard(counts)
+    hot = np.flatnonzero((2 * n > PART_TOKENS) & (n.astype(np.float64) * DICTIONARY >= N))
+    hot_counts, hot = n[hot], hot.astype(np.uint64)
+    chunked = materialize(cut_chunks(rows, common))
+
+    width = len(hot)
+    first = materialize(route(chunked, parts, hot).groupBy("at").applyInArrow(lambda g: build(g, hot, parts), ROWS))
+    totals, hot_types = _sums(first, "counts", 4), _sums(first, "hot", 2 * width)
+    model = {"N": N, "V": V, "parts": parts, "hot": hot, "hot_counts": hot_counts, "d": discount_of(totals[2], totals[3]), "hot_types": hot_types[width:]}
+    ask = first.filter(F.col("kind") == NEED)
+    told = materialize(ask.groupBy("at").applyInArrow(lambda g: answer(g, model), ROWS))
+    hot_t, parent = _hot_parent(hot_types[:width], _sums(told, "counts", 4), V, -1 & 0xFFFF, 1)
+    model |= {"parent": parent, "hot_c": hot_types[:width], "hot_t": hot_t}
+    ready = first.filter(F.col("kind") == PART).unionByName(told.filter(F.col("kind") == KNOWN)).drop("counts", "hot")
+    second = materialize(ready.groupBy("at").applyInArrow(lambda g: reseat(g, model), ROWS))
+    hot_sums = _sums(second, "hot", 2 * SAMPLES * width).reshape(2 * SAMPLES, width)
+    home = ask.unionByName(second.filter(F.col("kind").isin(ADDED, ASKED))).drop("counts", "hot")
+    third = materialize(home.groupBy("at").applyInArrow(lambda g: seat_words(g, model), ROWS))
+    discard(first)
+    discard(told)
+    sums = _sums(third, "counts", 4 * SAMPLES).reshape(SAMPLES, 4)
+    model["samples"] = []
     for s in range(SAMPLES):
-        c1, t1, ones, twos = totals[4 * s : 4 * s + 4].tolist()
-        d1 = discount_of(ones, twos)
-        hot_t = seatings(hot_c[s], np.full(len(hot_rows), (PARENT_STRENGTH + d1 * V) / (V + 1)), d1, rng, 1)[0]
-        model["samples"].append({"tables": tables[s], "hot_c": hot_c[s], "hot_t": hot_t, "d1": d1, "C1": c1 + int(hot_c[s].sum()), "T1": t1 + int(hot_t.sum())})
-    return table, model
+        c = hot_types[:width] + hot_sums[s]
+        t, parent = _hot_parent(c, sums[s], V, s, 2)
+        model["samples"].append(parent | {"hot_c": c, "hot_t": t, "hot_tables": hot_sums[SAMPLES + s]})
+    about = chunked.select(F.lit(PART).cast("byte").alias("kind"), F.col("chunk").alias("at"), F.lit(0).cast("long").alias("source"), "data")
+    pairs, words = second.filter(F.col("kind") == PAIRS), third.filter(F.col("kind") == WORDS)
+    return about.unionByName(pairs.select(about.columns)).unionByName(words.select(about.columns)), model
 
 
 def score(docs: DataFrame, held: Column) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of its probability).
 
     Tokens are words and one end; a null text is its end alone. held says whose tokens aren't learned from; a null
-    counts as false. Rows may repeat, each is scored. Without training tokens every token has probability 1.
-
-    Restaurants are those of hashed contexts (the word before); their parent is the restaurant of all words, over equal
-    shares of the V words and one unknown. Tables are sampled with the restaurants' other tables as estimated from
-    their customers, so that parts can be seated side by side; probabilities use the tables that all parts have, and
-    sum to one over words in every context.
+    counts as false. Rows may repeat, each is scored; other columns don't matter; an empty table gives no rows. Very
+    long texts are whole: a chunk has one document at least. Without training tokens every token has probability 1.
+
+    Every word before has a restaurant of its own; their parent is the restaurant of all words, over equal shares of the
+    V words and one unknown. A part of the model holds whole restaurants, but those of words with more than half of
+    PART_TOKENS customers are spread over the parts by their dishes. From one table a dish, the parent seats the
+    tables; then every customer of every dish is reseated in full sweeps, given the restaurant's tables (of spread ones as
+    the part's own tell) and the parent; then the parent seats the tables of each sample. Probabilities use the tables
+    and customers that all parts have, and sum to one over words in every context.
     """
-    table, model = learn(docs, F.coalesce(held, F.lit(False)))
+    rows, model = learn(docs, F.coalesce(held, F.lit(False)))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    N, V = model["N"], model["V"]
-    schema = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary())])
-
-    def run(batches):
-        shared = sent.value
-        for batch in batches:
-            for i in range(batch.num_rows):  # a row is a whole part: one at a time
-                r = batch.slice(i, 1).to_pylist()[0]
-                if r["kind"] == 1:
-                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((r["chunks"][0], r["data"][0], None), schema)], schema=schema)
-                    continue
-                part = Part(list(zip(r["chunks"], r.pop("data"))))
-                total = part.counts(shared["hot"], shared["hot_counts"])
-                value = np.log10(probabilities(part, r["seats"], shared))
-                base = np.log10((total + 1) / (N + V + 1))
-                n = sum(part.sizes)
-                scores = np.bincount(part.doc, value[part.pair], n)
-                bases = np.bincount(part.doc, base[part.word][part.pair], n)
-                known = np.bincount(part.doc, (total > 0)[part.word][part.pair], n).astype(np.int32)
-                at = 0
-                for chunk, size in zip(part.chunks, part.sizes):
-                    some = np.flatnonzero(bases[at : at + size])
-                    here = some + at
-                    sums = _pack(some.astype(np.uint16), scores[here].astype(np.float32), bases[here], known[here])
-                    at += size
-                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((chunk, None, sums), schema)], schema=schema)
-
-    out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def add(group: pa.Table) -> pa.Table:
-        about = next(d for d in group.column("docs").to_pylist() if d is not None)
-        ids, known_ids, train, sizes = _unpack(about, np.int64, np.bool_, np.bool_, np.int64)
-        scores, bases, known = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-        for raw in group.column("sums").to_pylist():
-            if raw is not None:
-                some, a, b, k = _unpack(raw, np.uint16, np.float32, np.float64, np.int32)
-                scores[some] += a
-                bases[some] += b
-                known[some] += k
-        return pa.table([pa.array(ids, mask=~known_ids), pa.array(~train), pa.array(sizes), pa.array(known), pa.array(np.full(len(ids), N)), pa.array(bases), pa.array(scores)], schema=out)
+        got = list(zip(*(group.column(n).to_pylist() for n in ("kind", "source", "data"))))
+        return Chunk(got, sent.value).scores()
 
     kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    sums = table.select("kind", "chunks", "data", "seats").mapInArrow(run, "chunk long, docs binary, sums binary")
-    return sums.groupBy("chunk").applyInArrow(add, kinds)
+    return rows.groupBy("at").applyInArrow(add, kinds)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from namesake.llm import pitman_yor as py
+from namesake.llm import restaurants as r
 from namesake.llm.common import held_out
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -31,64 +32,91 @@ def corpus(n=400):
     return docs + [(1000, None), (1001, ""), (1002, "new words only"), (None, "the w1"), (3, "the the"), (1003, "the w2 " * 20_000)]
 
 
-@pytest.mark.parametrize("chunk", [4_000_000, 3000])
-def test_scores(spark, monkeypatch, chunk):
-    monkeypatch.setattr(py, "CHUNK_TOKENS", chunk)
-    monkeypatch.setattr(py, "PART_TOKENS", chunk)
+@pytest.mark.parametrize("tokens,dictionary", [(3_000_000, 1 << 20), (3000, 1 << 20), (700, 30)])
+def test_scores(spark, monkeypatch, tokens, dictionary):
+    """Base columns by brute force; in one part, and in many with hot words and with words that the dictionary leaves out."""
+    monkeypatch.setattr(py, "CHUNK_TOKENS", tokens)
+    monkeypatch.setattr(py, "PART_TOKENS", tokens)
+    monkeypatch.setattr(py, "DICTIONARY", dictionary)
     docs = corpus()
     frame = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, score string")
     out = held_out(F.col("doc_id"), 7, 2)
-    held = {r.doc_id: r.h for r in frame.select("doc_id", out.alias("h")).collect()}
+    held = {x.doc_id: x.h for x in frame.select("doc_id", out.alias("h")).collect()}
     got = py.score(frame, out).collect()
     c = Counter(w for i, t in docs if not held[i] for w in words(t))
     n, v = sum(c.values()), len(c)
     want = sorted(((i, held[i], len(words(t)), sum(c[w] > 0 for w in words(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words(t)), 6)) for i, t in docs), key=str)
-    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=str) == want
-    assert all(r.score < 0 for r in got)
-    some = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 1000]
-    assert sum(r.score for r in some) > 0.9 * sum(r.base_score for r in some)  # the order of words helps: log10 is a tenth less
-    again = {(r.doc_id, r.n_tokens): r.score for r in py.score(frame, out).collect()}
-    if chunk == 4_000_000:
-        assert all(abs(again[r.doc_id, r.n_tokens] - r.score) < 1e-9 for r in got)
+    assert sorted(((x.doc_id, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6)) for x in got), key=str) == want
+    assert all(x.score < 0 for x in got)
+    some = [x for x in got if x.held_out and x.doc_id is not None and x.doc_id < 1000]
+    assert sum(x.score for x in some) > 0.9 * sum(x.base_score for x in some)  # the order of words helps: log10 is a tenth less
 
 
-def test_probabilities_sum_to_one(spark):
+@pytest.mark.parametrize("tokens", [3_000_000, 1500])
+def test_probabilities_sum_to_one(spark, monkeypatch, tokens):
+    """Over all words and one unknown, in several contexts, from what the chunks get of all parts."""
+    monkeypatch.setattr(py, "PART_TOKENS", tokens)
     docs = corpus(150)
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    table, model = py.learn(frame, F.lit(False))
-    context = int(py.contexts_of(py.tokens_of("the", py.WordHash())[:1])[0])
     vocabulary = sorted({w for _, t in docs for w in words(t)[:-1]})
-    hashes = [*py.tokens_of(" ".join(vocabulary), py.WordHash()).tolist(), 12345]  # with the end, and an unknown word
-    assert len(hashes) == model["V"] + 1
-    rows = [r for r in table.collect() if r.kind == 0]
-    assert len(rows) == 1
-    part = py.Part(list(zip(rows[0].chunks, [bytes(b) for b in rows[0].data])))
-    seen = {(int(part.words[w]), int(k)): i for i, (w, k) in enumerate(zip(part.word, part.context))}
-    p = py.probabilities(part, bytes(rows[0].seats), model)
-    total = 0.0
-    tables, parents = (x.reshape(py.SAMPLES, -1) for x in py._unpack(bytes(rows[0].seats), np.int32, np.int32))
-    at, is_hot = part.hot_places(model["hot"])
-    for h in hashes:
-        if (h, context) in seen:
-            total += p[seen[h, context]]
-            continue
-        for s, m in enumerate(model["samples"]):
-            c1 = np.bincount(part.word, tables[s], len(part.words))
-            k = np.flatnonzero(part.words == np.uint64(h))
-            c, t = (0, 0) if not len(k) else (m["hot_c"][at[k[0]]], m["hot_t"][at[k[0]]]) if is_hot[k[0]] else (c1[k[0]], parents[s][k[0]])
-            parent = (c - m["d1"] * t + (py.PARENT_STRENGTH + m["d1"] * m["T1"]) / (model["V"] + 1)) / (py.PARENT_STRENGTH + m["C1"])
-            total += (py.STRENGTH + model["d"] * m["tables"][context]) * parent / (py.STRENGTH + model["customers"][context]) / py.SAMPLES
-    assert abs(total - 1) < 1e-9
-
-
-def test_seatings_follow_the_exact_distribution():
-    """Of three customers with one dish, against the weights of all five partitions."""
-    d, w, many = 0.5, 0.8, 40_000
-    got = np.bincount(py.seatings(np.full(many, 3), np.full(many, w), d, np.random.default_rng(0), 4)[-1], minlength=4)[1:] / many
+    probe = [(5000 + k, " ".join(f"{u} {w}" for w in [*vocabulary, "unknown"])) for k, u in enumerate(["the", "w3", "2"])]
+    probe += [(6000 + k, u) for k, u in enumerate(["the", "w3", "2"])]  # the end after each context
+    frame = spark.createDataFrame(docs + probe, "doc_id long, text string").coalesce(1)  # one chunk
+    rows, model = py.learn(frame, F.coalesce(F.col("doc_id") >= 5000, F.lit(False)))
+    assert (model["parts"] > 1 and len(model["hot"]) > 0) == (tokens == 1500)
+    groups: dict = {}
+    for x in rows.collect():
+        groups.setdefault(x["at"], []).append((x["kind"], x["source"], bytes(x["data"])))
+    done = 0
+    for got in groups.values():
+        chunk = py.Chunk(got, model)
+        p = chunk.probabilities()[chunk.plan.pair]
+        start = dict(zip(chunk.ids.tolist(), np.concatenate([[0], np.cumsum(chunk.sizes)[:-1]]).tolist()))
+        for k in range(3):
+            if 5000 + k in start and 6000 + k in start:
+                a = start[5000 + k]
+                assert abs(p[a + 1 : a + 2 * (len(vocabulary) + 1) : 2].sum() + p[start[6000 + k] + 1] - 1) < 1e-9
+                done += 1
+    assert done == 3
+
+
+def test_tables_follow_the_exact_distribution():
+    """Of three customers with one dish, against the weights of all five partitions; seated side by side and one by one."""
+    d, w, many = 0.5, 0.8, 20_000
     weights = np.array([w * (1 - d) * (2 - d), 3 * w * w * (1 - d), w**3])
-    assert np.allclose(got, weights / weights.sum(), atol=0.015)
-    t = py.seatings(np.array([0, 1, 5, 300, 100_000]), np.full(5, 0.3), d, np.random.default_rng(0))
-    assert all(x[0] == 0 and x[1] == 1 and (x[2:] >= 1).all() and (x <= [0, 1, 5, 300, 100_000]).all() for x in t)
+    for alone in (0, many):
+        r.ALONE = alone
+        seats = r.Seating(np.full(many, 3), np.arange(many), np.full(many, w), np.zeros(many, np.int64), np.zeros(many), 1.0, d, 0)
+        for _ in range(4):
+            seats.sweep()
+        got = np.bincount(seats.counts(), minlength=4)[1:] / many
+        assert np.allclose(got, weights / weights.sum(), atol=0.02)
+    r.ALONE = 48
+
+
+def test_tables_feed_back_into_the_restaurant():
+    """Two dishes of two customers in one restaurant: a new table's weight follows the tables of both."""
+    d, s, p, many = 0.5, 0.7, 0.4, 20_000
+    for alone in (0, 2 * many):
+        r.ALONE = alone
+        tables = np.full(many, 2)
+        seats = r.Seating(np.full(2 * many, 2), np.repeat(np.arange(many), 2), np.full(2 * many, p), tables, np.ones(many), s, d, 0)
+        for _ in range(8):
+            seats.sweep()
+        t = seats.counts().reshape(-1, 2)
+        assert (t.sum(1) == tables).all()
+        rising = [1.0, 1.0, (s + d) * p, (s + d) * (s + 2 * d) * p, (s + d) * (s + 2 * d) * (s + 3 * d) * p]  # up to a factor
+        weights = np.array([rising[2] * p * (1 - d) ** 2, 2 * rising[3] * p * p * (1 - d), rising[4] * p**3])
+        got = np.bincount(t.sum(1), minlength=5)[2:] / many
+        assert np.allclose(got, weights / weights.sum(), atol=0.02 if alone else 0.03)
+    r.ALONE = 48
+
+
+def test_packing_of_arrays():
+    rng = np.random.default_rng(0)
+    arrays = [rng.integers(0, 200, 50), np.zeros(0, np.int64), rng.integers(0, 1 << 40, 9), rng.integers(0, 1 << 63, 7).astype(np.uint64) * np.uint64(2), rng.random(5) > 0.5]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, r.unpack(r.pack(*arrays))))
+    keys = np.unique(np.concatenate([rng.integers(0, 1000, 50).astype(np.uint64), rng.integers(0, 1 << 63, 20).astype(np.uint64) | r.RARE]))
+    assert (r.keys_from(*r.unpack(r.pack(*r.key_arrays(keys)))) == keys).all()
 
 
 def test_empty_and_nothing_to_learn(spark):
