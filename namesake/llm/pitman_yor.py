@@ -41,7 +41,7 @@ class WordHash(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word) >> 1
-        if len(self) < 250_000 and len(word) < 64:
+        if len(self) < 500_000 and len(word) < 64:
             self[word] = value
         return value
 
@@ -77,7 +77,41 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield close()
 
 
-def count_words(docs: DataFrame) -> DataFrame:
+def cut_chunks(docs: DataFrame) -> DataFrame:
+    """(chunk, data): the documents' ids, flags and sizes, the words' hashes and numbers, and each token's word by its rank in the chunk."""
+    schema = pa.schema([("chunk", pa.int64()), ("data", pa.binary())])
+
+    def run(batches):
+        base = TaskContext.get().partitionId() << 32
+        for number, (ids, train, sizes, tokens) in enumerate(chunks(batches)):
+            words, place = np.unique(tokens, return_inverse=True)
+            n = np.bincount(place, minlength=len(words))
+            trained = np.bincount(place[np.repeat(train, sizes)], minlength=len(words))
+            rank = np.empty(len(words), np.int64)
+            rank[np.argsort(-n, kind="stable")] = np.arange(len(words))
+            known = np.array([i is not None for i in ids])
+            data = pack(np.array([i or 0 for i in ids], np.int64).view(np.uint64), known, train, sizes, words, n, trained, rank[place])
+            yield pa.RecordBatch.from_arrays([pa.array([base + number]), pa.array([data], pa.binary())], schema=schema)
+
+    return docs.mapInArrow(run, "chunk long, data binary")
+
+
+def open_chunk(data: bytes, model: dict):
+    """The chunk's documents, its words' sorted keys, each token's word, and the layout of its pairs."""
+    ids, known, train, sizes, words, n, _, rank = unpack(data)
+    place = np.argsort(-n, kind="stable")[rank]
+    common = model["common"]
+    at = np.minimum(np.searchsorted(common, words), max(0, len(common) - 1))
+    keys = np.where(common[at] == words, at.astype(np.uint64), words | RARE) if len(common) else words | RARE
+    order = np.argsort(keys)
+    where = np.empty(len(order), np.int64)
+    where[order] = np.arange(len(order))
+    end = int(where[np.searchsorted(words, np.uint64(END))])
+    keys, place = keys[order], where[place]
+    return ids.view(np.int64), known.astype(bool), train.astype(bool), sizes, keys, place, Layout(keys, place, sizes, end, model["hot"], model["parts"])
+
+
+def count_words(chunked: DataFrame) -> DataFrame:
     """(kind, key, n): kind 0: training tokens by their words' hashes; kind 1: all tokens, under the key 0."""
     schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
 
@@ -88,18 +122,20 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         keys, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        for _, train, sizes, tokens in chunks(batches):
-            total += len(tokens)
-            new, n = np.unique(tokens[np.repeat(train, sizes)], return_counts=True)
-            keys, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            counts = np.bincount(place, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-            if len(keys) > COUNTED:
-                yield from out(0, keys, counts)
-                keys, counts = keys[:0], counts[:0]
+        for batch in batches:
+            for data in batch.column(0):
+                _, _, _, sizes, words, _, trained, _ = unpack(data.as_py())
+                total += int(sizes.sum())
+                some = trained > 0
+                keys, place = np.unique(np.concatenate([keys, words[some]]), return_inverse=True)
+                counts = np.bincount(place, np.concatenate([counts, trained[some]]), len(keys)).astype(np.int64)
+                if len(keys) > COUNTED:
+                    yield from out(0, keys, counts)
+                    keys, counts = keys[:0], counts[:0]
         yield from out(0, keys, counts)
         yield from out(1, np.zeros(1, np.int64), np.array([total]))
 
-    return docs.mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return chunked.select("data").mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def common_words(counts: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,49 +163,15 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(SCHEMA)], schema=SCHEMA)
 
 
-def cut_chunks(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(chunk, data): the documents' ids, flags and sizes, the words' keys, and each token's word by its rank in the chunk."""
-    schema = pa.schema([("chunk", pa.int64()), ("data", pa.binary())])
-    sent = docs.sparkSession.sparkContext.broadcast(common)
-
-    def run(batches):
-        base = TaskContext.get().partitionId() << 32
-        for number, (ids, train, sizes, tokens) in enumerate(chunks(batches)):
-            words, place = np.unique(tokens, return_inverse=True)
-            at = np.minimum(np.searchsorted(sent.value, words), max(0, len(sent.value) - 1))
-            known = sent.value[at] == words if len(sent.value) else np.zeros(len(words), bool)
-            keys = np.where(known, at.astype(np.uint64), words | RARE)
-            order = np.argsort(keys)
-            where = np.empty(len(order), np.int64)
-            where[order] = np.arange(len(order))
-            place = where[place]
-            n = np.bincount(place, minlength=len(keys))
-            rank = np.empty(len(keys), np.int64)
-            rank[np.argsort(-n, kind="stable")] = np.arange(len(keys))
-            end = int(where[np.searchsorted(words, np.uint64(END))])
-            ids_known = np.array([i is not None for i in ids])
-            ids_all = np.array([i or 0 for i in ids], np.int64)
-            data = pack(ids_all.view(np.uint64), ids_known, train, sizes, *key_arrays(keys[order]), n, rank[place], np.array([end]))
-            yield pa.RecordBatch.from_arrays([pa.array([base + number]), pa.array([data], pa.binary())], schema=schema)
-
-    return docs.mapInArrow(run, "chunk long, data binary")
-
-
-def open_chunk(data: bytes, hot: np.ndarray, parts: int):
-    ids, known, train, sizes, steps, rare, n, rank, end = unpack(data)
-    keys = keys_from(steps, rare)
-    place = np.argsort(-n, kind="stable")[rank]
-    return ids.view(np.int64), known.astype(bool), train.astype(bool), sizes, keys, place, Layout(keys, place, sizes, int(end[0]), hot, parts)
-
-
-def route(chunked: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
+def route(chunked: DataFrame, model: dict) -> DataFrame:
     """Rows of PART: of each chunk its pairs at home in a part, with the number of training tokens of each."""
+    sent = chunked.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 chunk, data = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                _, _, train, sizes, keys, _, plan = open_chunk(data, hot, parts)
+                _, _, train, sizes, keys, _, plan = open_chunk(data, sent.value)
                 counts = np.bincount(plan.pair[np.repeat(train, sizes)], minlength=len(plan.part))
                 rows = []
                 for p, a, b in plan.parts():
@@ -270,7 +272,7 @@ def answer(group: pa.Table, model: dict) -> pa.Table:
     words, place = np.unique(np.concatenate(keys), return_inverse=True)
     c = np.bincount(place, np.concatenate([a[2] for _, a in asked])).astype(np.int64)
     ones, twos = int((c == 1).sum()), int((c == 2).sum())
-    t = seat_parent(c, 1 / (model["V"] + 1), model["V"] / len(words), PARENT_STRENGTH, discount_of(ones, twos), at)
+    t = seat_parent(c, 1 / (model["V"] + 1), model["V"] / len(words), PARENT_STRENGTH, discount_of(ones, twos), at, 0)
     rows, done = [_row(TOTAL, at, at, None, [int(c.sum()), int(t.sum()), ones, twos])], 0
     for (source, a), k in zip(asked, keys):
         mine = place[done : done + len(k)][a[3] > 0]
@@ -354,27 +356,23 @@ def seat_words(group: pa.Table, model: dict) -> pa.Table:
     for s in range(SAMPLES):
         ones, twos = int((c[s] == 1).sum()), int((c[s] == 2).sum())
         known = max(1, int((c[s] > 0).sum()))
-        tables.append(seat_parent(c[s], 1 / (model["V"] + 1), model["V"] / known, PARENT_STRENGTH, discount_of(ones, twos), at + (s << 32), 2))
+        tables.append(seat_parent(c[s], 1 / (model["V"] + 1), model["V"] / known, PARENT_STRENGTH, discount_of(ones, twos), at + (s << 32), 1))
         totals += [int(c[s].sum()), int(tables[s].sum()), ones, twos]
     out, done = [_row(TOTAL, at, at, None, totals)], 0
     for chunk, n in zip(asked[2].view(np.int64).tolist(), asked[3].tolist()):
         mine = np.cumsum(asked[4][done : done + n])
-        out.append(_row(WORDS, chunk, at, pack(*c[:, mine], *tables_of(tables, mine))))
+        out.append(_row(WORDS, chunk, at, pack(*c[:, mine], *(t[mine] for t in tables))))
         done += n
     return _table(out)
 
 
-def tables_of(tables: list[np.ndarray], mine: np.ndarray) -> list[np.ndarray]:
-    return [t[mine] for t in tables]
-
-
 class Chunk:
     """A chunk's documents with what its words and pairs have in the model."""
 
     def __init__(self, rows: list[tuple], model: dict):
         self.model, hot = model, model["hot"]
         data = next(d for k, _, d in rows if k == PART)
-        self.ids, self.known_ids, self.train, self.sizes, self.keys, self.place, self.plan = open_chunk(data, hot, model["parts"])
+        self.ids, self.known_ids, self.train, self.sizes, self.keys, self.place, self.plan = open_chunk(data, model)
         plan, n = self.plan, len(self.keys)
         home = plan.home
         self.count, self.tables = np.zeros(n, np.int64), np.zeros((SAMPLES, n), np.int64)
@@ -443,8 +441,8 @@ def learn(docs: DataFrame, held: Column) -> tuple[DataFrame, dict]:
     The driver sees sums, the dictionary of common words and counts of hot ones, which are bounded.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", held.alias("held"))
-    counts = materialize(count_words(rows))
+    chunked = materialize(cut_chunks(docs.select("doc_id", "text", held.alias("held"))))
+    counts = materialize(count_words(chunked))
     size = counts.groupBy("kind").agg(F.count("*").alias("n"), F.sum("n").alias("total"))
     size = {r["kind"]: (r["n"], r["total"]) for r in size.collect()}
     V, N = size.get(0, (0, 0))
@@ -452,16 +450,14 @@ def learn(docs: DataFrame, held: Column) -> tuple[DataFrame, dict]:
     common, n = common_words(counts, DICTIONARY)
     discard(counts)
     hot = np.flatnonzero((2 * n > PART_TOKENS) & (n.astype(np.float64) * DICTIONARY >= N))
-    hot_counts, hot = n[hot], hot.astype(np.uint64)
-    chunked = materialize(cut_chunks(rows, common))
-
-    width = len(hot)
-    first = materialize(route(chunked, parts, hot).groupBy("at").applyInArrow(lambda g: build(g, hot, parts), ROWS))
+    hot_counts, hot, width = n[hot], hot.astype(np.uint64), len(hot)
+    names = {"common": common, "hot": hot, "parts": parts}
+    first = materialize(route(chunked, names).groupBy("at").applyInArrow(lambda g: build(g, hot, parts), ROWS))
     totals, hot_types = _sums(first, "counts", 4), _sums(first, "hot", 2 * width)
     model = {"N": N, "V": V, "parts": parts, "hot": hot, "hot_counts": hot_counts, "d": discount_of(totals[2], totals[3]), "hot_types": hot_types[width:]}
     ask = first.filter(F.col("kind") == NEED)
     told = materialize(ask.groupBy("at").applyInArrow(lambda g: answer(g, model), ROWS))
-    hot_t, parent = _hot_parent(hot_types[:width], _sums(told, "counts", 4), V, -1 & 0xFFFF, 1)
+    hot_t, parent = _hot_parent(hot_types[:width], _sums(told, "counts", 4), V, SAMPLES, 0)
     model |= {"parent": parent, "hot_c": hot_types[:width], "hot_t": hot_t}
     ready = first.filter(F.col("kind") == PART).unionByName(told.filter(F.col("kind") == KNOWN)).drop("counts", "hot")
     second = materialize(ready.groupBy("at").applyInArrow(lambda g: reseat(g, model), ROWS))
@@ -474,11 +470,11 @@ def learn(docs: DataFrame, held: Column) -> tuple[DataFrame, dict]:
     model["samples"] = []
     for s in range(SAMPLES):
         c = hot_types[:width] + hot_sums[s]
-        t, parent = _hot_parent(c, sums[s], V, s, 2)
+        t, parent = _hot_parent(c, sums[s], V, s, 1)
         model["samples"].append(parent | {"hot_c": c, "hot_t": t, "hot_tables": hot_sums[SAMPLES + s]})
     about = chunked.select(F.lit(PART).cast("byte").alias("kind"), F.col("chunk").alias("at"), F.lit(0).cast("long").alias("source"), "data")
     pairs, words = second.filter(F.col("kind") == PAIRS), third.filter(F.col("kind") == WORDS)
-    return about.unionByName(pairs.select(about.columns)).unionByName(words.select(about.columns)), model
+    return about.unionByName(pairs.select(about.columns)).unionByName(words.select(about.columns)), model | {"common": common}
 
 
 def score(docs: DataFrame, held: Column) -> DataFrame:
