@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import defaultdict
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -17,74 +18,122 @@ from .common import map_texts, materialize, number_within, salts_for
 
 TOKENIZER = "word_bpe_49k.json"
 CACHE = 1_200_000
-#: ASCII marks that the tokenizer splits from the letters before them, as one run.
-MARKS = ".,;:!?"
+#: Chunks of more characters are encoded each time they come.
+LONGEST = 64
+#: An ASCII mark behind a letter or a number and before white space: the tokenizer takes it by itself.
+MARK = re.compile(r"[.,;:!?](?<=[^\W_].)(?=[ \n\r\t]|\Z)")
 #: str.split() parts at these too, the tokenizer doesn't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 CHUNK = re.compile(rf"(?:\S|[{SEPARATORS}])+")
 
 
 def chunks_of(text: str) -> list[str]:
-    """The text parted at the tokenizer's white space."""
+    """Chunks of the text that can be encoded apart: parted at the tokenizer's white space and before single marks."""
+    text = MARK.sub(r" \g<0>", text.lower() if text.isascii() else text)
     return CHUNK.findall(text) if any(c in text for c in SEPARATORS) else text.split()
 
 
+class Chunks(dict):
+    """Places of chunks among the encoder's entries; a new chunk gets a number below 0 and is noted in `new`."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.new.append(chunk)
+        self[chunk] = place = -len(self.new)
+        return place
+
+
 class Encoder:
-    """Little-endian 32-bit token ids of texts by the tokenizer's file, with the ids of chunks between white space kept.
+    """Token ids of texts by the tokenizer's file, with the ids of chunks between white space kept as entries of one array.
 
-    White space always ends a token, so that chunks can be encoded apart. A chunk of letters with MARKS behind
-    counts as two chunks; that keeps the number of different chunks low.
+    Chunks of over LONGEST characters aren't kept, and all is forgotten when there are `limit` chunks or ten times as
+    many ids.
     """
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, limit: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.cache: dict[str, bytes] = {}
-        self.limit = cache
+        self.limit = limit
+        self._forget()
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Encode chunks; those of letters, of which each ends in one word-end token, go many in a call."""
-        plain = [c for c in chunks if c.isalpha()]
-        other = [c for c in chunks if not c.isalpha()]
+    def _forget(self) -> None:
+        self.chunks = Chunks()
+        self.flat, self.start, self.length = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _append(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Add entries; their places."""
+        first = len(self.length)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length, lengths])
+        self.flat = np.concatenate([self.flat, ids.astype("<u4")])
+        return np.arange(first, len(self.length))
+
+    def _gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries one after the other, and how many each has."""
+        lengths = self.length[places]
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.start[places] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))], lengths
+
+    def _learn(self, chunks: list[str]) -> np.ndarray:
+        """Places of new chunks. Those of letters, of which each ends in one word-end token, go many in a call."""
+        low = [c.lower() if c.isascii() and c.isalpha() else c for c in chunks]
+        known = self.chunks
+        places = {c: k for c in low if (k := known.get(c, -1)) >= 0}
+        new = sorted(set(low) - places.keys())
+        plain = [c for c in new if c.isalpha()]
+        other = [c for c in new if not c.isalpha()]
+        done, ids, lengths = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(0, len(plain), 1000):
             group = plain[i : i + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids, dtype="<u4")
-            at = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
-            if len(at) != len(group) + 1:  # a script in which letters don't make one word
+            found = np.array(self.many([" ".join(group)], add_special_tokens=False)[0].ids)
+            at = np.flatnonzero(self.ends[found]) + 1
+            if len(at) != len(group):  # a script in which letters don't make one word
                 other += group
                 continue
-            raw = ids.tobytes()
-            self.cache.update((c, raw[4 * a : 4 * b]) for c, a, b in zip(group, at, at[1:]))
+            done += group
+            ids.append(found)
+            lengths.append(np.diff(at, prepend=0))
         for i in range(0, len(other), 1000):
-            for c, e in zip(other[i : i + 1000], self.tokenizer.encode_batch(other[i : i + 1000], add_special_tokens=False)):
-                self.cache[c] = np.array(e.ids, dtype="<u4").tobytes()
+            group = other[i : i + 1000]
+            found = [e.ids for e in self.many(group, add_special_tokens=False)]
+            done += group
+            ids.append(np.array([x for f in found for x in f], np.int64))
+            lengths.append(np.array([len(f) for f in found]))
+        places.update(zip(done, self._append(np.concatenate(ids), np.concatenate(lengths)).tolist()))
+        return np.fromiter(map(places.__getitem__, low), np.int64, len(low))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None], tail: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the id `tail` behind if there is one, and how many each text has."""
+        table = self.chunks
         split = [chunks_of(t or "") for t in texts]
-        cache = self.cache
-        if len(cache) > self.limit:
-            cache.clear()
-        new = {c for words in split for c in words} - cache.keys()
-        parts, wanted = {}, set()
-        for c in new:
-            core = c.rstrip(MARKS)
-            if len(core) < len(c) and core.isalpha():
-                parts[c] = core.lower() if core.isascii() else core, c[len(core) :]
-                wanted.update(parts[c])
-            elif c.isascii() and c.isalpha():
-                parts[c] = (c.lower(),)
-                wanted.add(c.lower())
-            else:
-                wanted.add(c)
-        self._learn(wanted - cache.keys())
-        for c, p in parts.items():
-            cache[c] = b"".join([cache[x] for x in p])
-        get = cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        size = np.array([len(x) for x in split], np.int64)
+        places = np.fromiter(chain.from_iterable(map(table.__getitem__, x) for x in split), np.int64, int(size.sum()))
+        if table.new:
+            learned = self._learn(table.new)
+            new = places < 0
+            places[new] = learned[-1 - places[new]]
+            table.update(zip(table.new, learned.tolist()))
+            for c in table.new:
+                if len(c) > LONGEST:
+                    del table[c]
+            table.new = []
+        if tail is not None:
+            end = self._append(np.array([tail]), np.array([1]))
+            places, size = np.insert(places, np.cumsum(size), end), size + 1
+        ids, lengths = self._gather(places)
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        edges = before[np.concatenate([[0], np.cumsum(size)])]
+        if len(table) > self.limit or len(self.flat) > 10 * self.limit:
+            self._forget()
+        return ids, np.diff(edges)
 
 
 @lru_cache(maxsize=1)
@@ -95,17 +144,18 @@ def encoder(path: str) -> Encoder:
 
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and end_id, cut where longer than the capacity."""
-    tail = np.array([end_id], dtype="<u4").tobytes()
 
     def make():
         def work(rows):
-            out = defaultdict(list)
-            for doc_id, ids in zip(rows["doc_id"], encoder(path).encode(rows["text"])):
-                ids += tail
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for name, v in zip(("doc_id", "piece", "start", "length", "ids_crc32"), (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))):
-                        out[name].append(v)
+            ids, lengths = encoder(path).encode(rows["text"], end_id)
+            raw, at = memoryview(ids.tobytes()), 0
+            out: dict[str, list] = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32")}
+            for doc_id, n in zip(rows["doc_id"], lengths.tolist()):
+                for k, start in enumerate(range(0, n, capacity)):
+                    size = min(capacity, n - start)
+                    for column, v in zip(out.values(), (doc_id, k, start, size, zlib.crc32(raw[4 * (at + start) : 4 * (at + start + size)]))):
+                        column.append(v)
+                at += n
             return out
 
         return work

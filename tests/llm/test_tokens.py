@@ -97,4 +97,12 @@ def test_separators_are_tokens():
     tokenizer = Tokenizer.from_file(path)
     odd = [f"a{x}{c}{y}b, the{c}" for c in "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2003\u2028\u202f\u3000\x0b\x0c" for x in ("", " ", "\x1f") for y in ("", "\n", "\x1c.")]
     want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
-    assert packing.Encoder(path).encode(odd) == want
+    encoder = packing.Encoder(path, 300)
+    got, lengths = encoder.encode(odd)
+    assert [x.astype("<u4").tobytes() for x in np.split(got, np.cumsum(lengths)[:-1])] == want
+    rng = random.Random(8)
+    signs = [*"aBzÄßéΣσ漢١½_'\"-.,;:!?()#@0123", "don't", "it's", "...", "?!", "\u0301", "H\u0331", "\u00a0", "\u2028", "\x85", "word,", "Word", " ", " ", " ", "\n", "\t", "\x1c", "x" * 70]
+    for _ in range(30):  # many texts at a time, so that chunks are learned, kept and forgotten
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+        got, lengths = encoder.encode(texts, 1)
+        assert [x.tolist() for x in np.split(got, np.cumsum(lengths)[:-1])] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
