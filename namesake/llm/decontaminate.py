@@ -41,24 +41,34 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     Benchmark items with a null item_id hit words like any other, and aren't among items. Rows are told apart by doc_id and the hash of the text; equal rows become one with their number in `copies`.
     A null text has no words. Ids may be null.
     """
-    wanted = benchmark_windows(benchmark, n).persist()
+    wanted = materialize(benchmark_windows(benchmark, n))
     lengths = sorted(r[0] for r in wanted.select("length").distinct().collect())  # n values at most
     size = wanted.count()
-    side = wanted.select("h", "window")
-    side = F.broadcast(side) if size <= BROADCAST_WINDOWS else side
+    few = size <= BROADCAST_WINDOWS
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), words(F.col("text")).alias("w"))
-    mark = F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("h"))
+    mark = F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("string").alias("text"))
+
+    def text_of(pos: Column, length: Column) -> Column:
+        return F.array_join(F.slice("w", pos + 1, length), " ")
 
     def found(length: int) -> Column:
-        return F.transform(_windows(F.col("w"), length), lambda h, i: F.struct(i.alias("pos"), F.lit(length).alias("len"), h.alias("h")))
-
-    scanned = rows.select("doc_id", "key", "w", F.explode(F.concat(F.array(mark), *[found(k) for k in lengths])).alias("at"))
-    scanned = scanned.select("doc_id", "key", "w", "at.pos", "at.len", "at.h")
-    joined = scanned.join(side, "h", "left")
-    real = (F.col("pos") < 0) | (F.col("window") == F.array_join(F.slice("w", F.col("pos") + 1, F.col("len")), " "))
-    kept = joined.filter(F.col("window").isNotNull() | (F.col("pos") < 0)).filter(real)
-    kept = kept.select("doc_id", "key", "pos", "len", "window", F.when(F.col("pos") < 0, F.size("w")).alias("n_words"))
+        text = (lambda i: text_of(i, F.lit(length))) if few else (lambda i: F.lit(None).cast("string"))
+        return F.transform(_windows(F.col("w"), length), lambda h, i: F.struct(i.alias("pos"), F.lit(length).alias("len"), h.alias("h"), text(i).alias("text")))
+
+    # of a window go its place and hash, and its own words where the join is in place: what is carried is linear in the text
+    scanned = rows.select("doc_id", "key", F.size("w").alias("n"), F.explode(F.concat(F.array(mark), *[found(k) for k in lengths])).alias("at"))
+    scanned = scanned.select("doc_id", "key", F.when(F.col("at.pos") < 0, F.col("n")).alias("n_words"), "at.pos", "at.len", "at.h", "at.text")
+    if few:
+        joined = scanned.join(F.broadcast(wanted.select("h", "window")), "h", "left")
+        kept = joined.filter((F.col("pos") < 0) | (F.col("window") == F.col("text"))).select("doc_id", "key", "pos", "len", "window", "n_words")
+    else:  # hits by hash are few: the words of their documents are looked up to verify them
+        marks = scanned.filter("pos < 0").select("doc_id", "key", "pos", "len", F.lit(None).cast("string").alias("window"), "n_words")
+        hits = scanned.filter("pos >= 0").select("doc_id", "key", "pos", "len", "h").join(wanted.select("h", "window"), "h")
+        hits = hits.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "pos", "len", "window").distinct()
+        back = hits.join(rows.filter(F.size("w") > 0), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key")))
+        good = back.filter(F.col("window") == text_of(F.col("pos"), F.col("len")))
+        kept = marks.unionByName(good.select("doc_id", "key", "pos", "len", "window", F.lit(None).cast("int").alias("n_words")))
     spans = F.collect_set(F.when(F.col("pos") >= 0, F.struct("pos", (F.col("pos") + F.col("len")).alias("end"))))
     per_doc = kept.groupBy("doc_id", "key").agg(
         F.max("n_words").cast("long").alias("n_words"),
@@ -75,7 +85,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     per_doc = materialize(per_doc.withColumn("n_hit", covered))  # small; read three times below
     clean = per_doc.filter(F.size("windows") == 0).withColumn("items", F.array().cast("array<string>"))
     names = wanted.select("window", F.explode("items").alias("item"))
-    names = F.broadcast(names) if size <= BROADCAST_WINDOWS else names
+    names = F.broadcast(names) if few else names
     dirty = per_doc.filter(F.size("windows") > 0)
     items = dirty.select("doc_id", "key", F.explode("windows").alias("window")).join(names, "window").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
     items = items.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "items")
@@ -102,13 +112,24 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 13, per_hit: int = 20
     )
 
 
+def _runs(spans: Column) -> Column:
+    """Sorted spans (pos, end) joined where they touch or overlap."""
+    def add(runs: Column, x: Column) -> Column:
+        touch = (F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["end"] >= x["pos"])
+        longer = F.struct(F.try_element_at(runs, F.lit(-1))["pos"].alias("pos"), F.greatest(F.try_element_at(runs, F.lit(-1))["end"], x["end"]).alias("end"))
+        return F.when(touch, F.concat(F.slice(runs, 1, F.greatest(F.lit(0), F.size(runs) - 1)), F.array(longer))).otherwise(F.concat(runs, F.array(x)))
+
+    return F.aggregate(spans, F.array().cast("array<struct<pos:int,end:int>>"), add)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "documents", n: int = 13, per_hit: int = 20) -> DataFrame:
     """The documents with the benchmark taken out: all their columns, in any number.
 
-    action 'documents' drops contaminated documents; 'spans' keeps every row and cuts the hit words out of its text.
+    action 'documents' drops contaminated documents; 'spans' keeps every row and cuts runs of hit words, with all that
+    stands between them, out of its text.
     """
     flagged = (F.col("n_hit") > 0) & (F.col("n_hit") * per_hit >= F.col("n_words")) if action == "documents" else F.col("n_hit") > 0
-    hits = find_hits(docs, benchmark, n).filter(flagged).select(F.col("doc_id").alias("_hit_id"), F.col("key").alias("_hit_key"), F.col("spans").alias("_hit_spans"))
+    hits = find_hits(docs, benchmark, n).filter(flagged).select(F.col("doc_id").alias("_hit_id"), F.col("key").alias("_hit_key"), _runs(F.col("spans")).alias("_hit_spans"))
     same = F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (F.xxhash64("text") == F.col("_hit_key"))
     if action == "documents":
         return docs.join(hits, same, "left_anti")
@@ -116,7 +137,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
     tokens = F.regexp_extract_all("text", F.lit(plain), F.lit(0))
     gaps = F.split("text", plain, -1)
     inside = lambda i: F.exists("_hit_spans", lambda s: (s["pos"] <= i) & (i < s["end"]))
+    between = lambda i: F.exists("_hit_spans", lambda s: (s["pos"] < i) & (i < s["end"]))
     pairs = F.zip_with(gaps, tokens, lambda g, t: F.struct(g.alias("gap"), t.alias("word")))
-    left = F.transform(pairs, lambda x, i: F.concat(x["gap"], F.coalesce(F.when(~inside(i), x["word"]), F.lit(""))))
+    left = F.transform(pairs, lambda x, i: F.concat(F.when(between(i), F.lit("")).otherwise(x["gap"]), F.coalesce(F.when(~inside(i), x["word"]), F.lit(""))))
     cut = docs.join(hits, same, "left")
     return cut.select(*[F.when(F.col("_hit_spans").isNull(), F.col("text")).otherwise(F.array_join(left, "")).alias("text") if c == "text" else docs[c] for c in docs.columns])

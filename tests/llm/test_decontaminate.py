@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import pytest
+
+from namesake.llm import decontaminate as module
 from namesake.llm.decontaminate import decontaminate, report
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -41,7 +44,9 @@ def fixture():
     return docs, items
 
 
-def test_brute_force(spark):
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_brute_force(spark, monkeypatch, bound):
+    monkeypatch.setattr(module, "BROADCAST_WINDOWS", bound)
     docs, items = fixture()
     d = spark.createDataFrame([(*r, "clash") for r in docs], "doc_id long, text string, n_hit string")
     b = spark.createDataFrame(items, "item_id long, text string")
