@@ -5,14 +5,17 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_lowest, map_texts
+from .common import in_lowest, map_texts, slices
 
 LETTER = re.compile(r"[^\W\d_]")
-#: Segments are parsed side by side; a phrase ends where its segment does.
+#: Segments of texts are parsed side by side, then joined so that phrases run on over their edges.
 SEGMENT = 256
+#: Rows of a segment after which a parse that began elsewhere is compared with the segment's own.
+STOPS = (32, 64, 128, SEGMENT)
 #: Up to so many different symbols an automaton's transitions are a table, beyond it they are sorted keys.
 TABLE_SYMBOLS = 64
 #: Bounds of the labelled sample: documents of a language, and characters taken from each.
@@ -77,19 +80,53 @@ class Automaton:
         place = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
         return np.where(self.keys[place] == want, self.to[place], np.int32(0))
 
-    def phrases(self, columns: np.ndarray) -> np.ndarray:
-        """Of each column, the number of longest matches that its symbols fall into; a symbol not its own is a phrase by itself."""
-        state = np.zeros(columns.shape[1], np.int32)
-        count = np.zeros(columns.shape[1], np.int32)
+    def _run(self, rows: np.ndarray, state: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """States after rows of symbols; adds to count the phrases that begin in them."""
         first = self.flat if self.keys is None else self.first
-        for row in columns:
+        for row in rows:
             row = self.number.take(row, mode="clip")  # what is over its largest symbol becomes 0
             to = self._next(state, row)
             none = to == 0
             count += none | (state == 0)
             np.copyto(to, first.take(row), where=none)
             state = to
-        return count
+        return state
+
+    def phrases(self, columns: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Of each column, how many of the longest matches of its text begin in it; a symbol not its own is one by itself.
+
+        Columns are segments of texts; follows says which go on from the column before. Each is parsed from its
+        beginning first, then again from the state in which the segment before it ends, up to where both parses are in the
+        same state and so go on alike. Where that doesn't happen within a segment, the next one is parsed once more.
+        """
+        n = columns.shape[1]
+        state, count = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        states, counts, at = [], [], 0
+        for stop in STOPS:
+            state = self._run(columns[at:stop], state, count)
+            states.append(state.copy())
+            counts.append(count.copy())
+            at = stop
+        begin = np.zeros(n, np.int32)
+        todo = np.flatnonzero(follows)
+        while len(todo):
+            todo = todo[states[-1][todo - 1] != begin[todo]]
+            begin[todo] = states[-1][todo - 1]
+            end = states[-1][todo].copy()
+            left, state, count, at = todo, begin[todo], np.zeros(len(todo), np.int32), 0
+            for k, stop in enumerate(STOPS):
+                state = self._run(columns[at:stop, left], state, count)
+                same = state == states[k][left]
+                done = left[same]
+                for j in range(k + 1, len(STOPS)):
+                    counts[j][done] += count[same] - counts[k][done]
+                counts[k][done] = count[same]
+                left, state, count, at = left[~same], state[~same], count[~same], stop
+                states[k][left], counts[k][left] = state, count
+            changed = todo[states[-1][todo] != end] + 1
+            changed = changed[changed < n]
+            todo = changed[follows[changed]]
+        return counts[-1]
 
 
 class Identifier:
@@ -123,7 +160,9 @@ class Identifier:
         starts = np.concatenate([[0], np.cumsum(parts)[:-1]])
         size = np.array([len(x) for x in symbols])
         extra = parts * SEGMENT - size  # padding counts one phrase each
-        bits = np.array([(np.add.reduceat(a.phrases(columns), starts) - extra) * a.bits / size for a in self.automata])
+        follows = np.ones(len(padded), bool)
+        follows[starts] = False
+        bits = np.array([(np.add.reduceat(a.phrases(columns, follows), starts) - extra) * a.bits / size for a in self.automata])
         order = np.argsort(bits, axis=0, kind="stable")
         first = np.take_along_axis(bits, order[:1], 0)[0]
         second = np.take_along_axis(bits, order[1:2], 0)[0] if len(bits) > 1 else np.full(len(first), np.inf)
@@ -157,8 +196,10 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
 
     Phrases are weighed by the bits of a place in the language's text and divided by the text's length. score: by which
     part the best needs less than the next (0 to 1). 'und' and 0 where the text is null or has no letter, or no
-    language was learned. Equal languages: the first by name. Rows may repeat.
+    language was learned. Equal languages: the first by name. Rows may repeat, an empty table gives no rows, columns other
+    than doc_id and text aren't read. Very long texts are parsed whole.
     """
+
     def make():
         model = Identifier(samples)
 
@@ -169,3 +210,16 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
         return work
 
     return map_texts(docs, make, "doc_id long, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
+    """The rows, all their columns, for whose own text identify() finds a language; a null doc_id doesn't matter."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        model = Identifier(samples)
+        for batch in slices(batches):
+            langs, _ = model.identify(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([x != "und" for x in langs]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,6 @@
 import random
 
-from namesake.llm.language_id import SEGMENT, Automaton, Identifier, identify, labelled_sample
+from namesake.llm.language_id import SEGMENT, Automaton, Identifier, identify, keep_identified, labelled_sample
 from pyspark.sql import functions as F
 
 import numpy as np
@@ -25,7 +25,7 @@ def test_phrases_match_brute_force():
             while at + n < len(line) and bytes(line[at : at + n + 1]) in text and bytes(line[at : at + n]) in text:
                 n += 1
             count, at = count + 1, at + n
-        assert automaton.phrases(np.array(line, np.int32)[:, None])[0] == count
+        assert automaton.phrases(np.array(line, np.int32)[:, None], np.zeros(1, bool))[0] == count
 
 
 def test_languages(spark):
@@ -51,11 +51,43 @@ def test_nothing_learned_and_empty(spark):
     assert identify(frame.limit(0), {"en": "abc"}).count() == 0
 
 
-def test_segments_change_little():
+def test_phrases_run_on_over_segments():
+    """Segments parsed side by side against one parse of the whole text, with matches longer than segments too."""
     rng = random.Random(9)
-    model = Identifier({x: sentence(x, rng, 400) for x in WORDS})
-    for lang in WORDS:
-        assert model.identify([sentence(lang, rng, 10 * SEGMENT)])[0] == [lang]
+    source = [rng.randint(1, 4) for _ in range(3000)]
+    automaton = Automaton(source)
+    texts, columns, follows = [], [], []
+    for _ in range(40):
+        line = []
+        while len(line) < rng.randint(1, 6 * SEGMENT):
+            a = rng.randrange(3000)
+            line += rng.choice([source[a : a + rng.choice([3, 20, 1500])], [rng.randint(1, 5)]])
+        texts.append(line)
+        for at in range(0, len(line), SEGMENT):
+            part = line[at : at + SEGMENT]
+            columns.append(part + [0] * (SEGMENT - len(part)))
+            follows.append(at > 0)
+    got = automaton.phrases(np.array(columns, np.int32).T.copy(), np.array(follows))
+    k = 0
+    for line in texts:
+        parts = -(-len(line) // SEGMENT)
+        whole = automaton._run(np.array(line, np.int32)[:, None], np.zeros(1, np.int32), count := np.zeros(1, np.int32))
+        assert len(whole) == 1 and got[k : k + parts].sum() - (parts * SEGMENT - len(line)) == count[0]
+        k += parts
+
+
+def test_equal_languages_take_the_first_name(spark):
+    frame = spark.createDataFrame([(1, "the house of water", "x"), (1, "the house of water", "x")], "doc_id long, text string, lang_pred string")
+    got = identify(frame, {"b": "the house of water", "a": "the house of water"}).collect()
+    assert [(r.lang_pred, r.score) for r in got] == [("a", 0.0)] * 2
+
+
+def test_rows_are_kept_by_their_own_text(spark):
+    rows = [(1, "the house", "a"), (1, "12", "b"), (None, "34", "c"), (None, "the water", "d"), (2, None, "e")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    left = keep_identified(frame, {"en": "the house of water"})
+    assert left.columns == frame.columns and sorted(r.score for r in left.collect()) == ["a", "d"]
+    assert keep_identified(frame.limit(0), {"en": "abc"}).count() == 0 and keep_identified(frame, {}).count() == 0
 
 
 def alphabet(first, n):
@@ -92,4 +124,4 @@ def test_phrases_over_a_large_alphabet_match_brute_force():
             while at + n < len(line) and tuple(line[at : at + n + 1]) in runs:
                 n += 1
             count, at = count + 1, at + n
-        assert automaton.phrases(np.array(line, np.int32)[:, None])[0] == count
+        assert automaton.phrases(np.array(line, np.int32)[:, None], np.zeros(1, bool))[0] == count
