@@ -176,7 +176,7 @@ def place(members: DataFrame, percent: int) -> DataFrame:
     return placed.select("nid", "family", F.explode(F.concat(own, up, down)).alias("unit"))
 
 
-def find(docs: DataFrame, percent: int = 85, size: int = 3, count: int = 48, rows: int = 7) -> DataFrame:
+def find(docs: DataFrame, percent: int = 80, size: int = 5, count: int = 56, rows: int = 6) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id and kept.
 
     Documents link if 100 * intersection >= percent * union of their shingle sets; component_id is the smallest doc_id
@@ -184,8 +184,8 @@ def find(docs: DataFrame, percent: int = 85, size: int = 3, count: int = 48, row
     nothing. Rows of one doc_id are one document; a null doc_id takes part only through an equal set under another id,
     and is never kept. Equal sets are one class from the start, so that copies cost nothing further.
 
-    A band shared by classes makes them candidates. With 48 bands of 7 a pair at 85 per cent shares none once in 10^8
-    cases. Candidates that hang together are a family; its classes go into units by size (sizes further apart than the
+    A band shared by classes makes them candidates. With 56 bands of 6 a pair at 80 per cent shares none four times in
+    10^8 cases, with 48 bands of 7 one at 85 per cent once in 10^8. Candidates that hang together are a family; its classes go into units by size (sizes further apart than the
     threshold can't link) and, where a family is large, by hash into parts, of which each pair is a unit. So a unit is
     bounded however large a family, and all its pairs are verified on whole sets. Only links that hold a unit's
     components together are written.

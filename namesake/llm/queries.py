@@ -48,7 +48,7 @@ def op8_pii(spark, sf_dir):
 
 
 def op9_near_dups(spark, sf_dir):
-    return near_dups.find(read(spark, sf_dir, "documents"))
+    return near_dups.find(read(spark, sf_dir, "documents"), percent=85, size=3, count=48, rows=7)
 
 
 def op10_jump_shard(spark, sf_dir):

@@ -12,10 +12,13 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def brute(docs, percent=85):
+CONTRACT = {"percent": 85, "size": 3, "count": 48, "rows": 7}
+
+
+def brute(docs, percent=85, size=3):
     def runs(text):
         w = WORD.findall((text or "").translate(LOWER))
-        return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} - {()}
+        return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
 
     sets = [(i, runs(t)) for i, t in docs]
     parent = {i: i for i, _ in docs}
@@ -56,16 +59,17 @@ def test_brute_force(spark, monkeypatch, unit):
     monkeypatch.setattr(near_dups, "UNIT_SHINGLES", unit)
     docs = corpus()
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("nid", F.lit("clash"))
-    got = sorted(tuple(r) for r in near_dups.find(frame).collect())
+    assert sorted(tuple(r) for r in near_dups.find(frame).collect()) == brute(docs, 80, 5)
+    got = sorted(tuple(r) for r in near_dups.find(frame, **CONTRACT).collect())
     assert got == brute(docs)
-    left = near_dups.deduplicate(frame)
+    left = near_dups.deduplicate(frame, **CONTRACT)
     assert left.columns == frame.columns
     assert sorted(r.doc_id for r in left.collect()) == [r[0] for r in brute(docs) if r[3]]
 
 
 def test_null_and_repeated_ids(spark):
     docs = [(5, "a b c d"), (None, "a b c d"), (None, "z z z q"), (9, "a b c d"), (9, "a b c d"), (7, None)]
-    got = near_dups.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = near_dups.find(spark.createDataFrame(docs, "doc_id long, text string"), **CONTRACT).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(5, 2, 5, True), (None, 2, 5, False), (None, 2, None, False), (9, 2, 5, False), (9, 2, 5, False), (7, 0, 7, True)], key=str)
     assert near_dups.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -117,4 +121,4 @@ def test_units_are_bounded_by_sets(spark):
 def test_brute_force_in_units_of_few_sets(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "UNIT_SETS", 50)
     docs = corpus(2)
-    assert sorted(tuple(r) for r in near_dups.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()) == brute(docs)
+    assert sorted(tuple(r) for r in near_dups.find(spark.createDataFrame(docs, "doc_id long, text string"), **CONTRACT).collect()) == brute(docs)
