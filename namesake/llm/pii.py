@@ -14,6 +14,8 @@ from .lstm_crf import Tagger
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STEP, AROUND = 64, 32, 24
+#: Characters of a word that are looked at on each side of a digit or an @; of a stretch; and of two stretches in common.
+WORD, LONG, OVERLAP = 256, 65536, 512
 #: Bound of the sample whose spans train the tagger.
 SAMPLE_DOCS = 400
 SAMPLE_WINDOWS = 1500
@@ -69,33 +71,39 @@ def text_of(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-_SINGLE = {c: i for i, c in enumerate("@.-+() _%:/,\n", 6)}
-CLASSES = 6 + len(_SINGLE)
+#: Inputs of the tagger: 0 past the end, ASCII characters, and other characters by their code's remainder.
+OTHERS = 64
+INPUTS = 1 + 128 + OTHERS
 
 
-def _kind_of(code: int) -> int:
-    c = chr(code)
-    return _SINGLE.get(c) or (1 if "0" <= c <= "9" else 2 if "a" <= c <= "z" else 3 if "A" <= c <= "Z" else 4 if code < 128 else 5)
+def inputs_of(text: str) -> np.ndarray:
+    """The tagger's input for each character."""
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+    return np.where(codes < 128, 1 + codes, 129 + codes % OTHERS).astype(np.uint8)
 
 
-_TABLE = np.array([_kind_of(i) for i in range(128)] + [5], np.uint8)
-
-
-def classes_of(text: str) -> np.ndarray:
-    """Character classes from 1 on; 0 is past the end."""
-    return _TABLE[np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), "<u4"), 128)]
-
-
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text that may hold personal data: all kinds have a digit or an @, and these are AROUND or less away."""
+def stretches(text: str) -> list[tuple[int, int, int, int]]:
+    """Parts of the text that may hold personal data: all kinds have a digit or an @. A part has the whole words with
+    these and AROUND characters more on each side. Those of over LONG characters are cut into overlapping ones, so that
+    memory is bounded. (start, end, first and last + 1 of the places where its spans may begin)."""
     out: list[list[int]] = []
     for m in CLUE.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+        if out and m.end() + AROUND <= out[-1][1]:
+            continue
+        first, b = max(0, m.start() - WORD), m.end()
+        a = max(first, text.rfind(" ", first, m.start()) + 1)
+        end = text.find(" ", b, b + WORD)
+        a, b = max(0, a - AROUND), min(len(text), (end if end >= 0 else b + WORD) + AROUND)
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1][1] = max(b, out[-1][1])
         else:
             out.append([a, b])
-    return [(a, b) for a, b in out]
+    cut = []
+    for a, b in out:
+        for c in range(a, max(a + 1, b - OVERLAP), LONG - OVERLAP):
+            end = min(c + LONG, b)
+            cut.append((c, end, c if c == a else c + OVERLAP // 2, end if end == b else end - OVERLAP // 2))
+    return cut
 
 
 def tags_of(length: int, spans) -> np.ndarray:
@@ -138,11 +146,11 @@ def training_windows(texts: list[str], limit: int = SAMPLE_WINDOWS) -> tuple[np.
             if not plain or s[0] >= plain[-1][2]:
                 plain.append(s)
         for body, marks in ((text, plain), *([variants(text, plain, n)] if plain else [])):
-            classes, tags = classes_of(body), tags_of(len(body), marks)
-            for a, b in stretches(body)[:8]:
+            inputs, tags = inputs_of(body), tags_of(len(body), marks)
+            cuts = [(c, min(c + WINDOW, b)) for a, b, _, _ in stretches(body) for c in range(a, max(a + 1, b - STEP), STEP)]
+            for a, b in cuts[: 1 + limit // 50]:
                 x, y = np.zeros(WINDOW, np.uint8), np.zeros(WINDOW, np.int8)
-                b = min(b, a + WINDOW)
-                x[: b - a], y[: b - a] = classes[a:b], tags[a:b]
+                x[: b - a], y[: b - a] = inputs[a:b], tags[a:b]
                 xs.append(x)
                 ys.append(y)
                 if len(xs) >= limit:
@@ -150,12 +158,12 @@ def training_windows(texts: list[str], limit: int = SAMPLE_WINDOWS) -> tuple[np.
     return np.array(xs).reshape(-1, WINDOW).T, np.array(ys).reshape(-1, WINDOW).T
 
 
-def train(texts: list[str], epochs: int = 12) -> Tagger | None:
+def train(texts: list[str], epochs: int = 8) -> Tagger | None:
     """The tagger of the sample's spans; None where the sample has no stretch to learn from."""
     x, y = training_windows(texts)
     if not x.shape[1] or not y.any():
         return None
-    tagger = Tagger(CLASSES, 1 + 2 * len(KINDS))
+    tagger = Tagger(INPUTS, 1 + 2 * len(KINDS))
     tagger.fit(x, y, epochs)
     return tagger
 
@@ -183,8 +191,8 @@ def find(tagger: Tagger | None, texts: list[str | None], max_windows: int = 4096
     found = [base_spans(t) for t in texts]
     if tagger is None:
         return found
-    places = [(i, a, b) for i, t in enumerate(texts) if t for a, b in stretches(t)]
-    cuts = [classes_of(texts[i][a:b]) for i, a, b in places]
+    places = [(i, *s) for i, t in enumerate(texts) if t for s in stretches(t)]
+    cuts = [inputs_of(texts[i][a:b]) for i, a, b, _, _ in places]
     order = sorted(range(len(places)), key=lambda k: len(cuts[k]))
     at = 0
     while at < len(order):
@@ -206,12 +214,13 @@ def find(tagger: Tagger | None, texts: list[str | None], max_windows: int = 4096
             times[p * STEP : p * STEP + WINDOW] += 1
         tags = tagger.viterbi((total / times[None, :, None]).transpose(1, 0, 2)).T
         for k, g in enumerate(group):
-            i, a, b = places[g]
-            found[i] = _add(found[i], texts[i], a, tags[k, : b - a])
+            i, a, b, low, high = places[g]
+            found[i] = _add(found[i], texts[i], a, tags[k, : b - a], low, high)
     return [sorted(s) for s in found]
 
 
-def _add(spans, text: str, offset: int, tags: np.ndarray):
+def _add(spans, text: str, offset: int, tags: np.ndarray, low: int, high: int):
+    """The spans with those of the tags that begin from low to high - 1, touch none and pass the exact check."""
     marked = np.flatnonzero(tags)
     if not len(marked):
         return spans
@@ -229,7 +238,7 @@ def _add(spans, text: str, offset: int, tags: np.ndarray):
             a += 1
         while a < b and (text[b - 1].isspace() or text[b - 1] in ".,;:"):
             b -= 1
-        if a < b and not any(x < b and a < y for x, _, y in out) and _plausible(kind, text[a:b]):
+        if low <= offset + start < high and a < b and not any(x < b and a < y for x, _, y in out) and _plausible(kind, text[a:b]):
             out.append((a, kind, b))
     return out
 
@@ -247,7 +256,9 @@ def sample(docs: DataFrame, keep: Column | None = None, limit: int = SAMPLE_DOCS
 def report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, the patterns' matches of each kind, their digest, and all spans with the tagger's added.
 
-    A null text is empty: no spans. Rows may repeat. With nothing to learn from only the patterns count.
+    A null text is empty: no spans. Rows may repeat; an empty table gives no rows; columns other than doc_id and text
+    aren't read. Very long texts are read whole, in stretches of bounded size. With nothing to learn from only the
+    patterns count.
     """
     tagger = train(sample(docs))
 

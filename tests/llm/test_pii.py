@@ -106,3 +106,27 @@ def test_report_and_redact(spark):
     texts = {r.doc_id: r.text for r in clean.collect()}
     assert texts[500] is None and texts[501] == "" and texts[None] == "x [email]" and texts[502].endswith("call [phone] now")
     assert pii.report(frame.limit(0)).count() == 0
+
+
+def test_added_spans_on_held_out_texts():
+    """Phones without + and addresses with spaces at the @, in texts that the tagger hasn't seen: found, and little else."""
+    docs = [t for _, t in documents()]
+    tagger = pii.train(docs[:200])
+    found = total = others = 0
+    for n, text in enumerate(docs[200:]):
+        body, marks = pii.variants(text, pii.base_spans(text), n)
+        added = set(pii.find(tagger, [body])[0]) - set(pii.base_spans(body))
+        touch = lambda m: any(k == m[1] and a < m[2] and m[0] < b for a, k, b in added)
+        wanted = [m for m in marks if m[1] in (0, 3) and m not in pii.base_spans(body) and not any(a < m[2] and m[0] < b for a, _, b in pii.base_spans(body))]
+        found, total = found + sum(map(touch, wanted)), total + len(wanted)
+        others += sum(not any(a < m[2] and m[0] < b for m in marks) for a, _, b in added)
+    assert total > 15 and found >= 0.8 * total and others <= 3
+
+
+def test_long_stretches_are_cut_and_joined():
+    text = "12 12 " * 40_000 + "call (017) 555-7713 now " + "7 " * 50_000
+    cuts = pii.stretches(text)
+    assert len(cuts) > 3 and max(b - a for a, b, _, _ in cuts) <= pii.LONG
+    assert cuts[0][2] == 0 and cuts[-1][3] == len(text) and all(x[3] == y[2] for x, y in zip(cuts, cuts[1:]))
+    word = "x" * 500 + "7" + "y" * 300_000
+    assert pii.stretches(word)[0][1] < 2000 and pii.find(pii.train([t for _, t in documents()[:40]], 1), [word, text, None, ""])[2:] == [[], []]
