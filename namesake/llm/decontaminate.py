@@ -18,10 +18,30 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
-def _windows(tokens: Column, length: int) -> Column:
-    """The hash of each run of `length` words, in order; empty where there are fewer words."""
-    starts = F.when(F.size(tokens) >= length, F.sequence(F.lit(1), F.size(tokens) - (length - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, F.lit(length))))
+def _pairs(left: Column, right: Column) -> Column:
+    """Hashes of the pairs of two arrays of hashes."""
+    return F.zip_with(left, right, lambda x, y: F.xxhash64(x, y))
+
+
+def with_hashes(rows: DataFrame, longest: int) -> DataFrame:
+    """Adds columns h1, h2, h4, ...: the hashes of each run of that many words of w, each made of two of half its length."""
+    rows = rows.withColumn("h1", F.transform("w", lambda x: F.xxhash64(x)))
+    k = 1
+    while 2 * k <= longest:
+        kept = F.greatest(F.lit(0), F.size(f"h{k}") - k)
+        rows = rows.withColumn(f"h{2 * k}", _pairs(F.slice(f"h{k}", F.lit(1), kept), F.slice(f"h{k}", F.lit(1 + k), kept)))
+        k *= 2
+    return rows
+
+
+def _windows(length: int) -> Column:
+    """The hash of each run of `length` words, from the columns of with_hashes; empty where there are fewer words."""
+    number = F.greatest(F.lit(0), F.size("w") - (length - 1))
+    out, at = None, 0
+    for k in (1 << b for b in reversed(range(length.bit_length())) if length >> b & 1):
+        part = F.slice(f"h{k}", F.lit(1 + at), number)
+        out, at = part if out is None else _pairs(out, part), at + k
+    return out
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = 13) -> DataFrame:
@@ -31,8 +51,9 @@ def benchmark_windows(benchmark: DataFrame, n: int = 13) -> DataFrame:
     """
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     length = F.least(F.size("w"), F.lit(n))
-    cut = items.select("item_id", length.alias("length"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.slice("w", i, length))).alias("part"))
-    return cut.groupBy(F.xxhash64("part").alias("h"), F.array_join("part", " ").alias("window"), "length").agg(F.collect_set("item_id").alias("items"))
+    cut = items.select("item_id", length.alias("length"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.slice("w", i, length))).alias("w"))
+    h = F.coalesce(*[F.when(F.col("length") == k, F.try_element_at(_windows(k), F.lit(1))) for k in range(1, n + 1)])
+    return with_hashes(cut, n).groupBy(h.alias("h"), F.array_join("w", " ").alias("window"), "length").agg(F.collect_set("item_id").alias("items"))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
@@ -46,29 +67,34 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     size = wanted.count()
     few = size <= BROADCAST_WINDOWS
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), words(F.col("text")).alias("w"))
-    mark = F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("string").alias("text"))
-
-    def text_of(pos: Column, length: Column) -> Column:
-        return F.array_join(F.slice("w", pos + 1, length), " ")
+    key = F.xxhash64("text").alias("key")
+    rows = with_hashes(docs.select("doc_id", key, words(F.col("text")).alias("w")), max(lengths, default=1))
+    mark = F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("h"))
 
     def found(length: int) -> Column:
-        text = (lambda i: text_of(i, F.lit(length))) if few else (lambda i: F.lit(None).cast("string"))
-        return F.transform(_windows(F.col("w"), length), lambda h, i: F.struct(i.alias("pos"), F.lit(length).alias("len"), h.alias("h"), text(i).alias("text")))
+        return F.transform(_windows(length), lambda h, i: F.struct(i.alias("pos"), F.lit(length).alias("len"), h.alias("h")))
 
-    # of a window go its place and hash, and its own words where the join is in place: what is carried is linear in the text
+    # a window's row has its place and hash only, so that what is carried is linear in the text
     scanned = rows.select("doc_id", "key", F.size("w").alias("n"), F.explode(F.concat(F.array(mark), *[found(k) for k in lengths])).alias("at"))
-    scanned = scanned.select("doc_id", "key", F.when(F.col("at.pos") < 0, F.col("n")).alias("n_words"), "at.pos", "at.len", "at.h", "at.text")
+    scanned = scanned.select("doc_id", "key", F.when(F.col("at.pos") < 0, F.col("n")).alias("n_words"), "at.pos", "at.len", "at.h")
+    side = wanted.select("h", "window")
     if few:
-        joined = scanned.join(F.broadcast(wanted.select("h", "window")), "h", "left")
-        kept = joined.filter((F.col("pos") < 0) | (F.col("window") == F.col("text"))).select("doc_id", "key", "pos", "len", "window", "n_words")
-    else:  # hits by hash are few: the words of their documents are looked up to verify them
-        marks = scanned.filter("pos < 0").select("doc_id", "key", "pos", "len", F.lit(None).cast("string").alias("window"), "n_words")
-        hits = scanned.filter("pos >= 0").select("doc_id", "key", "pos", "len", "h").join(wanted.select("h", "window"), "h")
-        hits = hits.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "pos", "len", "window").distinct()
-        back = hits.join(rows.filter(F.size("w") > 0), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key")))
-        good = back.filter(F.col("window") == text_of(F.col("pos"), F.col("len")))
-        kept = marks.unionByName(good.select("doc_id", "key", "pos", "len", "window", F.lit(None).cast("int").alias("n_words")))
+        joined = scanned.join(F.broadcast(side), "h", "left").filter(F.col("window").isNotNull() | (F.col("pos") < 0)).drop("h")
+    else:
+        marks = scanned.filter("pos < 0").withColumn("window", F.lit(None).cast("string")).drop("h")
+        joined = marks.unionByName(scanned.filter("pos >= 0").join(side, "h").drop("h"))
+    joined = materialize(joined)
+
+    # hits by hash are verified against the words of their documents, which are read again
+    hits = joined.filter("pos >= 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "pos", "len", "window")
+    asked = hits.select("_id", "_key").distinct()
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_WINDOWS else asked
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key"))
+    own = docs.select("doc_id", key, "text").join(asked, same, "left_semi").select("doc_id", "key", words(F.col("text")).alias("w"))
+    real = F.col("window") == F.array_join(F.slice("w", F.col("pos") + 1, F.col("len")), " ")
+    verified = hits.distinct().join(own, same).filter(real)
+    verified = verified.select("doc_id", "key", F.lit(None).cast("int").alias("n_words"), "pos", "len", "window")
+    kept = joined.filter("pos < 0").unionByName(verified)
     spans = F.collect_set(F.when(F.col("pos") >= 0, F.struct("pos", (F.col("pos") + F.col("len")).alias("end"))))
     per_doc = kept.groupBy("doc_id", "key").agg(
         F.max("n_words").cast("long").alias("n_words"),
