@@ -18,7 +18,7 @@ from .restaurants import RARE, Layout, Seating, discount_of, homes, key_arrays,
 #: Tokens of a chunk of documents and, about, of a part of the model; they bound what a task holds.
 CHUNK_TOKENS = 1_000_000
 CHUNK_DOCS = 60_000
-PART_TOKENS = 3_000_000
+PART_TOKENS = 2_000_000
 #: Different words that a task counts before it passes them on.
 COUNTED = 2_000_000
 #: Bound of the dictionary that gives common words short names; other words go by their hashes.
@@ -41,7 +41,7 @@ class WordHash(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word) >> 1
-        if len(self) < 500_000 and len(word) < 64:
+        if len(self) < 200_000 and len(word) < 64:
             self[word] = value
         return value
 
