@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 
-EMAIL = r"[A-Za-z0-9_.+-]+@([A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+)"
+EMAIL = r"[\p{L}\p{N}_.+-]+@([\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+)"
 
 
 def strip(c: Column) -> Column:

@@ -58,22 +58,24 @@ def _dimensions(columns: list[str]) -> dict[str, Column]:
     return {d: F.filter(F.coalesce(v, empty), lambda x: x.isNotNull() & (x != "")) for d, v in values.items()}
 
 
-def evidence(cand: DataFrame) -> DataFrame:
-    """(person_id, pmid, assertion, dim, value, mult): a row for each different value, with how often the article has it."""
-    values = _dimensions(cand.columns)
+def evidence(cand: DataFrame, dims: list[str] | None = None) -> DataFrame:
+    """(person_id, pmid, assertion, dim, value, mult): a row for each different value of the dimensions (all without
+    dims), with how often the article has it."""
+    values = {d: v for d, v in _dimensions(cand.columns).items() if dims is None or d in dims}
     named = lambda dim: lambda x: F.struct(F.lit(dim).alias("dim"), x.alias("value"))
     facts = F.flatten(F.array(*[F.transform(v, named(dim)) for dim, v in values.items()]))
     rows = cand.select("person_id", "pmid", "assertion", F.explode(facts).alias("fact"))
     return rows.groupBy("person_id", "pmid", "assertion", F.col("fact.dim").alias("dim"), F.col("fact.value").alias("value")).agg(F.count("*").alias("mult"))
 
 
-def feedback_features(cand: DataFrame, strict_loo: bool = False) -> DataFrame:
-    """person_id, pmid and the twelve feedback scores; zero for persons without a decision.
+def feedback_features(cand: DataFrame, strict_loo: bool = False, dims: list[str] | None = None) -> DataFrame:
+    """person_id, pmid and the twelve feedback scores, or those of dims; zero for persons without a decision.
 
     One table of evidence and one window over (person, dimension, value): its totals less the row's own give the counts
     among the person's other articles, in n log n instead of all pairs. Takes target and target_author_index.
     """
-    facts = evidence(cand)
+    dims = list(params.ABSENCE) if dims is None else dims
+    facts = evidence(cand, dims)
     same = Window.partitionBy("person_id", "dim", "value")
     is_a, is_r = (F.col("assertion") == "ACCEPTED").cast("long"), (F.col("assertion") == "REJECTED").cast("long")
     counted = facts.withColumns({"a": F.sum(is_a).over(same) - is_a, "r": F.sum(is_r).over(same) - is_r})
@@ -84,7 +86,7 @@ def feedback_features(cand: DataFrame, strict_loo: bool = False) -> DataFrame:
     strength = F.coalesce(*[F.when(F.col("dim") == d, F.lit(s)) for d, s in params.ABSENCE.items()])
     value = F.when(~F.col("hit"), absence(F.col("total_accepted"), strength)).when(F.col("dim").isin(*params.AVERAGED), F.col("s") / F.col("n")).otherwise(F.col("s"))
     wide = per.join(totals, "person_id").withColumn("v", value).groupBy("person_id", "pmid")
-    wide = wide.agg(*[F.sum(F.when(F.col("dim") == d, F.col("v"))).alias(f"feedbackScore{d}") for d in params.ABSENCE])
+    wide = wide.agg(*[F.sum(F.when(F.col("dim") == d, F.col("v"))).alias(f"feedbackScore{d}") for d in dims])
     rows = cand.select("person_id", "pmid").join(totals, "person_id").join(wide, ["person_id", "pmid"], "left")
     curated = F.col("total_accepted") + F.col("total_rejected") > 0
-    return rows.select("person_id", "pmid", *[F.coalesce(F.when(curated, F.col(c)), F.lit(0.0)).alias(c) for c in NAMES])
+    return rows.select("person_id", "pmid", *[F.coalesce(F.when(curated, F.col(c)), F.lit(0.0)).alias(c) for c in (f"feedbackScore{d}" for d in dims)])

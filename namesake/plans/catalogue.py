@@ -97,7 +97,7 @@ for _dim in ("Journal", "Year", "CoAuthorName", "Keyword"):
 
     @query(sql.FACTS + f"SELECT person_id, pmid, {rounded_sql([f'feedbackScore{_dim}'])} FROM fb", _name)
     def _one(t, dim=_dim):
-        return rounded(feedback.feedback_features(_resolved(t)), KEYS, [f"feedbackScore{dim}"])
+        return rounded(feedback.feedback_features(_resolved(t), dims=[dim]), KEYS, [f"feedbackScore{dim}"])
 
 
 @query(

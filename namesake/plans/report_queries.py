@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import jaro_winkler, keywords_of, name_key, score_key, wilson, wilson_clipped
 from ..operators import derived, discover, evaluate, feedback, identity_features, model, reports, retrieve
+from .. import params
 from ..params import Params
 from ..sources import tables
 from . import sql
@@ -401,7 +402,7 @@ def curation_export(t):
 
 # Discovery
 
-DOCS = r"SELECT regexp_replace(lower(d), '\.+$', '') AS domain, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@([A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+)', 1)) AS d FROM documents) GROUP BY 1"
+DOCS = r"SELECT regexp_replace(lower(d), '\.+$', '') AS domain, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}_.+-]+@([\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+)', 1)) AS d FROM documents) GROUP BY 1"
 
 
 @query(DOCS)
@@ -430,17 +431,28 @@ def domain_affiliations(t):
     return discover.affiliations(t.article, "mail.example.com", (1994, 1996)).groupBy("affiliation").agg(F.count("*").alias("n"))
 
 
-@query(SQL + f"SELECT person_id, {sql.key('first_name')} AS key_a, {sql.skey('first_name')} AS key_b, lower(primary_institution) AS keywords FROM identity WHERE NOT contains(primary_institution, ' ')")
+STOP = ", ".join(f"'{w}'" for w in params.STOPWORDS)
+GENERIC = ", ".join(f"'{w}'" for w in params.GENERIC_WORDS)
+PLAIN = f"[x FOR x IN string_split(lower(primary_institution), ' ') IF x NOT IN ({STOP}, '')]"
+TELLING = f"[x FOR x IN {PLAIN} IF x NOT IN ({GENERIC})]"
+KEYWORDS = f"array_to_string((CASE WHEN len({TELLING}) > 0 THEN {TELLING} ELSE {PLAIN} END)[:4], '|')"
+
+
+@query(SQL + f"SELECT person_id, {sql.key('first_name')} AS key_a, {sql.skey('first_name')} AS key_b, {KEYWORDS} AS keywords FROM identity")
 def name_keys(t):
-    rows = t.identity.filter(~F.col("primary_institution").contains(" "))
-    return rows.select("person_id", name_key(F.col("first_name")).alias("key_a"), score_key(F.col("first_name")).alias("key_b"), keywords_of(F.col("primary_institution")).alias("keywords"))
+    return t.identity.select("person_id", name_key(F.col("first_name")).alias("key_a"), score_key(F.col("first_name")).alias("key_b"), keywords_of(F.col("primary_institution")).alias("keywords"))
+
 
+CLIPPED_WILSON = "greatest(0, least(1, (a / (a + r) + z * z / (2 * (a + r)) - z * sqrt((a / (a + r) * (1 - a / (a + r)) + z * z / (4 * (a + r))) / (a + r))) / (1 + z * z / (a + r))))"
 
-@query(SQL + f""", s AS (SELECT person_id, count(*) FILTER (WHERE assertion = 'ACCEPTED')::DOUBLE AS a, count(*) FILTER (WHERE assertion = 'REJECTED')::DOUBLE AS r FROM curation GROUP BY 1), z AS (SELECT 1.959963984540054::DOUBLE AS z)
-SELECT person_id, round({WILSON}, 6) + 0.0 AS wilson, round(greatest(0, least(1, (a / (a + r) + z * z / (2 * (a + r)) - z * sqrt((a / (a + r) * (1 - a / (a + r)) + z * z / (4 * (a + r))) / (a + r))) / (1 + z * z / (a + r)))), 6) + 0.0 AS wilson_clipped FROM s, z""")
+
+@query(SQL + f""", s AS (
+  SELECT person_id, count(*) FILTER (WHERE assertion = 'ACCEPTED')::DOUBLE AS a, count(*) FILTER (WHERE assertion = 'REJECTED')::DOUBLE AS r
+  FROM identity LEFT JOIN curation USING (person_id) GROUP BY 1), z AS (SELECT 1.959963984540054::DOUBLE AS z)
+SELECT person_id, round(CASE WHEN a + r > 0 THEN {WILSON} ELSE 0 END, 6) + 0.0 AS wilson, round(CASE WHEN a + r > 0 THEN {CLIPPED_WILSON} ELSE 0.5 END, 6) + 0.0 AS wilson_clipped FROM s, z""")
 def wilson_bounds(t):
-    a, r = F.col("accepted"), F.col("rejected")
-    counts = reports.curation_counts(t.curation)
+    a, r = F.coalesce("accepted", F.lit(0)), F.coalesce("rejected", F.lit(0))
+    counts = t.identity.select("person_id").join(reports.curation_counts(t.curation), "person_id", "left")
     return rounded(counts.select("person_id", wilson(a, r).alias("wilson"), wilson_clipped(a, r).alias("wilson_clipped")), ["person_id"], ["wilson", "wilson_clipped"])
 
 
@@ -476,7 +488,7 @@ FB = [c for c in (*derived.FEEDBACK_ONLY, *derived.SHARED) if c != "nameJaroWink
 CLIPPED = {"feedbackScoreCoAuthorName", "feedbackScoreYear", "feedbackScoreOrcidCoAuthor"}
 FILLED = " + ".join(f"({c} <> 0)::INT" for c in feedback.NAMES)
 FB_SQL = f"""
-  exp(0) * (1 - low) * (1 - identityStrength) * (1 - exp(-(ta + tr) / 10)) AS uncertainRejectionRisk, low AS acceptanceRateLowerBound, ln(1 + ta + tr) AS feedbackConfidence,
+  (1 - low) * (1 - identityStrength) * (1 - exp(-(ta + tr) / 10)) AS uncertainRejectionRisk, low AS acceptanceRateLowerBound, ln(1 + ta + tr) AS feedbackConfidence,
   filled / 15 AS feedbackDensity, filled / 15 * identityStrength AS feedbackIdentityInteraction, CASE WHEN ta > 0 THEN 15 - filled ELSE 0 END AS informedAbsenceCount,
   CASE WHEN ta > 0 THEN 15 - filled ELSE 0 END * ln(1 + ta) AS informedAbsenceIntensity,
   CASE WHEN nameMatchFirstScore < -2 AND feedbackScoreTargetAuthorName < 0 THEN abs(nameMatchFirstScore) * abs(feedbackScoreTargetAuthorName) ELSE 0 END AS nameConflictConfirmed,
@@ -489,13 +501,80 @@ FEEDBACK_TABLES = sql.FACTS + sql.EVIDENCE[len(sql.TARGET) :]
     FEEDBACK_TABLES
     + f""", bf AS (SELECT b.*, f.* EXCLUDE (person_id, pmid) REPLACE ({', '.join(f'greatest(0, f.{c}) AS {c}' for c in sorted(CLIPPED))}) FROM base b JOIN fb f ON f.person_id = b.person_id AND f.pmid = b.pmid),
 st AS (SELECT *, {STRENGTH.format(', least(1, greatest(0, feedbackScoreOrcid) / 0.9)')}, {FILLED} AS filled, 1.959963984540054::DOUBLE AS z, (ta + tr)::DOUBLE AS nn, CASE WHEN ta + tr > 0 THEN ta / (ta + tr) END AS pp FROM bf),
-lo AS (SELECT *, coalesce(greatest(0, least(1, (pp + z * z / (2 * nn) - z * sqrt((pp * (1 - pp) + z * z / (4 * nn)) / nn)) / (1 + z * z / nn))), 0.5) AS low FROM st),
+lo AS (SELECT *, CASE WHEN nn > 0 THEN greatest(0, least(1, (pp + z * z / (2 * nn) - z * sqrt((pp * (1 - pp) + z * z / (4 * nn)) / nn)) / (1 + z * z / nn))) ELSE 0.5 END AS low FROM st),
 dv AS (SELECT *, {SHARED_SQL} FROM lo), dw AS (SELECT *, {FB_SQL} FROM dv) SELECT person_id, pmid, {rounded_sql(FB)} FROM dw"""
 )
 def derived_feedback(t):
     return rounded(model.features(_resolved(t), t.curation), KEYS, FB)
 
 
+LOOKUPS = ["firstNameFrequencyScore", "genderScoreIdentityArticleDiscrepancy", "nameGenderConflict", "nameFrequencyMatchInteraction", "hasGender", "worstSingleEvidence"]
+GENDER = f"CASE WHEN g1.name IS NULL OR g2.name IS NULL THEN 0 ELSE {params.GENDER_LEAST} + {params.GENDER_RANGE} * CASE WHEN g1.gender = g2.gender THEN least(g1.probability, g2.probability) ELSE 1 - least(g1.probability, g2.probability) END END"
+LOOKUP_SQL = f""", word AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS w FROM part),
+freq AS (SELECT split_part(p_name, ' ', 1) AS name, count(*) / 100.0::DOUBLE AS score FROM part GROUP BY 1),
+med AS (SELECT list_sort(list(score))[count(*) // 2 + 1] AS median FROM freq),
+gen AS (SELECT w AS name, CASE WHEN length(w) % 2 = 0 THEN 'f' ELSE 'm' END AS gender, 0.5 + length(w) % 5 / 10.0::DOUBLE AS probability FROM word
+        UNION ALL SELECT w || 'a', 'f', 0.9::DOUBLE FROM word),
+lk AS (SELECT b.*, coalesce(f.score, median) AS firstNameFrequencyScore, ({GENDER})::DOUBLE AS genderScoreIdentityArticleDiscrepancy
+       FROM base b CROSS JOIN med LEFT JOIN freq f ON f.name = lower(first_name) LEFT JOIN gen g1 ON g1.name = lower(first_name) LEFT JOIN gen g2 ON g2.name = lower(coalesce(t_first, ''))),
+lv AS (SELECT *, CASE WHEN nameMatchFirstScore < -2 AND genderScoreIdentityArticleDiscrepancy < 0 THEN abs(nameMatchFirstScore) * abs(genderScoreIdentityArticleDiscrepancy) ELSE 0 END AS nameGenderConflict,
+  nameMatchFirstScore * firstNameFrequencyScore AS nameFrequencyMatchInteraction, (genderScoreIdentityArticleDiscrepancy <> 0)::INT AS hasGender,
+  least(nameMatchFirstScore, nameMatchMiddleScore, affil, discrepancyDegreeYearScore, genderScoreIdentityArticleDiscrepancy) AS worstSingleEvidence FROM lk)"""
+
+
+@query(sql.EVIDENCE + LOOKUP_SQL + f" SELECT person_id, pmid, {rounded_sql(LOOKUPS)} FROM lv")
+def derived_lookups(t):
+    """Name frequencies and genders, from tables of the given names that the parts have."""
+    first = F.split("p_name", " ")[0]
+    parts = t.read("part").select(first.alias("name"))
+    frequencies = parts.groupBy("name").agg((F.count("*") / 100.0).alias("score"))
+    names, n = parts.distinct(), F.length("name")
+    genders = names.select("name", F.when(n % 2 == 0, "f").otherwise("m").alias("gender"), (0.5 + n % 5 / 10.0).alias("probability"))
+    genders = genders.unionByName(names.select(F.concat("name", F.lit("a")).alias("name"), F.lit("f").alias("gender"), F.lit(0.9).alias("probability")))
+    rows = identity_features.identity_features(_resolved(t), genders=genders)
+    return rounded(derived.derived_identity(rows, frequencies), KEYS, LOOKUPS)
+
+
+# What is done with scores that are there: the table's own stand for a model's
+
+@query(SQL + "SELECT count(*) FILTER (WHERE assertion = 'ACCEPTED') AS accepted, count(*) AS decided, count(*) FILTER (WHERE assertion = 'ACCEPTED') >= 10 AS can_train, count(*) >= 100 AS advised FROM curation")
+def training_gates(t):
+    return model.gates(t.curation)
+
+
+BOTH = SQL + ", a AS (SELECT * FROM score WHERE model_type = 'feedbackIdentity'), b AS (SELECT * FROM score WHERE model_type = 'identityOnly') "
+
+
+@query(BOTH + "SELECT person_id, pmid, a.calibrated_score AS score_a, b.calibrated_score AS score_b FROM a JOIN b USING (person_id, pmid)")
+def model_comparison(t):
+    return model.compare(t.score.filter("model_type = 'feedbackIdentity'"), t.score.filter("model_type = 'identityOnly'"))
+
+
+@query(BOTH + "SELECT person_id, pmid, round(greatest(0, least(1, a.calibrated_score, 33 * (b.calibrated_score / (25 + pmid % 10)))), 6) + 0.0 AS calibrated_score, a.calibrated_score > 33 * (b.calibrated_score / (25 + pmid % 10)) AS capped FROM a JOIN b USING (person_id, pmid)")
+def score_safety_net(t):
+    """The cap of scores with feedback by small shares of those without, which some are over."""
+    pairs = model.compare(t.score.filter("model_type = 'feedbackIdentity'"), t.score.filter("model_type = 'identityOnly'"))
+    rows = model.safety_net(pairs.select(*KEYS, F.col("score_a").alias("calibrated_score"), (F.col("score_b") / (25 + F.col("pmid") % 10)).alias("identity_score")))
+    return rows.select(*KEYS, (F.round("calibrated_score", 6) + F.lit(0.0)).alias("calibrated_score"), "capped")
+
+
+@query(EVAL + """, m AS (SELECT avg(((score >= 50) = (label = 1))::INT) AS accuracy, count(*) FILTER (WHERE score >= 50 AND label = 1) / greatest(count(*) FILTER (WHERE score >= 50), 1) AS precision,
+  count(*) FILTER (WHERE score >= 50 AND label = 1) / greatest(sum(label), 1) AS recall FROM ev),
+au AS (SELECT sum(p * (nn - fp + q / 2)) / (max(np) * max(nn)) AS auc FROM (SELECT *, q * 1.0 AS qq FROM cum))
+SELECT """ + rounded_sql(["accuracy", "precision", "recall", "auc"]) + " FROM m, au")
+def score_metrics(t):
+    rows = _eval(t).select((F.col("score") / 100).alias("calibrated_score"), F.col("label"))
+    return rounded(model.validate(rows), [], ["accuracy", "precision", "recall", "auc"])
+
+
+@query(SQL + "SELECT DISTINCT person_id, model_type FROM score s WHERE NOT EXISTS (SELECT 1 FROM score c WHERE c.person_id = s.person_id AND c.model_type = s.model_type AND c.pmid % 7 = 0)")
+def score_cache_misses(t):
+    """Persons and models without a kept score, where those of every seventh article are kept."""
+    wanted = t.score.select("person_id", "model_type").distinct()
+    cache = t.score.filter("pmid % 7 = 0").select("person_id", "model_type", F.lit("m1").alias("model_dir")).distinct()
+    return model.uncached(wanted, cache, "m1")
+
+
 @query(name="jaro_winkler")
 def name_similarity(t):
     pairs = _resolved(t).select(F.lower("first_name").alias("a"), F.lower(F.coalesce("target.first_name", F.lit(""))).alias("b")).distinct()

@@ -114,7 +114,7 @@ oth AS (SELECT t.person_id, t.pmid, t.assertion, a.* EXCLUDE (pmid) FROM tgt t J
 facts AS (
   SELECT person_id, pmid, assertion, 'TargetAuthorName' AS dim, lower(t_first || ' ' || t_last) AS value FROM ct WHERE t_first <> '' AND t_last <> ''
   UNION ALL SELECT person_id, pmid, assertion, 'CoAuthorName', lower(first_name || ' ' || last_name) FROM oth WHERE length(first_name) > 1 AND last_name <> ''
-  UNION ALL SELECT person_id, pmid, assertion, 'Email', lower(regexp_extract(t_aff, '[A-Za-z0-9_.+-]+@([A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+)', 1)) FROM ct
+  UNION ALL SELECT person_id, pmid, assertion, 'Email', lower(regexp_extract(t_aff, '[\p{L}\p{N}_.+-]+@([\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+)', 1)) FROM ct
   UNION ALL SELECT person_id, pmid, assertion, 'Journal', lower(journal) FROM ct
   UNION ALL SELECT person_id, pmid, assertion, 'Keyword', k FROM (SELECT DISTINCT t.person_id, t.pmid, t.assertion, lower(a.keyword) AS k FROM tgt t JOIN author a USING (pmid))
   UNION ALL SELECT person_id, pmid, assertion, 'Institution', lower(t_aff) FROM ct

@@ -20,7 +20,7 @@ def plain(v):
     return tuple(map(plain, v)) if isinstance(v, list | tuple) else v
 
 
-@pytest.mark.parametrize("name", ["target_author", "name_scores", "feedback_all", "derived_feedback", "candidates_orcid_union", "merge_keep", "roc_auc", "calibration_bins", "orcid_inference", "score_export", "institution_names"])
+@pytest.mark.parametrize("name", ["target_author", "name_scores", "feedback_all", "derived_feedback", "candidates_orcid_union", "merge_keep", "roc_auc", "calibration_bins", "orcid_inference", "score_export", "institution_names", "derived_lookups", "wilson_bounds", "name_keys", "score_safety_net", "score_metrics", "training_gates", "score_cache_misses"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -48,7 +48,7 @@ def test_imports_without_the_text_operators(tmp_path):
         "import sys\n"
         "class Gone:\n"
         "    def find_spec(self, name, path=None, target=None):\n"
-        "        if name.startswith('namesake.llm') or name == 'corpus_pipeline': raise ImportError(name)\n"
+        "        if name.startswith('namesake.llm') or name == 'corpus_pipeline': raise ModuleNotFoundError(name, name='namesake.llm')\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e, bench\n"
         "assert e.queries() and not any(k.startswith('op') and k[2].isdigit() for k in e.queries()) and 'pipeline' not in e.queries()\n"
