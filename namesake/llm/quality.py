@@ -85,30 +85,37 @@ def hashed_words(words: list[list[bytes]], table: WordHash) -> tuple[np.ndarray,
     return hashes, np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes
 
 
-def trigrams(raw: bytes) -> np.ndarray:
-    """Hashed 3-grams of the text's bytes."""
-    b = np.frombuffer(raw, np.uint8).astype(np.uint32)
-    if len(b) < 3:
+def trigrams(text: str | None) -> np.ndarray:
+    """Hashed 3-grams of the text's characters."""
+    c = np.frombuffer((text or "").encode("utf-32-le", "replace"), "<u4")
+    if len(c) < 3:
         return np.zeros(0, np.uint32)
-    return ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
+    return ((c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1] * np.uint32(0x85EBCA77) ^ c[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
 
 
 def word_buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BITS)).astype(np.uint32)
 
 
+def pair_buckets(hashes: np.ndarray) -> np.ndarray:
+    """Of each word but the last, the bucket of it and the next."""
+    return word_buckets((hashes[:-1] * _POWERS[1] + hashes[1:]) * _POWERS[0])
+
+
 @dataclass
 class Model:
-    """Weights of word and of character buckets for relative frequencies; margin = a * (means + b) + c is calibrated."""
+    """Weights of buckets of words, of characters and of pairs of words, for relative frequencies; margin = a * (means + b)
+    + c is calibrated."""
 
     words: np.ndarray
     chars: np.ndarray
+    pairs: np.ndarray
     intercept: float
     slope: float
     shift: float
 
-    def probability(self, word: float, char: float) -> float:
-        return float(sigmoid(self.slope * (word + char + self.intercept) + self.shift))
+    def probability(self, means: float) -> float:
+        return float(sigmoid(self.slope * (means + self.intercept) + self.shift))
 
 
 def sample_features(docs: DataFrame, ids: DataFrame) -> list:
@@ -119,11 +126,11 @@ def sample_features(docs: DataFrame, ids: DataFrame) -> list:
         table = WordHash()
 
         def work(part):
-            raw, words = split_words(part["text"])
+            _, words = split_words(part["text"])
             index, value = [], []
-            for r, w in zip(raw, words):
+            for t, w in zip(part["text"], words):
                 hashes, _, _ = hashed_words([w], table)
-                found = [np.unique(x, return_counts=True) for x in (word_buckets(hashes), trigrams(r) + (1 << BITS))]
+                found = [np.unique(x, return_counts=True) for x in (word_buckets(hashes), trigrams(t) + np.uint32(1 << BITS), pair_buckets(hashes) + np.uint32(2 << BITS))]
                 index.append(np.concatenate([i for i, _ in found]).astype(np.int32).tobytes())
                 value.append(np.concatenate([n / max(1, n.sum()) for _, n in found]).astype(np.float32).tobytes())
             return {"doc_id": part["doc_id"], "label": part["label"], "indices": index, "values": value}
@@ -143,9 +150,9 @@ def train(rows: list, counts: dict[int, int], l2: float = 1e-3) -> Model:
     total = sum(counts.values())
     share = (counts.get(1, 0) + 0.5) / (total + 1)
     y = np.array([r.label for r in rows], float)
-    width = 2 << BITS
+    width = 3 << BITS
     if len(rows) < 10 or y.min() == y.max():
-        return Model(np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 1.0, float(np.log(share / (1 - share))))
+        return Model(*np.zeros((3, 1 << BITS)), 0.0, 1.0, float(np.log(share / (1 - share))))
     index = [np.frombuffer(bytes(r.indices), np.int32) for r in rows]
     value = [np.frombuffer(bytes(r["values"]), np.float32).astype(float) for r in rows]
     mean = np.bincount(np.concatenate(index), np.concatenate(value), width) / len(rows)
@@ -158,7 +165,7 @@ def train(rows: list, counts: dict[int, int], l2: float = 1e-3) -> Model:
     slope, shift = platt(rest.dot(w) + b, y[aside])
     shift += np.log(share / (1 - share)) - np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     w = w * scale
-    return Model(w[: 1 << BITS], w[1 << BITS :], b, slope, float(shift))
+    return Model(*w.reshape(3, -1), b, slope, float(shift))
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: Column | None = None, column: str = "quality", least: float = 0.3, per_class: int = PER_CLASS) -> DataFrame:
@@ -166,7 +173,8 @@ def score(docs: DataFrame, labels: DataFrame, keep: Column | None = None, column
 
     Base rules reject texts under 10 words and those of whose words over a fifth are in repeated windows; of the others
     the classifier keeps those whose probability of good quality is `least` or more. A null text has no words. Rows
-    may repeat; without labels the classifier keeps all.
+    may repeat; an empty table gives no rows; very long texts are read whole; columns other than doc_id and text aren't
+    read. Without ten labelled texts of both kinds a text is as likely good as the labels are; without labels all are kept.
     """
     ids, counts = labelled_ids(labels, column, F.lit(True) if keep is None else keep, per_class)
     model = train(sample_features(docs, ids), counts)
@@ -175,14 +183,16 @@ def score(docs: DataFrame, labels: DataFrame, keep: Column | None = None, column
         table = WordHash()
 
         def work(rows):
-            raw, words = split_words(rows["text"])
+            _, words = split_words(rows["text"])
             hashes, starts, sizes = hashed_words(words, table)
             out = base_counts(rows["text"], words, repeated_words(hashes, starts, sizes))
             text = np.repeat(np.arange(len(sizes)), sizes)
             word = np.bincount(text, model.words[word_buckets(hashes)], len(sizes)) / np.maximum(1, sizes)
-            char = [float(model.chars[g].mean()) if len(g := trigrams(r)) else 0.0 for r in raw]
+            inside = np.flatnonzero(text[1:] == text[:-1])
+            pair = np.bincount(text[inside], model.pairs[pair_buckets(hashes)[inside]], len(sizes)) / np.maximum(1, sizes - 1)
+            char = [float(model.chars[g].mean()) if len(g := trigrams(t)) else 0.0 for t in rows["text"]]
             failed = [n < 10 or 100 * r > 20 * n for n, r in zip(out["n_words"], out["n_repeat_words"])]
-            good = [model.probability(a, b) for a, b in zip(word.tolist(), char)]
+            good = [model.probability(a + b) for a, b in zip((word + pair).tolist(), char)]
             return out | {"doc_id": rows["doc_id"], "base_failed": failed, "quality": good, "kept": [not f and g >= least for f, g in zip(failed, good)]}
 
         return work
