@@ -111,3 +111,17 @@ def test_quality(spark):
     assert not any(r.kept for r in got if r.base_failed)
     assert quality.score(frame.limit(0), marks).count() == 0
     assert all(r.kept != r.base_failed for r in quality.score(frame, marks.limit(0)).collect())
+
+
+def test_pairs_of_words_and_characters_count():
+    """Word order and letters beyond ASCII reach the quality model's features; pairs don't run over texts."""
+    table = quality.WordHash()
+    one, _, _ = quality.hashed_words([b"a b c".split()], table)
+    two, _, _ = quality.hashed_words([b"a c b".split()], table)
+    assert set(quality.word_buckets(one)) == set(quality.word_buckets(two)) and set(quality.pair_buckets(one)) != set(quality.pair_buckets(two))
+    assert len(quality.trigrams("äöü")) == 1 and quality.trigrams("äöü") != quality.trigrams("äöß") and len(quality.trigrams("ab")) == len(quality.trigrams(None)) == 0
+
+
+def test_very_long_words_count_to_their_ends():
+    a, b = "x" * 9000 + "y", "x" * 9000 + "z"
+    assert (toxicity.word_features([a])[0, 0] != toxicity.word_features([b])[0, 0]) and (toxicity.word_features([a])[0, 1:7] == toxicity.word_features([b])[0, 1:7]).all()
