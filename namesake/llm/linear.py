@@ -76,11 +76,11 @@ def labelled_ids(labels: DataFrame, column: str, keep: Column, per_class: int) -
     """(doc_id, label) of the per_class ids with the lowest hashes of each label 0 and 1, and how many have each.
 
     Rows without an id or a label don't count; an id with several labels has the highest. Rows whose hashes can't be
-    among the lowest go first: what is ranked is about 8 times as many as are needed, however many there are.
+    among the lowest go first: what is ranked is about twice as many as are needed, however many there are.
     """
     known = labels.filter(keep & F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.max(column).alias("label"))
     counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
-    share = F.coalesce(*[F.when(F.col("label") == k, min(1.0, 8 * per_class / n)) for k, n in counts.items()], F.lit(1.0))
+    share = F.coalesce(*[F.when(F.col("label") == k, min(1.0, 2 * per_class / n)) for k, n in counts.items()], F.lit(1.0))
     cut = known.withColumn("h", F.xxhash64("doc_id", F.lit(7))).filter(in_lowest(F.col("h"), share))
     cut = cut.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))).filter(F.col("n") <= per_class)
     return cut.select("doc_id", "label"), counts
