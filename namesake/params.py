@@ -21,33 +21,26 @@ ARTICLES_THRESHOLD, ARTICLES_WEIGHT = 800, 583.9
 AUTHORS_SLOPE, AUTHORS_CONSTANT = -0.2461, 1.98
 BACHELOR_SHIFT = -7
 
-# Score of an article 48 to 100 years after the degree.
-LATE_YEARS = [
-    0.89, 0.88, 0.86, 0.85, 0.83, 0.81, 0.80, 0.77, 0.75, 0.73, 0.70, 0.68, 0.65, 0.62, 0.59, 0.56, 0.53, 0.49, 0.45, 0.42,
-    0.38, 0.34, 0.30, 0.25, 0.21, 0.16, 0.12, 0.07, 0.02, -0.04, -0.09, -0.14, -0.20, -0.26, -0.31, -0.37, -0.43, -0.50, -0.56, -0.63,
-    -0.69, -0.76, -0.83, -0.90, -0.98, -1.05, -1.12, -1.20, -1.28, -1.36, -1.44, -1.52, -1.61,
+# Score of an article from 99 years before the degree to 100 years after it, a value for each year.
+DEGREE_SCORES = [
+    -12.6, -12.5, -12.4, -12.3, -12.2, -12.1, -12.0, -11.9, -11.8, -11.7, -11.6, -11.5, -11.4, -11.3, -11.2, -11.1, -11.0, -10.9, -10.8, -10.7,
+    -10.6, -10.5, -10.4, -10.3, -10.2, -10.1, -10.0, -9.9, -9.8, -9.7, -9.6, -9.5, -9.4, -9.3, -9.2, -9.1, -9.0, -8.9, -8.8, -8.7,
+    -8.6, -8.5, -8.4, -8.3, -8.2, -8.1, -8.0, -7.9, -7.8, -7.7, -7.6, -7.5, -7.4, -7.3, -7.2, -7.1, -7.0, -6.9, -6.8, -6.7,
+    -6.6, -6.5, -6.4, -6.3, -6.2, -6.1, -6.0, -5.9, -5.8, -5.7, -5.6, -5.5, -5.4, -5.3, -5.2, -5.1, -5.0, -4.9, -4.8, -4.7,
+    -4.6, -4.5, -4.4, -4.3, -4.2, -4.1, -4.0, -3.78, -3.56, -3.34, -3.12, -2.9, -2.68, -2.46, -2.24, -2.02, -1.8, -1.58, -1.36, -1.16,
+    -0.96, -0.76, -0.56, -0.36, -0.175, 0.01, 0.195, 0.38, 0.55, 0.72, 0.89, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9,
+    0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9,
+    0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.89, 0.88, 0.86, 0.85, 0.83, 0.81, 0.8, 0.77, 0.75, 0.73, 0.7, 0.68, 0.65,
+    0.62, 0.59, 0.56, 0.53, 0.49, 0.45, 0.42, 0.38, 0.34, 0.3, 0.25, 0.21, 0.16, 0.12, 0.07, 0.02, -0.04, -0.09, -0.14, -0.2,
+    -0.26, -0.31, -0.37, -0.43, -0.5, -0.56, -0.63, -0.69, -0.76, -0.83, -0.9, -0.98, -1.05, -1.12, -1.2, -1.28, -1.36, -1.44, -1.52, -1.61,
 ]
 
 
 def degree_year_score(difference: int) -> float:
-    """Of a publication so many years after the degree; straight lines up to 47, then LATE_YEARS; clamped to -99 and 100."""
-    d = max(-99, min(100, difference))
-    if d <= -13:
-        return round((d - 27) / 10, 3)
-    if d <= -1:
-        return round(-1.36 + 0.22 * (d + 1), 3)
-    if d <= 4:
-        return round(-1.16 + 0.2 * d, 3)
-    if d <= 8:
-        return round(-0.175 + 0.185 * (d - 5), 3)
-    if d <= 11:
-        return round(0.55 + 0.17 * (d - 9), 3)
-    return 0.9 if d <= 47 else LATE_YEARS[d - 48]
+    """Of a publication so many years after the degree, clamped to -99 and 100."""
+    return DEGREE_SCORES[max(-99, min(100, difference)) + 99]
 
 
-#: (years after the degree, score) for all differences that count.
-DEGREE_TABLE = [(d, degree_year_score(d)) for d in range(-99, 101)]
-
 # How strongly a dimension's absence counts, and its scale.
 ABSENCE = {
     "TargetAuthorName": 1.0, "CoAuthorName": 0.9, "Email": 0.3, "Journal": 0.7, "JournalSubField": 0.7, "Keyword": 0.9,

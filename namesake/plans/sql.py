@@ -1,6 +1,6 @@
 """DuckDB SQL of the feature queries, written as joins and groups rather than as array expressions."""
 
-from ..params import DEGREE_TABLE
+from ..params import DEGREE_SCORES
 from .fixtures import SQL as FIXTURES
 
 KEY = "trim(lower(translate({}, '.-''', '')))"
@@ -89,7 +89,7 @@ names AS (
   FROM nt)
 """
 
-DEGREE = " ".join(f"WHEN {d} THEN {s}" for d, s in DEGREE_TABLE)
+DEGREE = " ".join(f"WHEN {d} THEN {s}" for d, s in enumerate(DEGREE_SCORES, -99))
 
 EVIDENCE = NAMES + rf""",
 ev AS (

@@ -15,7 +15,7 @@ AUTHORS = "array<struct<first_name:string,last_name:string,initials:string,affil
 def candidate(spark, rows):
     """rows: (first, middle, last, e-mail, [(first, last, initials, affiliation)])."""
     data = [
-        (str(i), i, f, m, l, e, [(a[0].split(" ")[0] if a[0] else "", a[1], a[2], a[3], "", a[0]) for a in authors], "Cornell University", "Surgery", "", 2000, 0, 0, "", "J", 2005, ["K"])
+        (str(i), i, f, m, l, e, [(a[0].split(" ")[0] if a[0] else "", a[1], a[2], a[3], "", a[0]) for a in authors], "Northfield University", "Surgery", "", 2000, 0, 0, "", "J", 2005, ["K"])
         for i, (f, m, l, e, authors) in enumerate(rows)
     ]
     schema = f"person_id string, pmid long, first_name string, middle_name string, last_name string, primary_email string, authors {AUTHORS}, primary_institution string, department string, orcid string, bachelor_year int, doctoral_year int, n int, assertion string, journal string, pub_year int, keywords array<string>"
@@ -74,9 +74,9 @@ def test_names_without_target_and_suffixes(spark):
 
 
 def test_addresses(spark):
-    texts = ["Surgery, Cornell University", "University of Cornell", "Elsewhere", "", "weill medical cornell", "x@med.cornell.edu"]
+    texts = ["Surgery, Northfield University", "University of Northfield", "Elsewhere", "", "harbor medical northfield", "x@med.northfield.edu"]
     rows = candidate(spark, [("A", "", "B", "qq77@x.org", [A("A", "B", "A", t)]) for t in texts]).withColumn("target_author_index", F.lit(0))
-    site = Params(email_suffixes=["@med.cornell.edu"], home_keywords=["weill|cornell"], synonyms={"surgery": ["operations"]})
+    site = Params(email_suffixes=["@med.northfield.edu"], home_keywords=["harbor|northfield"], synonyms={"surgery": ["operations"]})
     got = {r.pmid: r for r in identity_features.add_address_scores(target.with_target(rows), site).collect()}
     assert [got[i].targetAuthorInstitutionalAffiliationMatchTypeScore for i in range(6)] == [1.0, 1.0, -0.8, 0.0, 1.8, 1.8]
     assert [got[i].organizationalUnitMatchingScore for i in range(2)] == [0.6, 0.0]
@@ -141,12 +141,12 @@ def test_jaro_winkler(spark):
 
 
 def test_strings(spark):
-    row = spark.createDataFrame([("O'Neil-Roy ", "https://orcid.org/0000-0001", "a@B.edu", "Weill Cornell Medical College of New York", "2003 Jan-Feb", "=1+1")], "n string, o string, e string, i string, y string, x string")
+    row = spark.createDataFrame([("O'Neil-Roy ", "https://orcid.org/0000-0001", "a@B.edu", "Harbor Northfield Medical College of New York", "2003 Jan-Feb", "=1+1")], "n string, o string, e string, i string, y string, x string")
     c = F.col
     got = row.select(
         strings.name_key(c("n")), strings.score_key(c("n")), strings.normalize_orcid(c("o")), strings.email_user(c("e")), strings.email_domain(c("e")),
         strings.keywords_of(c("i")), strings.year_in(c("y")), strings.guard_cell(c("x")), strings.domain_in(F.lit("Mail: x.y@Med.edu, USA")), strings.strip_suffixes(F.lit("Smith MD PhD, Jr")),
     ).first()
-    assert tuple(got) == ("oneilroy", "oneil roy", "0000-0001", "a", "b.edu", "weill|cornell|medical|new", 2003, "'=1+1", "med.edu", "Smith")
+    assert tuple(got) == ("oneilroy", "oneil roy", "0000-0001", "a", "b.edu", "harbor|northfield|medical|new", 2003, "'=1+1", "med.edu", "Smith")
     bounds = spark.createDataFrame([(0, 0), (100, 0), (0, 100), (4, 1)], "a int, r int").select(strings.wilson_clipped(c("a"), c("r")).alias("w"), strings.wilson(c("a"), c("r")).alias("v")).collect()
     assert bounds[0].w == 0.5 and bounds[0].v == 0.0 and bounds[1].w > 0.95 and bounds[2].w < 0.05 and 0.3 < bounds[3].w < 0.5
