@@ -13,6 +13,8 @@ SPACE = "▁"
 #: Fixed value: an unknown character scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 CACHE = 1_000_000
+#: Chunks of more characters are counted each time they come.
+LONGEST = 64
 
 
 def vocabulary_path(name: str = PIECES) -> str:
@@ -79,14 +81,21 @@ class Counter:
         if len(self.cache) > self.limit:
             self.cache.clear()
         cache = self.cache
-        for part in {p for parts in split for p in parts[1:]} - cache.keys():
+        new = {p for parts in split for p in parts[1:]} - cache.keys()
+        for part in new:
             cache[part] = self.chunk(SPACE + part)
         get = cache.__getitem__
-        return [sum(map(get, parts[1:])) for parts in split]
+        out = [sum(map(get, parts[1:])) for parts in split]
+        for part in new:
+            if len(part) > LONGEST:
+                del cache[part]
+        return out
 
 
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and n_tokens of every whole text. A null or empty text has no tokens; rows may repeat."""
+    """doc_id and n_tokens of every whole text. A null or empty text has no tokens; rows may repeat; an empty table gives
+    no rows; columns other than doc_id and text aren't read. Very long texts are counted whole, chunk by chunk; of paths
+    with equal scores the tokenizer's counts."""
     path = path or vocabulary_path()
 
     def make():

@@ -106,3 +106,11 @@ def test_separators_are_tokens():
         texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(60)]
         got, lengths = encoder.encode(texts, 1)
         assert [x.tolist() for x in np.split(got, np.cumsum(lengths)[:-1])] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_long_chunks_and_an_empty_table(spark):
+    counter = token_counts.Counter([("▁a", -1.0), ("a", -2.0), ("▁", -3.0), ("aa", -2.5)])
+    long = "a" * 5001
+    assert counter.count([long, None, "", long + " a"]) == [1 + 2500, 0, 0, 1 + 2500 + 1] and all(len(k) <= 64 for k in counter.cache)
+    frame = spark.createDataFrame([(1, "a b", 5)], "doc_id long, text string, n_tokens int")
+    assert token_counts.count_tokens(frame).columns == ["doc_id", "n_tokens"] and token_counts.count_tokens(frame.limit(0)).count() == 0
