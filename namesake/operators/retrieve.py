@@ -27,9 +27,13 @@ def author_index(article: DataFrame) -> DataFrame:
     return rows.select("pmid", *dates, lenient.alias("lenient"), strict.alias("strict"), normalize_orcid(F.coalesce("a.orcid", F.lit(""))).alias("orcid"))
 
 
+def _asked(index: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """(pmid, key) of the index, once each, of the wanted keys only; all steps share one shuffle by key."""
+    return index.select("pmid", key).filter(F.col(key) != "").join(wanted.select(key).distinct(), key, "left_semi").distinct()
+
+
 def _counts(index: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    hits = index.select("pmid", key).filter(F.col(key) != "").join(wanted.select(key).distinct(), key, "left_semi").distinct()
-    return hits.groupBy(key).agg(F.count("*").alias(f"n_{key}"))
+    return _asked(index, key, wanted).groupBy(key).agg(F.count("*").alias(f"n_{key}"))
 
 
 def retrieve_by_name(identity: DataFrame, index: DataFrame, cfg: Params | None = None) -> tuple[DataFrame, DataFrame]:
@@ -52,14 +56,14 @@ def retrieve_by_name(identity: DataFrame, index: DataFrame, cfg: Params | None =
     parts = []
     for key in ("lenient", "strict"):
         asked = decisions.filter((F.col("query_type") == key) & (F.col(key) != "")).select("person_id", key)
-        parts.append(asked.join(index.select("pmid", key).distinct(), key).select(*KEYS))
+        parts.append(asked.join(_asked(index, key, asked), key).select(*KEYS))
     return parts[0].unionByName(parts[1]), decisions.drop("lenient", "strict")
 
 
 def retrieve_by_orcid(identity: DataFrame, index: DataFrame) -> DataFrame:
     """(person_id, pmid) of articles that list the person's ORCID; no thresholds."""
     asked = identity.select("person_id", normalize_orcid(F.col("orcid")).alias("orcid")).filter("orcid <> ''")
-    return asked.join(index.select("pmid", "orcid").filter("orcid <> ''").distinct(), "orcid").select(*KEYS)
+    return asked.join(_asked(index, "orcid", asked), "orcid").select(*KEYS)
 
 
 def since(index: DataFrame, first_day: Column) -> Column:

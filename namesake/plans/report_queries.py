@@ -121,6 +121,43 @@ def merge_overwrite(t):
     return tables.merge(*_halves(t), KEYS, "overwrite")
 
 
+@query(SQL + "SELECT i.*, coalesce(x.title, '') AS title FROM identity i LEFT JOIN (SELECT person_id, arg_max(source, pmid) AS title FROM link GROUP BY 1) x USING (person_id)")
+def upsert_identities(t):
+    """A roster with a row per link of the person, whose title is the link's source."""
+    roster = t.link.join(t.identity.drop("title"), "person_id").withColumnsRenamed({"source": "title", "pmid": "position"})
+    return tables.upsert_identities(t.identity, roster)
+
+
+@query(SQL + "SELECT pmid, journal, pub_year FROM article UNION ALL SELECT pmid * 2, journal, pub_year + 1 FROM article WHERE pmid * 2 NOT IN (SELECT pmid FROM article)")
+def insert_articles(t):
+    stored = t.article.select("pmid", "journal", "pub_year")
+    return tables.insert_articles(stored, stored.selectExpr("pmid * 2 as pmid", "journal", "pub_year + 1 as pub_year"))
+
+
+def _found(t):
+    """Pairs that are linked, and as many that aren't."""
+    return t.curation.select(*KEYS).unionByName(t.curation.selectExpr("person_id", "-1 - pmid as pmid"))
+
+
+@query(SQL + "SELECT person_id, pmid, source FROM link UNION ALL SELECT person_id, -1 - pmid, 'upload' FROM curation")
+def link_uploads(t):
+    return tables.link_uploads(t.link, _found(t))
+
+
+@query(SQL + "SELECT person_id, pmid, CASE WHEN assertion IS NULL THEN l.source ELSE 'search' END AS source FROM link l LEFT JOIN curation c USING (person_id, pmid) UNION ALL SELECT person_id, -1 - pmid, 'search' FROM curation")
+def link_found(t):
+    return tables.link_found(t.link, _found(t))
+
+
+@query(SQL + """SELECT person_id, pmid, model_type, calibrated_score * CASE WHEN again THEN 0.25 ELSE 1 END::DOUBLE AS calibrated_score, CASE WHEN again THEN 3 ELSE 1 END::BIGINT AS run_id,
+CASE WHEN again THEN DATE '2024-03-01' ELSE DATE '2024-01-01' END AS scored_at FROM (SELECT *, model_type = 'feedbackIdentity' AS again FROM score)""")
+def upsert_scores(t):
+    """The scores of run 1, and those of the model with feedback of runs 2 and 3 in one batch."""
+    run = lambda df, n, f: df.withColumns({"calibrated_score": F.col("calibrated_score") * f, "run_id": F.lit(n).cast("long"), "scored_at": F.lit(f"2024-0{n}-01").cast("date")})
+    again = t.score.filter("model_type = 'feedbackIdentity'")
+    return tables.upsert_scores(run(t.score, 1, 1.0), run(again, 2, 0.5).unionByName(run(again, 3, 0.25)))
+
+
 @query(SQL + "SELECT person_id, pmid, source FROM link WHERE person_id::BIGINT % 7 <> 0")
 def cascade_delete(t):
     gone = t.identity.select("person_id").unionByName(t.link.select("person_id")).filter("cast(person_id as long) % 7 = 0")

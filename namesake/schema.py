@@ -12,5 +12,5 @@ ARTICLE = (
 )
 LINK = "person_id string, pmid long, target_author_index int, source string"
 CURATION = "person_id string, pmid long, assertion string, source string"
-SCORE = "person_id string, pmid long, model_type string, calibrated_score double"
+SCORE = "person_id string, pmid long, model_type string, calibrated_score double, raw_score double, scored_at timestamp, run_id long"
 RETRIEVAL_LOG = "person_id string, last_retrieval_date date, last_orcid_retrieval_date date, articles_found long, run_id long"

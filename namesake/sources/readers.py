@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import strip, year_in
@@ -39,12 +39,15 @@ def detect_mappings(headers: list[str]) -> dict[str, str]:
 
 
 def _table(spark: SparkSession, path: str, mappings: dict[str, str] | None) -> DataFrame:
-    """A CSV file, or a TSV file where commas give one column, all as text under the fields' names."""
+    """A CSV file, or a TSV file where commas give one column, all as text under the fields' names, with the rows' position.
+
+    The position grows along a file; a quoted field may hold line breaks, so a file is read by one task.
+    """
     df = spark.read.csv(path, header=True, sep=",", multiLine=True, escape='"')
     if len(df.columns) <= 1:
         df = spark.read.csv(path, header=True, sep="\t", multiLine=True, escape='"')
     found = mappings or detect_mappings(df.columns)
-    return df.select(*[F.col(f"`{h}`").alias(name) for h, name in found.items()])
+    return df.select(*[F.col(f"`{h}`").alias(name) for h, name in found.items()], F.monotonically_increasing_id().alias("position"))
 
 
 def _text(df: DataFrame, name: str) -> Column:
@@ -58,11 +61,11 @@ def _year(df: DataFrame, name: str) -> Column:
 def read_roster(spark: SparkSession, path: str, mappings: dict[str, str] | None = None) -> DataFrame:
     """Identities of a file with any known headers; rows without id, first or last name are left out.
 
-    pmid and assertion stay as columns where the file has them (split_roster takes them apart).
+    pmid and assertion stay as columns where the file has them (split_roster takes them apart); position is the row's place.
     """
     df = _table(spark, path, mappings)
     gold = [_text(df, c).alias(c) for c in ("pmid", "assertion") if c in df.columns]
-    rows = df.select(*[_text(df, c).alias(c) for c in TEXT], *[_year(df, c).alias(c) for c in YEARS], *gold)
+    rows = df.select(*[_text(df, c).alias(c) for c in TEXT], *[_year(df, c).alias(c) for c in YEARS], *gold, "position")
     return rows.filter("person_id <> '' and first_name <> '' and last_name <> ''")
 
 
@@ -76,8 +79,9 @@ def decisions(df: DataFrame) -> DataFrame:
 
 
 def split_roster(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of a roster with decisions in it: one row per person, and the decisions."""
-    people = df.drop("pmid", "assertion").dropDuplicates(["person_id"])
+    """Of a roster with decisions in it: the last row of each person, and the decisions."""
+    last = F.row_number().over(Window.partitionBy("person_id").orderBy(F.desc("position")))
+    people = df.withColumn("_n", last).filter("_n = 1").drop("_n", "pmid", "assertion", "position")
     return people, decisions(df).filter("assertion <> ''")
 
 

@@ -1,10 +1,8 @@
-"""Upkeep of stored tables: merges, deletes, and versioned Parquet writes."""
+"""Upkeep of stored tables: merges, upserts and deletes."""
 
 from __future__ import annotations
 
-import time
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,14 +10,15 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], policy: str = "
     """The target with the source's rows put in.
 
     policy 'overwrite': a source row takes the place of the target's; of several with one key the last by `order`
-    counts. 'keep': the target's row stays, and of several source rows the first counts. Columns that only one
-    side has stay and are null in the other's rows.
+    counts. 'keep': the target's row stays, and of several source rows the first counts. Rows that `order` doesn't part
+    are taken by a hash of their values, so that a second run gives the same. Columns that only one side has stay
+    and are null in the other's rows.
     """
-    if order is not None:
-        by = Window.partitionBy(*keys).orderBy(F.desc(order) if policy == "overwrite" else F.asc(order))
-        source = source.withColumn("_n", F.row_number().over(by)).filter("_n = 1").drop("_n", *([] if order in target.columns else [order]))
-    else:
-        source = source.dropDuplicates(keys)
+    place = [] if order is None else [F.desc(order) if policy == "overwrite" else F.asc(order)]
+    by = Window.partitionBy(*keys).orderBy(*place, F.xxhash64(*source.columns))
+    source = source.withColumn("_n", F.row_number().over(by)).filter("_n = 1").drop("_n")
+    if order is not None and order not in target.columns:
+        source = source.drop(order)
     if policy == "keep":
         return target.unionByName(source.join(target.select(*keys), keys, "left_anti"), allowMissingColumns=True)
     old = target.join(source.select(*keys), keys, "left_anti")
@@ -29,6 +28,31 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], policy: str = "
     return old.unionByName(source, allowMissingColumns=True)
 
 
+def upsert_identities(identity: DataFrame, roster: DataFrame) -> DataFrame:
+    """Identities with a roster's rows in place of their own; of a person's rows the last by position counts."""
+    return merge(identity, roster, ["person_id"], "overwrite", "position")
+
+
+def insert_articles(article: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """Articles and the new ones that weren't there; stored ones never change."""
+    return merge(article, new, ["pmid"], "keep", order)
+
+
+def link_uploads(link: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links with the imported pairs as 'upload' where there was none."""
+    return merge(link, pairs.select("person_id", "pmid", F.lit("upload").alias("source")), ["person_id", "pmid"], "keep")
+
+
+def link_found(link: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links with the pairs that a search found, whose source becomes 'search' in any case."""
+    return merge(link, pairs.select("person_id", "pmid", F.lit("search").alias("source")), ["person_id", "pmid"], "overwrite")
+
+
+def upsert_scores(score: DataFrame, new: DataFrame) -> DataFrame:
+    """Scores with new ones in place of those of the same person, article and model type; the latest scored_at counts."""
+    return merge(score, new, ["person_id", "pmid", "model_type"], "overwrite", "scored_at")
+
+
 def known_only(rows: DataFrame, article: DataFrame) -> DataFrame:
     """Only rows of articles that exist."""
     return rows.join(article.select("pmid"), "pmid", "left_semi")
@@ -63,22 +87,3 @@ def wipe(tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]
     for c in counts[1:]:
         total = total.unionByName(c)
     return {k: spark.createDataFrame([], df.schema) for k, df in tables.items()}, total
-
-
-def write_version(df: DataFrame, path: str) -> str:
-    """Write a new version of the table beside the others and return its folder; a reader takes the latest.
-
-    A table that is being read can so be rewritten, and a write that breaks off leaves the last version standing.
-    """
-    folder = f"{path}/v{time.time_ns():020d}"
-    df.write.parquet(folder)
-    return folder
-
-
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version that was written to its end."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = [str(s.getPath()) for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return spark.read.parquet(max(done))

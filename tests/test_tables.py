@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from namesake import schema
 from namesake.operators import discover, evaluate, reports, retrieve
 from namesake.params import Params
 from namesake.plans.fixtures import Tables
@@ -59,19 +60,33 @@ def test_lookups(spark, tmp_path):
     assert got["subfields"].first().issn == "1234567x"
 
 
-def test_merge_order_and_versions(spark, tmp_path):
+def test_merge_order(spark):
     old = spark.createDataFrame([(1, "a", 9)], "k int, v string, extra int")
     new = spark.createDataFrame([(1, "b", 0), (1, "c", 1), (2, "d", 0), (2, "e", 1)], "k int, v string, pos int")
     assert sorted(map(tuple, tables.merge(old, new, ["k"], "overwrite", "pos").collect())) == [(1, "c", 9), (2, "e", None)]
     assert sorted(map(tuple, tables.merge(old, new, ["k"], "keep", "pos").collect())) == [(1, "a", 9), (2, "d", None)]
-    path = str(tmp_path / "t")
-    tables.write_version(old, path)
-    tables.write_version(tables.merge(tables.read_latest(spark, path), new, ["k"], "overwrite", "pos"), path)
-    assert tables.read_latest(spark, path).count() == 2
     empty, counts = tables.wipe({"a": old, "b": new})
     assert {r.table: r.deleted for r in counts.collect()} == {"a": 1, "b": 4} and empty["a"].count() == 0
 
 
+def test_upserts(spark):
+    links = spark.createDataFrame([("1", 1, "search"), ("1", 2, "upload")], schema.LINK.replace("target_author_index int, ", ""))
+    pairs = spark.createDataFrame([("1", 1), ("1", 2), ("1", 2), ("2", 1)], "person_id string, pmid long")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(tables.link_uploads(links, pairs)) == [("1", 1, "search"), ("1", 2, "upload"), ("2", 1, "upload")]
+    assert rows(tables.link_found(links, pairs)) == [("1", 1, "search"), ("1", 2, "search"), ("2", 1, "search")]
+    old = spark.createDataFrame([("1", 1, "identityOnly", 0.1, 0.2, None, 1)], schema.SCORE)
+    new = spark.createDataFrame([("1", 1, "identityOnly", 0.5, 0.6, None, 2), ("1", 1, "feedbackIdentity", 0.7, 0.8, None, 2)], schema.SCORE)
+    new = new.withColumn("scored_at", F.to_timestamp(F.lit("2024-01-01")))
+    assert {(r.model_type, r.calibrated_score, r.run_id) for r in tables.upsert_scores(old, new).collect()} == {("identityOnly", 0.5, 2), ("feedbackIdentity", 0.7, 2)}
+
+
+def test_split_roster_takes_last_row(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("person_id,first_name,last_name,pmid,assertion\n1,Ann,Old,5,ACCEPTED\n1,Ann,New,6,REJECTED\n")
+    people, marks = readers.split_roster(readers.read_roster(spark, str(tmp_path / "r.csv")))
+    assert [r.last_name for r in people.collect()] == ["New"] and marks.count() == 2
+
+
 def test_retrieval_log(spark):
     log = spark.createDataFrame([("1", "2020-01-01", "2019-01-01", 5, 1)], "person_id string, d string, o string, articles_found long, run_id long").selectExpr("person_id", "date(d) as last_retrieval_date", "date(o) as last_orcid_retrieval_date", "articles_found", "run_id")
     run = spark.createDataFrame([("1", "2021-01-01", 2, 2, False), ("2", "2021-01-01", 3, 2, True)], "person_id string, d string, articles_found long, run_id long, orcid_ran boolean").withColumn("retrieved_on", F.to_date("d"))
