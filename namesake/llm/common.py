@@ -33,11 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write the frame as a Parquet table in the shared folder and read it again: the lineage ends there."""
+def materialize(df: DataFrame, *parts: str) -> DataFrame:
+    """Write the frame as a Parquet table in the shared folder and read it again: the lineage ends there. With columns in
+    `parts` each of their values has a folder of its own."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +48,8 @@ def discard(df: DataFrame) -> None:
     if files:
         spark = df.sparkSession
         folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        while "=" in folder.getName():  # of a part
+            folder = folder.getParent()
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 

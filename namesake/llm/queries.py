@@ -5,9 +5,9 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_dups, packing, pii, pitman_yor, quality, sharding, token_counts, toxicity
+from . import decontaminate, language_id, line_dedup, merkle, near_dups, packing, pii, pitman_yor, quality, sharding, token_counts, toxicity, whitening
 from .common import held_out, read
-from .sql import BENCHMARK_SQL, NEAR_DUPS_SQL, SHARDS_SQL
+from .sql import BENCHMARK_SQL, LINES_SQL, MERKLE_SQL, NEAR_DUPS_SQL, SHARDS_SQL
 
 
 def op1_token_counts(spark, sf_dir):
@@ -55,6 +55,18 @@ def op10_jump_shard(spark, sf_dir):
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark, sf_dir):
+    return line_dedup.report(read(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark, sf_dir):
+    return merkle.report(read(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -66,6 +78,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_near_dups": op9_near_dups,
     "op10_jump_shard": op10_jump_shard,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_merkle": op12_merkle,
+    "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -73,4 +88,6 @@ ORACLE = {
     "op7_decontaminate": BENCHMARK_SQL,
     "op9_near_dups": NEAR_DUPS_SQL,
     "op10_jump_shard": SHARDS_SQL,
+    "op11_line_dedup": LINES_SQL,
+    "op12_merkle": MERKLE_SQL,
 }
