@@ -115,7 +115,7 @@ def guard_cell(c: Column) -> Column:
 
 def jaro_winkler(a: Column, b: Column) -> Column:
     """Similarity of two short strings: greedy matches within half the longer one, halved mismatches not rounded down,
-    and up to four equal first letters at a tenth each, whatever the similarity. 1 if equal, 0 if one is empty.
+    and up to four equal first letters at a tenth each, whatever the similarity. 1 if equal, empty ones too, 0 if one is empty.
 
     A fold over the letters of a; its cost is bounded by the names' lengths. Apply it to distinct pairs.
     """
@@ -141,4 +141,4 @@ def jaro_winkler(a: Column, b: Column) -> Column:
     for k, c in zip((1, 2, 3, 4), reversed(same)):
         prefix = F.when(c & (F.length(a) >= k) & (F.length(b) >= k), F.lit(k)).otherwise(prefix)
     value = F.when((n == 0) | (m == 0), 0.0).otherwise(jaro + prefix * 0.1 * (1 - jaro))
-    return F.when((a == b) & (a != ""), 1.0).otherwise(value)
+    return F.when(a == b, 1.0).otherwise(value)

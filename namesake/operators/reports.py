@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import guard_cell, normalize_orcid, wilson
+from .order import quantile
 
 ARTICLE_LINK = "https://pubmed.ncbi.nlm.nih.gov/"
 
@@ -117,9 +118,11 @@ def score_bands(score: DataFrame, high: float = 0.95, low: float = 0.30) -> Data
 
 
 def score_summary(score: DataFrame) -> DataFrame:
-    """One row: mean, median, how many over .5 and under .3."""
+    """One row: mean, exact median, how many over .5 and under .3."""
     c = F.col("calibrated_score")
-    return score.agg(F.avg(c).alias("mean_score"), F.percentile(c, 0.5).alias("median_score"), F.count_if(c > 0.5).alias("over_half"), F.count_if(c < 0.3).alias("under_third"))
+    counts = score.agg(F.avg(c).alias("mean_score"), F.count_if(c > 0.5).alias("over_half"), F.count_if(c < 0.3).alias("under_third"))
+    median = quantile(score, "calibrated_score", 0.5).select(F.col("calibrated_score").alias("median_score"))
+    return counts.join(median, how="left")  # one row each
 
 
 def equal_width_histogram(score: DataFrame, bins: int = 10) -> DataFrame:

@@ -11,25 +11,25 @@ TEXT = ["person_id", "first_name", "last_name", "middle_name", "primary_email",
 YEARS = ["bachelor_year", "doctoral_year"]
 # Names that a header may have for each field, without case, spaces, hyphens and dots.
 ALIASES = {
-    "person_id": "personid person_id uid userid employeeid empid emp_id cwid netid id",
-    "first_name": "firstname first_name fname first givenname",
-    "last_name": "lastname last_name lname last surname familyname",
-    "middle_name": "middlename middle_name middleinitial middle_initial middle mi middleinit",
-    "primary_email": "email primaryemail primary_email emailaddress email_address",
-    "primary_institution": "institution primaryinstitution primary_institution",
-    "department": "department dept division organizationalunit organizational_unit org_unit",
-    "title": "title rank academictitle academic_title jobtitle job_title position",
-    "orcid": "orcid orcidid orcid_id orcidurl orcid_url",
-    "bachelor_year": "bacheloryear bachelor_year bsyear bs_year",
-    "doctoral_year": "doctoralyear doctoral_year phdyear phd_year degreeyear degree_year",
-    "pmid": "pmid pubmedid pubmed_id",
-    "assertion": "assertion assertionstatus assertion_status userassertion user_assertion status",
+    "person_id": ["personid", "person_id", "uid", "userid", "employeeid", "empid", "emp_id", "cwid", "netid", "id"],
+    "first_name": ["firstname", "first_name", "fname", "first", "givenname"],
+    "last_name": ["lastname", "last_name", "lname", "last", "surname", "familyname"],
+    "middle_name": ["middlename", "middle_name", "middleinitial", "middle_initial", "middle", "mi", "middleinit"],
+    "primary_email": ["email", "primaryemail", "primary_email", "emailaddress", "email_address"],
+    "primary_institution": ["institution", "primaryinstitution", "primary_institution"],
+    "department": ["department", "dept", "division", "organizationalunit", "organizational_unit", "org_unit"],
+    "title": ["title", "rank", "academictitle", "academic_title", "jobtitle", "job_title", "position"],
+    "orcid": ["orcid", "orcidid", "orcid_id", "orcidurl", "orcid_url"],
+    "bachelor_year": ["bacheloryear", "bachelor_year", "bsyear", "bs_year"],
+    "doctoral_year": ["doctoralyear", "doctoral_year", "phdyear", "phd_year", "degreeyear", "degree_year"],
+    "pmid": ["pmid", "pubmedid", "pubmed_id"],
+    "assertion": ["assertion", "assertionstatus", "assertion_status", "userassertion", "user_assertion", "status"],
 }
 
 
 def detect_mappings(headers: list[str]) -> dict[str, str]:
     """header -> field; the first header that claims a field has it, later ones are left out."""
-    field = {alias: name for name, aliases in ALIASES.items() for alias in aliases.split()}
+    field = {alias: name for name, aliases in ALIASES.items() for alias in aliases}
     out: dict[str, str] = {}
     for h in headers:
         name = field.get(h.lower().strip().replace("-", "").replace(".", "").replace(" ", ""))
@@ -38,16 +38,27 @@ def detect_mappings(headers: list[str]) -> dict[str, str]:
     return out
 
 
+def _open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a line of the files has an odd number of quotes: only then a quoted field can go on over line breaks."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
 def _table(spark: SparkSession, path: str, mappings: dict[str, str] | None) -> DataFrame:
-    """A CSV file, or a TSV file where commas give one column, all as text under the fields' names, with the rows' position.
+    """CSV files, or TSV files where commas give one column, all as text under the fields' names, with each row's position.
 
-    The position grows along a file; a quoted field may hold line breaks, so a file is read by one task.
+    The position is the file's path, the place in the file where the row's split begins, and a number that grows along the
+    split: it orders the rows by file name and line however Spark packs files into tasks. Files without a line break
+    within quotes are read line by line, in many tasks; a file that has one is read by one task.
     """
-    df = spark.read.csv(path, header=True, sep=",", multiLine=True, escape='"')
+    whole = _open_quotes(spark, path)
+    read = lambda sep: spark.read.csv(path, header=True, sep=sep, multiLine=whole, escape='"')
+    df = read(",")
     if len(df.columns) <= 1:
-        df = spark.read.csv(path, header=True, sep="\t", multiLine=True, escape='"')
+        df = read("\t")
     found = mappings or detect_mappings(df.columns)
-    return df.select(*[F.col(f"`{h}`").alias(name) for h, name in found.items()], F.monotonically_increasing_id().alias("position"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return df.select(*[F.col(f"`{h}`").alias(name) for h, name in found.items()], place.alias("position"))
 
 
 def _text(df: DataFrame, name: str) -> Column:
@@ -119,7 +130,7 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """Articles of bibliographic XML files, one record per PubmedArticle element; records without pmid or article go.
 
     The first abstract section, one ISSN, the year or the number that a free date begins with; of authors the first
-    affiliation, the first word of the forename (all of it as fore_name) and the last part of an ORCID address; a
+    affiliation, the first word of the forename (all of it as fore_name) and the ORCID, of an address its last part; a
     heading is major if it or a qualifier is flagged.
     """
     raw = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(RECORD).load(path)
@@ -130,10 +141,11 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     def author(x: Column) -> Column:
         fore = _or_empty(x["ForeName"])
         ids = F.filter(_list(x["Identifier"], "array<struct<_Source:string,_VALUE:string>>"), lambda i: i["_Source"] == "ORCID")
-        address = F.split(strip(_or_empty(F.get(ids, F.lit(0))["_VALUE"])), "/")
+        given = strip(_or_empty(F.get(ids, F.lit(0))["_VALUE"]))
+        orcid = F.when(given.startswith("http"), F.element_at(F.split(F.rtrim(given, F.lit("/")), "/"), -1)).otherwise(given)
         return F.struct(
             _or_empty(F.get(F.split(strip(fore), r"\s+"), F.lit(0))).alias("first_name"), _or_empty(x["LastName"]).alias("last_name"), _or_empty(x["Initials"]).alias("initials"),
-            _or_empty(F.get(x["AffiliationInfo"], F.lit(0))["Affiliation"]).alias("affiliation"), F.element_at(address, -1).alias("orcid"), fore.alias("fore_name"),
+            _or_empty(F.get(x["AffiliationInfo"], F.lit(0))["Affiliation"]).alias("affiliation"), orcid.alias("orcid"), fore.alias("fore_name"),
         )
 
     def heading(x: Column) -> Column:
@@ -164,26 +176,49 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     ).filter("pmid is not null")
 
 
-def _json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """A JSON object of names as rows (name, value)."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("name", "v"))
+#: The fields of the lookup files, by what they hold.
+FIELDS = {
+    "score": "score", "name": "name", "gender": "gender", "probability": "probability", "issn": ["issn", "eissn"],
+    "subfield": "scienceMetrixSubfield", "department": "primaryDepartment", "department_subfield": "scienceMetrixJournalSubfield",
+}
+
 
+def _last(rows: DataFrame, key: str) -> DataFrame:
+    """Of rows with one key the last by _place; the column goes."""
+    values = [c for c in rows.columns if c not in (key, "_place")]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*values), "_place").alias("_v"))
+    return last.select(key, "_v.*")
 
-def load_lookups(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
-    """Lookup tables of the JSON files given: name_frequency (name, score), gender (name, gender, probability),
-    subfields (issn, subfield; from rows with issn, eissn and subfield) and departments (department, subfield)."""
+
+def load_lookups(spark: SparkSession, paths: dict[str, str], fields: dict | None = None) -> dict[str, DataFrame]:
+    """Lookup tables of the JSON files given.
+
+    name_frequency (name, score) from an object {name: {score}}, names as they are; gender (name, gender, probability) from a
+    list of objects, names in lower case; subfields (issn, subfield) from a list of objects whose ISSNs of either kind
+    lose hyphens and case; departments (department, subfield) from a list of pairs. `fields` renames the objects' fields.
+    Entries without a key or subfield go, and of equal keys the last entry of the file counts.
+    """
+    f = FIELDS | (fields or {})
+    objects = lambda path, names: spark.read.json(path, schema=", ".join(f"`{n}` string" for n in names), multiLine=True).withColumn("_place", F.monotonically_increasing_id())
+    text = lambda name: F.coalesce(F.col(f"`{name}`"), F.lit(""))
     out = {}
     if "name_frequency" in paths:
-        out["name_frequency"] = _json_map(spark, paths["name_frequency"], "double").select(F.lower("name").alias("name"), F.col("v").alias("score"))
+        whole = spark.read.text(paths["name_frequency"], wholetext=True)
+        pairs = F.map_entries(F.from_json("value", f"map<string,struct<`{f['score']}`:double>>"))
+        each = whole.select(F.posexplode(pairs).alias("_place", "e")).select(F.col("e.key").alias("name"), F.col("e.value")[f["score"]].alias("score"), "_place")
+        out["name_frequency"] = _last(each, "name")
     if "gender" in paths:
-        rows = _json_map(spark, paths["gender"], "struct<gender:string,probability:double>")
-        out["gender"] = rows.select(F.lower("name").alias("name"), "v.gender", "v.probability")
+        rows = objects(paths["gender"], [f["name"], f["gender"], f["probability"]])
+        sure = F.coalesce(text(f["probability"]).try_cast("double"), F.lit(0.0))
+        each = rows.select(F.lower(text(f["name"])).alias("name"), text(f["gender"]).alias("gender"), sure.alias("probability"), "_place")
+        out["gender"] = _last(each.filter("name <> ''"), "name")
     if "subfields" in paths:
-        rows = spark.read.json(paths["subfields"], schema="issn string, eissn string, subfield string", multiLine=True)
-        each = rows.select(F.explode(F.array("issn", "eissn")).alias("issn"), "subfield")
-        out["subfields"] = each.select(F.lower(F.regexp_replace("issn", "-", "")).alias("issn"), "subfield").filter("issn <> ''").dropDuplicates(["issn"])
+        rows = objects(paths["subfields"], [*f["issn"], f["subfield"]])
+        each = rows.select(F.posexplode(F.array(*[text(n) for n in f["issn"]])).alias("_kind", "issn"), text(f["subfield"]).alias("subfield"), "_place")
+        keyed = each.select(F.lower(F.replace(F.col("issn"), F.lit("-"), F.lit(""))).alias("issn"), "subfield", F.struct("_place", "_kind").alias("_place"))
+        out["subfields"] = _last(keyed.filter("issn <> '' and subfield <> ''"), "issn")
     if "departments" in paths:
-        rows = _json_map(spark, paths["departments"], "array<string>")
-        out["departments"] = rows.select(F.col("name").alias("department"), F.explode("v").alias("subfield"))
+        rows = objects(paths["departments"], [f["department"], f["department_subfield"]])
+        pairs = rows.select(F.lower(text(f["department"])).alias("department"), text(f["department_subfield"]).alias("subfield"))
+        out["departments"] = pairs.filter("department <> '' and subfield <> ''").distinct()
     return out

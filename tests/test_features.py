@@ -110,10 +110,10 @@ def test_feedback_kernel(spark):
 
 
 def brute_jaro_winkler(a, b):
-    if not a or not b:
-        return 0.0
     if a == b:
         return 1.0
+    if not a or not b:
+        return 0.0
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
     used, left = set(), []
     for i, c in enumerate(a):
@@ -135,7 +135,7 @@ def brute_jaro_winkler(a, b):
 def test_jaro_winkler(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(0, 8)))
-    pairs = [(word(), word()) for _ in range(400)] + [("martha", "marhta"), ("dixon", "dicksonx"), ("", "")]
+    pairs = [(word(), word()) for _ in range(400)] + [("martha", "marhta"), ("dixon", "dicksonx"), ("", ""), ("", "a"), ("a", "")]
     rows = spark.createDataFrame(pairs, "a string, b string").withColumn("s", strings.jaro_winkler(F.col("a"), F.col("b"))).collect()
     assert all(abs(r.s - brute_jaro_winkler(r.a, r.b)) < 1e-9 for r in rows)
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from namesake import schema
@@ -51,13 +52,56 @@ def test_articles(spark, tmp_path):
 
 
 def test_lookups(spark, tmp_path):
-    (tmp_path / "n.json").write_text('{"Ann": 1.5, "bo": 2}')
-    (tmp_path / "g.json").write_text('{"Ann": {"gender": "f", "probability": 0.9}}')
-    (tmp_path / "s.json").write_text('[{"issn": "1234-567X", "eissn": "", "subfield": "S"}]')
-    (tmp_path / "d.json").write_text('{"Surgery": ["S", "T"]}')
+    """Files in the forms that they come in; of equal keys the last entry counts."""
+    (tmp_path / "n.json").write_text('{"ann": {"score": 1.5, "count": 3}, "bo": {"score": 2}, "ann": {"score": 7}}')
+    (tmp_path / "g.json").write_text('[{"name": "Ann", "gender": "f", "probability": 0.9}, {"name": "", "gender": "m"}, {"name": "ANN", "gender": "m", "probability": "0.6"}, {"name": "Bo"}]')
+    (tmp_path / "s.json").write_text('[{"issn": "1234-567X", "eissn": "", "scienceMetrixSubfield": "S"}, {"issn": "1111-1111", "eissn": "1234-567x", "scienceMetrixSubfield": "T"},\n{"issn": "2222-2222", "scienceMetrixSubfield": ""}]')
+    (tmp_path / "d.json").write_text('[{"primaryDepartment": "Surgery", "scienceMetrixJournalSubfield": "S"}, {"primaryDepartment": "surgery", "scienceMetrixJournalSubfield": "T"}, {"primaryDepartment": "surgery", "scienceMetrixJournalSubfield": "T"}, {"primaryDepartment": "", "scienceMetrixJournalSubfield": "T"}]')
     got = readers.load_lookups(spark, {"name_frequency": str(tmp_path / "n.json"), "gender": str(tmp_path / "g.json"), "subfields": str(tmp_path / "s.json"), "departments": str(tmp_path / "d.json")})
-    assert {k: v.count() for k, v in got.items()} == {"name_frequency": 2, "gender": 1, "subfields": 1, "departments": 2}
-    assert got["subfields"].first().issn == "1234567x"
+    rows = {k: sorted(map(tuple, v.collect())) for k, v in got.items()}
+    assert rows == {
+        "name_frequency": [("ann", 7.0), ("bo", 2.0)],
+        "gender": [("ann", "m", 0.6), ("bo", "", 0.0)],
+        "subfields": [("11111111", "T"), ("1234567x", "T")],
+        "departments": [("surgery", "S"), ("surgery", "T")],
+    }
+    (tmp_path / "x.json").write_text('[{"dept": "Surgery", "field": "S"}]')
+    other = readers.load_lookups(spark, {"departments": str(tmp_path / "x.json")}, {"department": "dept", "department_subfield": "field"})
+    assert [tuple(r) for r in other["departments"].collect()] == [("surgery", "S")]
+
+
+def test_author_orcids(spark, tmp_path):
+    """Of an address the last part, slashes at its end or not; anything else stays as it is."""
+    ids = ["https://orcid.org/0000-0001-2345-6789/", "http://orcid.org/0000-0001-2345-678X", "0000-0002-1111-2222", "a/b", " https://orcid.org// "]
+    authors = "".join(f'<Author><LastName>L</LastName><Identifier Source="ORCID">{i}</Identifier></Author>' for i in ids)
+    (tmp_path / "o.xml").write_text(f"<S><PubmedArticle><MedlineCitation><PMID>1</PMID><Article><ArticleTitle>t</ArticleTitle><AuthorList>{authors}</AuthorList></Article></MedlineCitation></PubmedArticle></S>")
+    got = [a.orcid for a in readers.read_articles(spark, str(tmp_path / "o.xml")).first().authors]
+    assert got == ["0000-0001-2345-6789", "0000-0001-2345-678X", "0000-0002-1111-2222", "a/b", "orcid.org"]
+
+
+@pytest.mark.parametrize("first", ["a", "b"])
+def test_last_row_wins_over_several_files(spark, tmp_path, first):
+    """The file that comes later by name has the last word, whichever is larger; so has the later line of a split file."""
+    many = {first: 4000}
+    for name in ("a", "b"):
+        rows = [f"{i},First,{name}{i}" for i in range(2, many.get(name, 10))] + [f"1,Ann,{name}-early", f"1,Ann,{name}-late"]
+        (tmp_path / f"{name}.csv").write_text("\n".join(["uid,first name,last name", *rows]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        roster = readers.read_roster(spark, str(tmp_path))
+        people, _ = readers.split_roster(roster.withColumns({"pmid": F.lit(""), "assertion": F.lit("")}))
+        assert roster.rdd.getNumPartitions() > 2
+        assert [r.last_name for r in people.filter("person_id = '1'").collect()] == ["b-late"]
+        assert [r.last_name for r in tables.upsert_identities(people.limit(0), roster).filter("person_id = '1'").collect()] == ["b-late"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('person_id,first_name,last_name,title\n1,Ann,Lee,"Head of\nthings"\n2,Bo,Ye,"a ""b"" c"\n')
+    got = sorted((r.person_id, r.title) for r in readers.read_roster(spark, str(tmp_path / "q.csv")).collect())
+    assert got == [("1", "Head of\nthings"), ("2", 'a "b" c')]
 
 
 def test_merge_order(spark):
