@@ -16,6 +16,8 @@ LETTER = re.compile(r"[^\W\d_]")
 SEGMENT = 256
 #: Rows of a segment after which a parse that began elsewhere is compared with the segment's own.
 STOPS = (32, 64, 128, SEGMENT)
+#: How often segments are parsed side by side before the rest is parsed in order.
+ROUNDS = 4
 #: Up to so many different symbols an automaton's transitions are a table, beyond it they are sorted keys.
 TABLE_SYMBOLS = 64
 #: Bounds of the labelled sample: documents of a language, and characters taken from each.
@@ -71,6 +73,7 @@ class Automaton:
             self.keys, self.to = at[order], to[order]
             self.first = np.zeros(self.width, np.int32)
             self.first[at[at < self.width]] = to[at < self.width]
+        self.steps = None
         self.bits = np.log2(max(2, len(symbols)))
 
     def _next(self, state: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -92,12 +95,43 @@ class Automaton:
             state = to
         return state
 
+    def _walk(self, symbols: np.ndarray, state: int) -> tuple[list[int], list[int]]:
+        """_run() for one segment: the states at STOPS, and the phrases that have begun up to them. One symbol after the other
+        in Python's numbers, which for a single segment is some twenty times faster than arrays of one."""
+        step, first = self._steps()
+        states, counts, count, at = [], [], 0, 0
+        row = self.number.take(symbols, mode="clip").tolist()
+        for stop in STOPS:
+            for c in row[at:stop]:
+                to = step(state * self.width + c)
+                if not to:
+                    count += 1
+                    to = first(c)
+                elif not state:
+                    count += 1
+                state = to
+            states.append(state)
+            counts.append(count)
+            at = stop
+        return states, counts
+
+    def _steps(self):
+        if self.keys is None:
+            table = memoryview(self.flat)
+            return table.__getitem__, table.__getitem__
+        if self.steps is None:
+            self.steps = dict(zip(self.keys.tolist(), self.to.tolist()))
+        return lambda key: self.steps.get(key, 0), memoryview(self.first).__getitem__
+
     def phrases(self, columns: np.ndarray, follows: np.ndarray) -> np.ndarray:
         """Of each column, how many of the longest matches of its text begin in it; a symbol not its own is one by itself.
 
         Columns are segments of texts; follows says which go on from the column before. Each is parsed from its
         beginning first, then again from the state in which the segment before it ends, up to where both parses are in the
-        same state and so go on alike. Where that doesn't happen within a segment, the next one is parsed once more.
+        same state and so go on alike. Where that doesn't happen within a segment, the next one is parsed once more. Texts
+        whose segments never fall in step, such as long runs of one character, would take as many rounds as segments:
+        after ROUNDS of them the rest is parsed in order, each segment once, and equal segments begun in equal states
+        are looked up.
         """
         n = columns.shape[1]
         state, count = np.zeros(n, np.int32), np.zeros(n, np.int32)
@@ -109,7 +143,7 @@ class Automaton:
             at = stop
         begin = np.zeros(n, np.int32)
         todo = np.flatnonzero(follows)
-        while len(todo):
+        for _ in range(ROUNDS):
             todo = todo[states[-1][todo - 1] != begin[todo]]
             begin[todo] = states[-1][todo - 1]
             end = states[-1][todo].copy()
@@ -126,7 +160,20 @@ class Automaton:
             changed = todo[states[-1][todo] != end] + 1
             changed = changed[changed < n]
             todo = changed[follows[changed]]
-        return counts[-1]
+            if not len(todo):
+                return counts[-1]
+        ends, total, known = states[-1], counts[-1], {}
+        for i in todo.tolist():
+            while i < n and follows[i] and ends[i - 1] != begin[i]:
+                begin[i] = ends[i - 1]
+                what = columns[:, i].tobytes(), int(begin[i])
+                if what not in known:
+                    if len(known) == 4096:
+                        known.clear()
+                    known[what] = self._walk(columns[:, i], int(begin[i]))
+                ends[i], total[i] = known[what][0][-1], known[what][1][-1]
+                i += 1
+        return total
 
 
 class Identifier:
@@ -200,24 +247,21 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     than doc_id and text aren't read. Very long texts are parsed whole.
     """
 
-    def make():
-        model = Identifier(samples)
-
-        def work(rows):
-            langs, scores = model.identify(rows["text"])
-            return {"doc_id": rows["doc_id"], "lang_pred": langs, "score": scores}
+    model = Identifier(samples)  # of bounded size; the tasks get it with their code
 
-        return work
+    def work(rows):
+        langs, scores = model.identify(rows["text"])
+        return {"doc_id": rows["doc_id"], "lang_pred": langs, "score": scores}
 
-    return map_texts(docs, make, "doc_id long, lang_pred string, score double")
+    return map_texts(docs, lambda: work, "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     """The rows, all their columns, for whose own text identify() finds a language; a null doc_id doesn't matter."""
     at = docs.columns.index("text")
+    model = Identifier(samples)
 
     def run(batches):
-        model = Identifier(samples)
         for batch in slices(batches):
             langs, _ = model.identify(batch.column(at).to_pylist())
             yield batch.filter(pa.array([x != "und" for x in langs]))

@@ -125,3 +125,52 @@ def test_phrases_over_a_large_alphabet_match_brute_force():
                 n += 1
             count, at = count + 1, at + n
         assert automaton.phrases(np.array(line, np.int32)[:, None], np.zeros(1, bool))[0] == count
+
+
+def test_work_on_long_runs_grows_with_their_length(monkeypatch):
+    """A run of one character, whose segments never fall in step: steps over symbols are counted, not seconds."""
+    source = Identifier({"a": "aaa ab ba aab abba b a" * 20}).automata[0]
+    assert source.width < 64
+    steps = {"side by side": 0, "in order": 0}
+    run, walk = Automaton._run, Automaton._walk
+
+    def counted_run(self, rows, state, count):
+        steps["side by side"] += rows.size
+        return run(self, rows, state, count)
+
+    def counted_walk(self, symbols, state):
+        steps["in order"] += len(symbols)
+        return walk(self, symbols, state)
+
+    monkeypatch.setattr(Automaton, "_run", counted_run)
+    monkeypatch.setattr(Automaton, "_walk", counted_walk)
+    took = []
+    for segments in (200, 400):
+        steps.update({"side by side": 0, "in order": 0})
+        columns = np.full((SEGMENT, segments), 2, np.int32)
+        got = source.phrases(columns, np.arange(segments) > 0)
+        whole = run(source, columns.T.reshape(-1, 1), np.zeros(1, np.int32), count := np.zeros(1, np.int32))
+        assert len(whole) == 1 and got.sum() == count[0]
+        took.append(dict(steps))
+    assert took[1]["side by side"] <= 2.1 * took[0]["side by side"] <= 2.1 * 6 * 200 * SEGMENT
+    assert took[0]["in order"] == took[1]["in order"] <= 8 * SEGMENT  # equal segments are looked up
+
+
+def test_segments_that_never_fall_in_step():
+    """Against one parse of the whole text, for tables and for sorted keys, with runs among other text."""
+    rng = random.Random(3)
+    for letters in (4, 90):
+        source = [rng.randint(1, letters) for _ in range(2000)] + [2] * 7 + [3, 2, 3, 2, 3]
+        automaton = Automaton(source)
+        line = [rng.randint(1, letters + 1) for _ in range(700)] + [2] * (40 * SEGMENT) + [3, 2] * (20 * SEGMENT) + [rng.randint(1, letters) for _ in range(500)]
+        line += [1] * (-len(line) % SEGMENT)
+        columns = np.array(line, np.int32).reshape(-1, SEGMENT).T.copy()
+        got = automaton.phrases(columns, np.arange(columns.shape[1]) > 0)
+        automaton._run(np.array(line, np.int32)[:, None], np.zeros(1, np.int32), count := np.zeros(1, np.int32))
+        assert got.sum() == count[0]
+
+
+def test_a_long_run_of_one_character(spark):
+    frame = spark.createDataFrame([(1, "a" * 1_000_000), (2, "the house")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in identify(frame, {"en": "the house aa of water", "xx": "a" * 50}).collect()}
+    assert got == {1: "xx", 2: "en"}
