@@ -59,8 +59,9 @@ def benchmark_windows(benchmark: DataFrame, n: int = 13) -> DataFrame:
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, items (sorted as strings), spans (array of start, end in words), copies.
 
-    Benchmark items with a null item_id hit words like any other, and aren't among items. Rows are told apart by doc_id and the hash of the text; equal rows become one with their number in `copies`.
-    A null text has no words. Ids may be null.
+    Benchmark items with a null item_id hit words like any other, and aren't among items. Rows are told apart by doc_id and
+    the hash of the text; equal rows become one with their number in `copies`. A null text has no words. Ids may be null.
+    The work on a text is in proportion to its length, hits and all. Other columns aren't read.
     """
     wanted = materialize(benchmark_windows(benchmark, n))
     lengths = sorted(r[0] for r in wanted.select("length").distinct().collect())  # n values at most
@@ -85,30 +86,27 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
         joined = marks.unionByName(scanned.filter("pos >= 0").join(side, "h").drop("h"))
     joined = materialize(joined)
 
-    # hits by hash are verified against the words of their documents, which are read again
-    hits = joined.filter("pos >= 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "pos", "len", "window")
-    asked = hits.select("_id", "_key").distinct()
+    # A document's hits by hash become one row, which meets the document's words once and is verified against them.
+    hit = F.when(F.col("pos") >= 0, F.struct("pos", (F.col("pos") + F.col("len")).alias("end"), "window"))
+    counted = joined.groupBy("doc_id", "key").agg(F.max("n_words").cast("long").alias("n_words"), F.count("n_words").alias("copies"), F.collect_set(hit).alias("hits"))
+    counted = materialize(counted)  # small; read three times below
+    hits = counted.filter(F.size("hits") > 0).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    asked = hits.select("_id", "_key")
     asked = F.broadcast(asked) if asked.count() <= BROADCAST_WINDOWS else asked
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key"))
     own = docs.select("doc_id", key, "text").join(asked, same, "left_semi").select("doc_id", "key", words(F.col("text")).alias("w"))
-    real = F.col("window") == F.array_join(F.slice("w", F.col("pos") + 1, F.col("len")), " ")
-    verified = hits.distinct().join(own, same).filter(real)
-    verified = verified.select("doc_id", "key", F.lit(None).cast("int").alias("n_words"), "pos", "len", "window")
-    kept = joined.filter("pos < 0").unionByName(verified)
-    spans = F.collect_set(F.when(F.col("pos") >= 0, F.struct("pos", (F.col("pos") + F.col("len")).alias("end"))))
-    per_doc = kept.groupBy("doc_id", "key").agg(
-        F.max("n_words").cast("long").alias("n_words"),
-        F.count("n_words").alias("copies"),
-        F.array_sort(spans).alias("spans"),
-        F.collect_set("window").alias("windows"),
-    )
+    real = F.filter("hits", lambda h: h["window"] == F.array_join(F.slice("w", h["pos"] + 1, h["end"] - h["pos"]), " "))
+    verified = hits.join(own, same).select("doc_id", "key", "n_words", "copies", real.alias("hits"))
+    marked = lambda rows: rows.select("doc_id", "key", "n_words", "copies", F.array_sort(F.transform("hits", lambda h: F.struct(h["pos"].alias("pos"), h["end"].alias("end")))).alias("spans"), F.array_distinct(F.transform("hits", lambda h: h["window"])).alias("windows"))
+    # equal rows have equal hits: one of them stays for all
+    kept = marked(counted.filter(F.size("hits") == 0)).unionByName(marked(verified).dropDuplicates(["doc_id", "key"]))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
         lambda s, x: F.struct(F.greatest(s["end"], x["end"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(s["end"], x["pos"]))).cast("long").alias("n")),
         lambda s: s["n"],
     )
-    per_doc = materialize(per_doc.withColumn("n_hit", covered))  # small; read three times below
+    per_doc = materialize(kept.withColumn("n_hit", covered))  # small; read three times below
     clean = per_doc.filter(F.size("windows") == 0).withColumn("items", F.array().cast("array<string>"))
     names = wanted.select("window", F.explode("items").alias("item"))
     names = F.broadcast(names) if few else names
@@ -123,8 +121,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 13, per_hit: int = 20) -> DataFrame:
     """Per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    A document is contaminated if it has hit words and they are at least one in per_hit of its words. An empty
-    benchmark hits nothing; an empty table gives no rows.
+    A document is contaminated if it has hit words and they are at least one in per_hit of its words: just one in per_hit is
+    enough. Null and empty texts have no words and are clean; repeated rows each get their row. Very long texts are read
+    whole. An empty benchmark hits nothing; an empty table gives no rows. Other columns, of any name, aren't read.
     """
     hits = find_hits(docs, benchmark, n)
     rows = hits.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))

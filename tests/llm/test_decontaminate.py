@@ -86,3 +86,25 @@ def test_items_without_an_id(spark):
     assert got == {1: (4, 3, 0, none, True), 2: (3, 2, 1, seven, True), None: (6, 5, 1, seven, True), 4: (1, 0, 0, none, False)}
     assert [r.doc_id for r in decontaminate(d, b).collect()] == [4]
     assert sorted(r.text.strip() for r in decontaminate(d, b, "spans").collect()) == ["clean", "one", "one", "seven"]
+
+
+def test_a_contaminated_text_meets_its_words_once(spark, monkeypatch):
+    """The rows that are written and joined are as many as the documents, however many of their windows are hit."""
+    written = []
+    keep = module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df: written.append(keep(df)) or written[-1])
+    rng = random.Random(1)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(3000))
+    d = spark.createDataFrame([(1, text), (2, text), (2, text), (3, "other words"), (4, f"{text} {text}")], "doc_id long, text string")
+    b = spark.createDataFrame([(9, text)], "item_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in report(d, b).collect())
+    assert got == [(1, 3000, 3000, 1), (2, 3000, 3000, 1), (2, 3000, 3000, 1), (3, 2, 0, 0), (4, 6000, 6000, 1)]
+    counted = next(df for df in written if "hits" in df.columns)
+    assert sorted((r.doc_id, r.copies, len(r.hits)) for r in counted.collect()) == [(1, 1, 2988), (2, 2, 2988), (3, 1, 0), (4, 1, 5976)]
+
+
+def test_just_one_in_twenty(spark):
+    item = " ".join(f"x{i}" for i in range(13))
+    d = spark.createDataFrame([(1, item + " y" * 247), (2, item + " y" * 248)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.contaminated) for r in report(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: (260, 13, True), 2: (261, 13, False)}
