@@ -50,8 +50,10 @@ def benchmark_windows(benchmark: DataFrame, n: int = 13) -> DataFrame:
     An item with a null item_id has windows like any other, but no name: items can be empty.
     """
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    length = F.least(F.size("w"), F.lit(n))
-    cut = items.select("item_id", length.alias("length"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.slice("w", i, length))).alias("w"))
+    # the length is a column before the words are exploded, so that no row made of them carries all words
+    items = items.withColumn("length", F.least(F.size("w"), F.lit(n)))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("length") + 1), lambda i: F.slice("w", i, F.col("length")))
+    cut = items.select("item_id", "length", F.explode(runs).alias("w"))
     h = F.coalesce(*[F.when(F.col("length") == k, F.try_element_at(_windows(k), F.lit(1))) for k in range(1, n + 1)])
     return with_hashes(cut, n).groupBy(h.alias("h"), F.array_join("w", " ").alias("window"), "length").agg(F.collect_set("item_id").alias("items"))
 
@@ -76,7 +78,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
         return F.transform(_windows(length), lambda h, i: F.struct(i.alias("pos"), F.lit(length).alias("len"), h.alias("h")))
 
     # a window's row has its place and hash only, so that what is carried is linear in the text
-    scanned = rows.select("doc_id", "key", F.size("w").alias("n"), F.explode(F.concat(F.array(mark), *[found(k) for k in lengths])).alias("at"))
+    scanned = rows.withColumn("n", F.size("w")).select("doc_id", "key", "n", F.explode(F.concat(F.array(mark), *[found(k) for k in lengths])).alias("at"))
     scanned = scanned.select("doc_id", "key", F.when(F.col("at.pos") < 0, F.col("n")).alias("n_words"), "at.pos", "at.len", "at.h")
     side = wanted.select("h", "window")
     if few:
