@@ -354,10 +354,9 @@ def seat_words(group: pa.Table, model: dict) -> pa.Table:
                 c[s, place] += a[2] if kind == NEED else a[2 + s]
     tables, totals = [], []
     for s in range(SAMPLES):
-        ones, twos = int((c[s] == 1).sum()), int((c[s] == 2).sum())
         known = max(1, int((c[s] > 0).sum()))
-        tables.append(seat_parent(c[s], 1 / (model["V"] + 1), model["V"] / known, PARENT_STRENGTH, discount_of(ones, twos), at + (s << 32), 1))
-        totals += [int(c[s].sum()), int(tables[s].sum()), ones, twos]
+        tables.append(seat_parent(c[s], 1 / (model["V"] + 1), model["V"] / known, PARENT_STRENGTH, model["parent"]["d"], at + (s << 32), 1))
+        totals += [int(c[s].sum()), int(tables[s].sum())]
     out, done = [_row(TOTAL, at, at, None, totals)], 0
     for chunk, n in zip(asked[2].view(np.int64).tolist(), asked[3].tolist()):
         mine = np.cumsum(asked[4][done : done + n])
@@ -427,10 +426,10 @@ def _sums(table: DataFrame, name: str, width: int) -> np.ndarray:
     return out
 
 
-def _hot_parent(c: np.ndarray, sums: np.ndarray, V: int, seed: int, sweeps: int) -> tuple[np.ndarray, dict]:
-    """Tables of hot words in the parent, and the parent's discount and totals with them."""
-    d = discount_of(sums[2], sums[3])
-    t = seat_parent(c, 1 / (V + 1), V / max(1, len(c)), PARENT_STRENGTH, d, seed, sweeps)
+def _hot_parent(c: np.ndarray, sums: np.ndarray, V: int, d: float, seed: int, sweeps: int) -> tuple[np.ndarray, dict]:
+    """Tables of hot words in the parent, given the tables that the parts have of all others (sums[1]), and the parent's discount
+    and totals with them."""
+    t = seat_parent(c, 1 / (V + 1), 1.0, PARENT_STRENGTH, d, seed, sweeps, int(sums[1]))
     return t, {"d": d, "C": int(sums[0] + c.sum()), "T": int(sums[1] + t.sum())}
 
 
@@ -457,7 +456,8 @@ def learn(docs: DataFrame, held: Column) -> tuple[DataFrame, dict]:
     model = {"N": N, "V": V, "parts": parts, "hot": hot, "hot_counts": hot_counts, "d": discount_of(totals[2], totals[3]), "hot_types": hot_types[width:]}
     ask = first.filter(F.col("kind") == NEED)
     told = materialize(ask.groupBy("at").applyInArrow(lambda g: answer(g, model), ROWS))
-    hot_t, parent = _hot_parent(hot_types[:width], _sums(told, "counts", 4), V, SAMPLES, 0)
+    sums = _sums(told, "counts", 4)
+    hot_t, parent = _hot_parent(hot_types[:width], sums, V, discount_of(sums[2], sums[3]), SAMPLES, 0)
     model |= {"parent": parent, "hot_c": hot_types[:width], "hot_t": hot_t}
     ready = first.filter(F.col("kind") == PART).unionByName(told.filter(F.col("kind") == KNOWN)).drop("counts", "hot")
     second = materialize(ready.groupBy("at").applyInArrow(lambda g: reseat(g, model), ROWS))
@@ -466,11 +466,11 @@ def learn(docs: DataFrame, held: Column) -> tuple[DataFrame, dict]:
     third = materialize(home.groupBy("at").applyInArrow(lambda g: seat_words(g, model), ROWS))
     discard(first)
     discard(told)
-    sums = _sums(third, "counts", 4 * SAMPLES).reshape(SAMPLES, 4)
+    sums = _sums(third, "counts", 2 * SAMPLES).reshape(SAMPLES, 2)
     model["samples"] = []
     for s in range(SAMPLES):
         c = hot_types[:width] + hot_sums[s]
-        t, parent = _hot_parent(c, sums[s], V, s, 1)
+        t, parent = _hot_parent(c, sums[s], V, model["parent"]["d"], s, 1)
         model["samples"].append(parent | {"hot_c": c, "hot_t": t, "hot_tables": hot_sums[SAMPLES + s]})
     about = chunked.select(F.lit(PART).cast("byte").alias("kind"), F.col("chunk").alias("at"), F.lit(0).cast("long").alias("source"), "data")
     pairs, words = second.filter(F.col("kind") == PAIRS), third.filter(F.col("kind") == WORDS)

@@ -203,12 +203,13 @@ class Seating:
         np.add.at(self.tables, group[fresh], 1)
 
 
-def seat_parent(c: np.ndarray, base: float, scale: float, strength: float, discount: float, seed: int, sweeps: int = 1) -> np.ndarray:
-    """Tables in the parent's restaurant of dishes of c customers; scale: by how much more dishes it has altogether."""
+def seat_parent(c: np.ndarray, base: float, scale: float, strength: float, discount: float, seed: int, sweeps: int = 1, rest: int = 0) -> np.ndarray:
+    """Tables in the parent's restaurant of dishes of c customers. The restaurant has `rest` tables of other dishes, which stay,
+    and scale times the tables of these; with a rest the scale is 1, so that only their own changes move the total."""
     t = np.minimum(c, 1)
     many = np.flatnonzero(c > 1)
     if len(many):
-        seats = Seating(c[many], np.zeros(len(many), np.int64), np.full(len(many), base), np.array([t.sum()]), np.array([scale]), strength, discount, seed)
+        seats = Seating(c[many], np.zeros(len(many), np.int64), np.full(len(many), base), np.array([t.sum() + rest]), np.array([scale]), strength, discount, seed)
         for _ in range(sweeps):
             seats.sweep()
         t[many] = seats.counts()

@@ -111,6 +111,33 @@ def test_tables_feed_back_into_the_restaurant():
     r.ALONE = 48
 
 
+def test_hot_words_see_the_tables_of_all_others():
+    """One dish of three customers in a restaurant with tables of other dishes that stay, against the exact distribution."""
+    d, s, p, rest, many = 0.6, 10.0, 0.02, 40, 20_000
+    new = lambda k: (s + d * (rest + k)) * p
+    weights = np.array([new(0) * (1 - d) * (2 - d), 3 * new(0) * new(1) * (1 - d), new(0) * new(1) * new(2)])
+    got = np.bincount([int(r.seat_parent(np.array([3]), p, 1.0, s, d, seed, 3, rest)[0]) for seed in range(many)], minlength=4)[1:] / many
+    assert np.allclose(got, weights / weights.sum(), atol=0.015)
+
+
+def test_hot_words_do_not_feed_on_their_own_tables():
+    """With the total of a large vocabulary at hand, words of many customers get few tables."""
+    t = r.seat_parent(np.full(20, 30_000), 1e-6, 1.0, 10.0, 0.6, 0, 1, 1_500_000)
+    assert 5 < t.mean() < 20
+
+
+@pytest.mark.parametrize("tokens", [3000])
+def test_perplexity_in_many_parts(spark, monkeypatch, tokens):
+    """Many parts with hot words score held-out texts within a hundredth of what one part does."""
+    docs = corpus(600)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    out = held_out(F.col("doc_id"), 7, 2)
+    total = lambda: sum(x.score for x in py.score(frame, out).collect() if x.held_out)
+    one = total()
+    monkeypatch.setattr(py, "PART_TOKENS", tokens)
+    assert abs(total() / one - 1) < 0.01
+
+
 def test_packing_of_arrays():
     rng = np.random.default_rng(0)
     arrays = [rng.integers(0, 200, 50), np.zeros(0, np.int64), rng.integers(0, 1 << 40, 9), rng.integers(0, 1 << 63, 7).astype(np.uint64) * np.uint64(2), rng.random(5) > 0.5]
