@@ -68,21 +68,31 @@ def evidence(cand: DataFrame, dims: list[str] | None = None) -> DataFrame:
     return rows.groupBy("person_id", "pmid", "assertion", F.col("fact.dim").alias("dim"), F.col("fact.value").alias("value")).agg(F.count("*").alias("mult"))
 
 
-def feedback_features(cand: DataFrame, strict_loo: bool = False, dims: list[str] | None = None) -> DataFrame:
+def feedback_features(cand: DataFrame, strict_loo: bool = False, dims: list[str] | None = None, state: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """person_id, pmid and the twelve feedback scores, or those of dims; zero for persons without a decision.
 
     One table of evidence and one window over (person, dimension, value): its totals less the row's own give the counts
     among the person's other articles, in n log n instead of all pairs. Takes target and target_author_index.
+
+    state: tables of these totals that are kept up to date elsewhere, (person_id, dim, value, accepted, rejected) and
+    (person_id, total_accepted, total_rejected); then cand needs only the articles that are asked for.
     """
     dims = list(params.ABSENCE) if dims is None else dims
     facts = evidence(cand, dims)
-    same = Window.partitionBy("person_id", "dim", "value")
     is_a, is_r = (F.col("assertion") == "ACCEPTED").cast("long"), (F.col("assertion") == "REJECTED").cast("long")
-    counted = facts.withColumns({"a": F.sum(is_a).over(same) - is_a, "r": F.sum(is_r).over(same) - is_r})
+    if state is None:
+        same = Window.partitionBy("person_id", "dim", "value")
+        counted = facts.withColumns({"a": F.sum(is_a).over(same) - is_a, "r": F.sum(is_r).over(same) - is_r})
+        totals = cand.groupBy("person_id").agg(F.sum(is_a).alias("total_accepted"), F.sum(is_r).alias("total_rejected"))
+    else:
+        kept = facts.join(state[0].select("person_id", "dim", "value", "accepted", "rejected"), ["person_id", "dim", "value"], "left")
+        counted = kept.withColumns({"a": F.coalesce("accepted", F.lit(0)) - is_a, "r": F.coalesce("rejected", F.lit(0)) - is_r})
+        none = F.lit(0).cast("long")
+        totals = cand.select("person_id").distinct().join(state[1], "person_id", "left")
+        totals = totals.select("person_id", F.coalesce("total_accepted", none).alias("total_accepted"), F.coalesce("total_rejected", none).alias("total_rejected"))
     hit = (F.col("a") > 0) | (F.col("r") > 0)
     item = F.when(hit, F.col("mult") * decided(F.col("assertion"), F.col("a"), F.col("r"), strict_loo)).otherwise(0.0)
     per = counted.groupBy("person_id", "pmid", "dim").agg(F.sum(item).alias("s"), F.max(hit).alias("hit"), F.sum("mult").alias("n"))
-    totals = cand.groupBy("person_id").agg(F.sum(is_a).alias("total_accepted"), F.sum(is_r).alias("total_rejected"))
     strength = F.coalesce(*[F.when(F.col("dim") == d, F.lit(s)) for d, s in params.ABSENCE.items()])
     value = F.when(~F.col("hit"), absence(F.col("total_accepted"), strength)).when(F.col("dim").isin(*params.AVERAGED), F.col("s") / F.col("n")).otherwise(F.col("s"))
     wide = per.join(totals, "person_id").withColumn("v", value).groupBy("person_id", "pmid")
