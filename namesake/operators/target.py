@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,43 +33,27 @@ def _author(a: Column, fore_name: bool) -> Column:
     )
 
 
-def resolve_target_author(cand: DataFrame, fore_name: bool = False) -> DataFrame:
-    """Add target_author_index (from 0; -1: none).
+PERSON = ("first", "last", "middle", "fi", "mi", "li", "email", "user")
 
-    Map-only: the rules are array expressions over authors whose keys are made once. Each rule counts only if exactly
-    one author fits; the rules for equal names and for equal initials break ties by points, and the e-mail rule takes the
-    first author whose address has it. fore_name uses the whole given name where the articles have it.
-    """
-    first, last, middle = name_key(F.col("first_name")), name_key(F.col("last_name")), name_key(F.col("middle_name"))
-    person = F.struct(
-        first.alias("first"), last.alias("last"), middle.alias("middle"),
-        first_initial(F.col("first_name")).alias("fi"), first_initial(F.col("middle_name")).alias("mi"), first_initial(F.col("last_name")).alias("li"),
-        F.lower("primary_email").alias("email"), email_user(F.col("primary_email")).alias("user"),
-    )
-    rows = cand.withColumns({"_p": person, "_a": F.transform("authors", lambda a: _author(a, fore_name))})
-    p = {k: F.col(f"_p.{k}") for k in ("first", "last", "middle", "fi", "mi", "li", "email", "user")}
-
-    def places(rule) -> Column:
-        return F.filter(F.transform("_a", lambda a, i: F.when(rule(a), i)), lambda i: i.isNotNull())
-
-    def only(rule, guard: Column | None = None) -> Column:
-        found = places(rule)
-        one = F.when(F.size(found) == 1, F.get(found, F.lit(0)))
-        return one if guard is None else F.when(guard, one)
-
-    def points(a: Column) -> Column:
-        name = F.when((F.length(a["first"]) > 1) & (a["first"] == p["first"]), 3).when(a["given_initial"] == p["fi"], 1).otherwise(0)
-        mid = F.when(p["middle"] == "", 0).when((F.length(a["middle"]) > 1) & (a["middle"] == p["middle"]), 2)
-        mid = mid.when((a["middle"] != "") & (F.substring(a["middle"], 1, 1) == F.substring(p["middle"], 1, 1)), 1).otherwise(0)
-        return name + mid
-
-    def best(rule, guard: Column | None = None) -> Column:
-        scored = F.filter(F.transform("_a", lambda a, i: F.when(rule(a), F.struct(points(a).alias("s"), i.alias("i")))), lambda x: x.isNotNull())
-        top = F.array_max(F.transform(scored, lambda x: x["s"]))
-        winners = F.filter(scored, lambda x: x["s"] == top)
-        one = F.when(F.size(scored) == 1, F.get(scored, F.lit(0))["i"]).when((top > 0) & (F.size(winners) == 1), F.get(winners, F.lit(0))["i"])
-        return one if guard is None else F.when(guard, one)
 
+def _person() -> dict[str, Column]:
+    values = [name_key(F.col("first_name")), name_key(F.col("last_name")), name_key(F.col("middle_name"))]
+    values += [first_initial(F.col("first_name")), first_initial(F.col("middle_name")), first_initial(F.col("last_name"))]
+    values += [F.lower("primary_email"), email_user(F.col("primary_email"))]
+    return dict(zip(PERSON, values))
+
+
+def _points(a: Column, p: dict[str, Column]) -> Column:
+    """How well an author fits the person among several with equal names or initials."""
+    name = F.when((F.length(a["first"]) > 1) & (a["first"] == p["first"]), 3).when(a["given_initial"] == p["fi"], 1).otherwise(0)
+    mid = F.when(p["middle"] == "", 0).when((F.length(a["middle"]) > 1) & (a["middle"] == p["middle"]), 2)
+    mid = mid.when((a["middle"] != "") & (F.substring(a["middle"], 1, 1) == F.substring(p["middle"], 1, 1)), 1).otherwise(0)
+    return name + mid
+
+
+def _rules(p: dict[str, Column]) -> list[tuple]:
+    """(kind, rule of an author, guard of the person) in the order in which they are tried. Of several authors who fit, kind
+    'only' takes none, 'best' the one with the most points, if there is one, and 'first' the first."""
     same_last = lambda a: a["last"] == p["last"]
     length = F.length
 
@@ -75,28 +61,117 @@ def resolve_target_author(cand: DataFrame, fore_name: bool = False) -> DataFrame
         d = F.levenshtein(a["last"], p["last"], 2)
         return (length(a["last"]) >= 4) & (d > 0) & ((a["initial"] == p["fi"]) | ((length(a["first"]) > 1) & (a["first"] == p["first"])))
 
-    steps = [
-        only(lambda a: same_last(a) & (F.when(a["several"], a["token"]).otherwise(a["first"]) == p["first"]) & (F.when(a["several"], a["rest"]).otherwise("") == p["middle"]), p["middle"] != ""),
-        only(lambda a: same_last(a) & (F.when(a["cut"], a["token"]).otherwise(a["first"]) == p["first"]) & (a["middle_initial"] == p["mi"]), p["mi"] != ""),
-        best(lambda a: same_last(a) & (a["first"] == p["first"])),
-        only(lambda a: same_last(a) & p["first"].startswith(a["first"]) & (length(a["first"]) > 1), length(p["first"]) > 1),
-        only(lambda a: same_last(a) & (a["first"] != "") & a["first"].startswith(p["first"]), length(p["first"]) > 1),
-        best(lambda a: same_last(a) & (a["initial"] == p["fi"]), p["fi"] != ""),
-        F.when(p["email"] != "", F.get(places(lambda a: (a["affiliation"] != "") & (a["affiliation"].contains(p["email"]) | ((p["user"] != "") & a["affiliation"].contains(p["user"])))), F.lit(0))),
-        only(lambda a: same_last(a) & (a["initial"] == p["mi"]) & (a["second"] == p["fi"]), (p["fi"] != "") & (p["mi"] != "")),
-        only(lambda a: a["last"].contains(p["last"]) & (a["initial"] == p["fi"]), (p["fi"] != "") & (length(p["last"]) > 2)),
-        only(same_last),
-        only(lambda a: a["first"] == p["first"], length(p["first"]) > 1),
-        only(lambda a: (length(a["last"]) > 1) & p["last"].contains(a["last"]), length(p["last"]) > 3),
-        only(lambda a: (a["first"] == p["first"]) & (a["last_initial"] == p["li"]), length(p["first"]) > 1),
-        only(lambda a: (a["last"] == p["middle"]) & (a["initial"] == p["fi"]), length(p["middle"]) > 1),
-        only(lambda a: (a["first"] == p["last"]) & (a["last"] == p["first"]), (length(p["first"]) > 1) & (length(p["last"]) > 1)),
-        only(lambda a: (length(a["first"]) > 1) & (a["first"] == p["last"]) & (a["last_initial"] == p["fi"]), length(p["last"]) > 1),
-        only(lambda a: (a["initial"] == p["fi"]) & (a["last_initial"] == p["li"]), p["fi"] != ""),
-        only(near, length(p["last"]) >= 4),
+    def addressed(a: Column) -> Column:
+        return (a["affiliation"] != "") & (a["affiliation"].contains(p["email"]) | ((p["user"] != "") & a["affiliation"].contains(p["user"])))
+
+    return [
+        ("only", lambda a: same_last(a) & (F.when(a["several"], a["token"]).otherwise(a["first"]) == p["first"]) & (F.when(a["several"], a["rest"]).otherwise("") == p["middle"]), p["middle"] != ""),
+        ("only", lambda a: same_last(a) & (F.when(a["cut"], a["token"]).otherwise(a["first"]) == p["first"]) & (a["middle_initial"] == p["mi"]), p["mi"] != ""),
+        ("best", lambda a: same_last(a) & (a["first"] == p["first"]), None),
+        ("only", lambda a: same_last(a) & p["first"].startswith(a["first"]) & (length(a["first"]) > 1), length(p["first"]) > 1),
+        ("only", lambda a: same_last(a) & (a["first"] != "") & a["first"].startswith(p["first"]), length(p["first"]) > 1),
+        ("best", lambda a: same_last(a) & (a["initial"] == p["fi"]), p["fi"] != ""),
+        ("first", addressed, p["email"] != ""),
+        ("only", lambda a: same_last(a) & (a["initial"] == p["mi"]) & (a["second"] == p["fi"]), (p["fi"] != "") & (p["mi"] != "")),
+        ("only", lambda a: a["last"].contains(p["last"]) & (a["initial"] == p["fi"]), (p["fi"] != "") & (length(p["last"]) > 2)),
+        ("only", same_last, None),
+        ("only", lambda a: a["first"] == p["first"], length(p["first"]) > 1),
+        ("only", lambda a: (length(a["last"]) > 1) & p["last"].contains(a["last"]), length(p["last"]) > 3),
+        ("only", lambda a: (a["first"] == p["first"]) & (a["last_initial"] == p["li"]), length(p["first"]) > 1),
+        ("only", lambda a: (a["last"] == p["middle"]) & (a["initial"] == p["fi"]), length(p["middle"]) > 1),
+        ("only", lambda a: (a["first"] == p["last"]) & (a["last"] == p["first"]), (length(p["first"]) > 1) & (length(p["last"]) > 1)),
+        ("only", lambda a: (length(a["first"]) > 1) & (a["first"] == p["last"]) & (a["last_initial"] == p["fi"]), length(p["last"]) > 1),
+        ("only", lambda a: (a["initial"] == p["fi"]) & (a["last_initial"] == p["li"]), p["fi"] != ""),
+        ("only", near, length(p["last"]) >= 4),
     ]
+
+
+#: The most points that break a tie: three for the first name, two for the middle one.
+MOST_POINTS = 5
+
+
+def resolve_by_groups(cand: DataFrame, fore_name: bool = False) -> DataFrame:
+    """(person_id, pmid, target_author_index) as resolve_target_author() finds it, of different pairs of person and article.
+
+    One row per author, whose keys and rules are plain columns and so compiled; a number per author has a bit for
+    each rule it fits. One group per candidate counts the authors of each rule, and of the two rules with ties those
+    of each number of points; the first rule with one author wins.
+    """
+    keys = [v.alias(f"p_{k}") for k, v in _person().items()]
+    rows = cand.select("person_id", "pmid", "authors", *keys)
+    rows = rows.select("person_id", "pmid", *[f"p_{k}" for k in PERSON], F.posexplode("authors").alias("i", "author"))
+    rows = rows.withColumn("a", _author(F.col("author"), fore_name))
+    p, a = {k: F.col(f"p_{k}") for k in PERSON}, F.col("a")
+    rules = _rules(p)
+    mask = None
+    for k, (_, rule, guard) in enumerate(rules):
+        bit = F.when(rule(a) if guard is None else guard & rule(a), 1 << k).otherwise(0)
+        mask = bit if mask is None else mask + bit
+    marked = rows.select("person_id", "pmid", "i", mask.alias("mask"), _points(a, p).alias("points"))
+    fits = lambda k: F.col("mask").bitwiseAND(1 << k) > 0
+    sums = []
+    for k, (kind, _, _) in enumerate(rules):
+        sums += [F.count_if(fits(k)).alias(f"n{k}"), F.min(F.when(fits(k), F.col("i"))).alias(f"i{k}")]
+        for s in range(1, MOST_POINTS + 1) if kind == "best" else ():
+            at = fits(k) & (F.col("points") == s)
+            sums += [F.count_if(at).alias(f"n{k}_{s}"), F.min(F.when(at, F.col("i"))).alias(f"i{k}_{s}")]
+    groups = marked.groupBy("person_id", "pmid").agg(*sums)
+    steps = []
+    for k, (kind, _, _) in enumerate(rules):
+        n, i = F.col(f"n{k}"), F.col(f"i{k}")
+        if kind == "first":
+            steps.append(i)
+        elif kind == "only":
+            steps.append(F.when(n == 1, i))
+        else:
+            step = F.when(n == 1, i)
+            for s in range(MOST_POINTS, 0, -1):
+                here = F.col(f"n{k}_{s}")
+                step = step.when(here == 1, F.col(f"i{k}_{s}")).when(here > 1, F.lit(None))
+            steps.append(step)
+    found = groups.select("person_id", "pmid", F.coalesce(*steps, F.lit(-1)).cast("int").alias("target_author_index"))
+    none = F.coalesce("target_author_index", F.lit(-1)).alias("target_author_index")
+    return cand.select("person_id", "pmid").join(found, ["person_id", "pmid"], "left").select("person_id", "pmid", none)
+
+
+def resolve_target_author(cand: DataFrame, fore_name: bool = False) -> DataFrame:
+    """Add target_author_index (from 0; -1: none).
+
+    Map-only: authors' keys are made once, and of each author one number with a bit for each rule it fits. From these the
+    bits that some author has, and that several have, give the first rule with an author; most candidates need no more.
+    Each rule counts only if exactly one author fits; the rules for equal names and for equal initials break ties by points,
+    and the e-mail rule takes the first author whose address has it. fore_name uses the whole given name where the
+    articles have it.
+    """
+    keys = {f"_p_{k}": _person()[k] for k in PERSON}
+    p = {k: F.col(f"_p_{k}") for k in PERSON}
+    rules = _rules(p)
+
+    def mask(a: Column) -> Column:
+        bits = [F.when(rule(a) if guard is None else guard & rule(a), 1 << k).otherwise(0) for k, (_, rule, guard) in enumerate(rules)]
+        return reduce(lambda x, y: x + y, bits)
+
+    rows = cand.withColumns(keys | {"_a": F.transform("authors", lambda a: _author(a, fore_name))})
+    rows = rows.withColumn("_m", F.transform("_a", mask))
+    none = F.struct(F.lit(0).alias("some"), F.lit(0).alias("several"))
+    seen = F.aggregate("_m", none, lambda s, m: F.struct(s["some"].bitwiseOR(m).alias("some"), s["several"].bitwiseOR(s["some"].bitwiseAND(m)).alias("several")))
+    rows = rows.withColumn("_seen", F.coalesce(seen, none))
+
+    def best(k: int) -> Column:
+        """The author with the most points among those who fit, if only one has as many."""
+        fits = F.filter(F.transform(F.arrays_zip("_m", "_a"), lambda x, i: F.struct(_points(x["_a"], p).alias("s"), i.alias("i"), x["_m"].bitwiseAND(1 << k).alias("fits"))), lambda x: x["fits"] > 0)
+        top = F.array_max(F.transform(fits, lambda x: x["s"]))
+        winners = F.filter(fits, lambda x: x["s"] == top)
+        return F.when((top > 0) & (F.size(winners) == 1), F.get(winners, F.lit(0))["i"])
+
+    steps = []
+    for k, (kind, _, _) in enumerate(rules):
+        some, several = (F.col(f"_seen.{c}").bitwiseAND(1 << k) > 0 for c in ("some", "several"))
+        first = F.array_position(F.transform("_m", lambda m: m.bitwiseAND(1 << k)), 1 << k).cast("int") - 1  # noqa: B023
+        step = F.when(some if kind == "first" else some & ~several, first)
+        steps.append(step.when(several, best(k)) if kind == "best" else step)
     index = F.coalesce(*steps, F.lit(-1)).cast("int")
-    return rows.withColumn("target_author_index", index).drop("_p", "_a")
+    return rows.withColumn("target_author_index", index).drop(*keys, "_a", "_m", "_seen")
 
 
 def with_target(cand: DataFrame) -> DataFrame:

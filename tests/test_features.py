@@ -50,6 +50,19 @@ def test_cascade(spark):
     assert {r.pmid: r.target_author_index for r in rows} == dict(enumerate(w for _, w in CASES))
 
 
+def test_both_forms_of_the_cascade(spark):
+    """The form over arrays against the one over groups: random short names, so that all rules and ties come up."""
+    rng = random.Random(7)
+    name = lambda: rng.choice(["ann", "an", "a", "lee", "le", "leex", "bo", "", "mcle", "anna lee"])
+    author = lambda: A(name(), name(), rng.choice(["", "A", "AL", "LA"]), rng.choice(["", "x user1@m.org", "y"]))
+    cases = [(name(), name(), name(), rng.choice(["", "user1@m.org"]), [author() for _ in range(rng.randint(0, 5))]) for _ in range(1500)]
+    rows = candidate(spark, cases)
+    for whole in (False, True):
+        one = {r.pmid: r.target_author_index for r in target.resolve_target_author(rows, whole).collect()}
+        two = {r.pmid: r.target_author_index for r in target.resolve_by_groups(rows, whole).collect()}
+        assert one == two and len(one) == 1500 and len(set(one.values())) == 6
+
+
 def test_whole_given_names(spark):
     rows = candidate(spark, [("Paul", "Jay", "Albert", "", [A("Paul Jim", "Albert"), A("Paul Jay", "Albert")])])
     assert target.resolve_target_author(rows, fore_name=True).first().target_author_index == 1
