@@ -3,25 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def fixed(df: DataFrame) -> DataFrame:
-    """The frame, computed once and kept in the checkpoint folder: what reads it twice reads the same rows in the same parts.
-
-    The folder is spark.checkpoint.dir, which all machines must share; where it isn't set, a local master gets a temporary one.
-    """
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, a folder that all machines must share; where it isn't set, a local master gets a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        path = spark.conf.get("spark.checkpoint.dir", None)
         if path is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(path or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}")
+    return context.getCheckpointDir()
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """The frame, computed once and kept in the checkpoint folder: what reads it twice reads the same rows in the same parts."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The frame, computed once and kept as Parquet in the checkpoint folder: what reads it takes only the columns it needs."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sorted_ranges(rows: DataFrame, *keys: Column | str) -> DataFrame:
     """The rows in ranges of the keys, each range sorted, with its number in _part: ranges ascend as the keys do. The ranges are
     about equally large, wherever the keys pile up, as long as no key has very many rows: group them first."""

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.strings import jaro_winkler, keywords_of, name_key, score_key, wilson, wilson_clipped
-from ..operators import derived, discover, evaluate, feedback, identity_features, model, reports, retrieve
+from ..functions.strings import jaro_winkler, keywords_of, name_key, normalize_orcid, score_key, strip_suffixes, wilson, wilson_clipped, year_in
+from ..operators import derived, discover, evaluate, feedback, identity_features, model, reports, retrieve, target
+from ..operators.candidates import candidates
+from ..operators.order import checkpoint_folder, written
+from ..operators.pairs import keyword_matches
+from ..operators.trees import tree_contributions
 from .. import params
 from ..params import Params
 from ..sources import tables
@@ -242,6 +246,23 @@ def bootstrap_ci(t):
     return evaluate.bootstrap_ci(_eval(t))
 
 
+@query(SQL + """, run AS (SELECT person_id, DATE '1998-01-01' AS d, count(*) AS found, person_id::BIGINT % 3 = 0 AS orcid_ran FROM link WHERE person_id::BIGINT % 2 = 0 GROUP BY 1),
+old AS (SELECT person_id, DATE '1996-06-01' AS d, DATE '1995-01-01' AS o FROM identity WHERE person_id::BIGINT % 5 > 0)
+SELECT coalesce(r.person_id, o.person_id) AS person_id, coalesce(r.d, o.d) AS last_retrieval_date, CASE WHEN r.person_id IS NULL OR NOT orcid_ran THEN o.o ELSE r.d END AS last_orcid_retrieval_date,
+  CASE WHEN r.person_id IS NULL THEN 7 ELSE found END AS articles_found, CASE WHEN r.person_id IS NULL THEN 1 ELSE 2 END::BIGINT AS run_id FROM run r FULL JOIN old o ON o.person_id = r.person_id""")
+def retrieval_log(t):
+    number = F.col("person_id").cast("long")
+    day = lambda d: F.lit(d).cast("date")
+    log = t.identity.filter(number % 5 > 0).select("person_id", day("1996-06-01").alias("last_retrieval_date"), day("1995-01-01").alias("last_orcid_retrieval_date"), F.lit(7).cast("long").alias("articles_found"), F.lit(1).cast("long").alias("run_id"))
+    run = t.link.filter(number % 2 == 0).groupBy("person_id").agg(F.count("*").alias("articles_found")).withColumns({"retrieved_on": day("1998-01-01"), "run_id": F.lit(2).cast("long"), "orcid_ran": number % 3 == 0})
+    return tables.update_retrieval_log(log, run)
+
+
+@query(SQL + "SELECT 'identity' AS table, count(*) AS deleted FROM identity UNION ALL SELECT 'link', count(*) FROM link UNION ALL SELECT 'curation', count(*) FROM curation UNION ALL SELECT 'score', count(*) FROM score")
+def wiped_rows(t):
+    return tables.wipe({"identity": t.identity, "link": t.link, "curation": t.curation, "score": t.score})[1]
+
+
 # Reports
 
 WILSON = "((a / (a + r) + 3.8416 / (2 * (a + r)) - 1.96 * sqrt((a / (a + r) * (1 - a / (a + r)) + 3.8416 / (4 * (a + r))) / (a + r))) / (1 + 3.8416 / (a + r)))"
@@ -542,7 +563,8 @@ lo AS (SELECT *, CASE WHEN nn > 0 THEN greatest(0, least(1, (pp + z * z / (2 * n
 dv AS (SELECT *, {SHARED_SQL} FROM lo), dw AS (SELECT *, {FB_SQL} FROM dv) SELECT person_id, pmid, {rounded_sql(FB)} FROM dw"""
 )
 def derived_feedback(t):
-    return rounded(model.features(_resolved(t), t.curation), KEYS, FB)
+    # candidates and their targets are used many times over: they are made once
+    return rounded(model.features(written(_resolved(t)), t.curation), KEYS, FB)
 
 
 LOOKUPS = ["firstNameFrequencyScore", "genderScoreIdentityArticleDiscrepancy", "nameGenderConflict", "nameFrequencyMatchInteraction", "hasGender", "worstSingleEvidence"]
@@ -572,6 +594,69 @@ def derived_lookups(t):
     return rounded(derived.derived_identity(rows, frequencies), KEYS, LOOKUPS)
 
 
+SUBFIELD = ["journalSubfieldScore", "feedbackScoreJournalSubField", "feedbackScoreCites"]
+_ISSN = "'1111' || lpad((pmid % {})::VARCHAR, 4, '0')"
+SUBFIELD_SQL = SQL + f""", sub AS (SELECT '1111' || lpad((p_partkey % 40)::VARCHAR, 4, '0') AS issn, min(p_brand) AS subfield FROM part GROUP BY 1),
+dep AS (SELECT DISTINCT c_mktsegment AS department, subfield FROM customer, sub WHERE length(c_mktsegment) % 2 = right(subfield, 1)::INT % 2),
+js AS (SELECT pmid, coalesce(s1.subfield, s2.subfield, '') AS sf FROM article LEFT JOIN sub s1 ON s1.issn = {_ISSN.format(50)} LEFT JOIN sub s2 ON s2.issn = {_ISSN.format(7)}),
+facts AS (
+  SELECT person_id, pmid, assertion, 'JournalSubField' AS dim, lower(sf) AS value FROM cand JOIN js USING (pmid)
+  UNION ALL SELECT person_id, pmid, assertion, 'Cites', '10.1/' || pmid % 9 FROM cand)
+""" + sql.FACTS[sql.FACTS.index(",\nf AS (") :].replace("('Year', 0.0)", "('Year', 0.0), ('JournalSubField', 0.7), ('Cites', 0.5)") + f""", sc AS (
+  SELECT c.person_id, c.pmid, CASE WHEN c.department = '' OR sf = '' THEN 0 WHEN EXISTS (FROM dep d WHERE d.department = c.department AND d.subfield = sf) THEN 0.47 ELSE -0.47 END AS journalSubfieldScore
+  FROM cand c JOIN js USING (pmid)) SELECT person_id, pmid, {rounded_sql(SUBFIELD)} FROM sc JOIN fb USING (person_id, pmid)"""
+
+
+@query(SUBFIELD_SQL)
+def derived_subfields(t):
+    """Subfields of journals and departments from tables made of the parts' makers, DOIs that articles share."""
+    part = t.read("part")
+    of = lambda n: F.concat(F.lit("1111-"), F.lpad((F.col("pmid") % n).cast("string"), 4, "0"))
+    article = t.article.withColumns({"journal_issn": F.array(of(50), of(7)), "doi": F.concat(F.lit("10.1/"), (F.col("pmid") % 9).cast("string"))})
+    issn = F.concat(F.lit("1111"), F.lpad((F.col("p_partkey") % 40).cast("string"), 4, "0"))
+    subfields = part.groupBy(issn.alias("issn")).agg(F.min("p_brand").alias("subfield"))
+    sides = subfields.select("subfield").distinct().withColumn("odd", F.substring("subfield", -1, 1).cast("int") % 2)
+    departments = t.read("customer").select(F.col("c_mktsegment").alias("department")).distinct().withColumn("odd", F.length("department") % 2).join(sides, "odd")
+    cand = target.with_target(target.resolve_target_author(candidates(t.identity, article, t.link, t.curation)))
+    rows = identity_features.add_lookup_scores(cand, departments, None, subfields)
+    scores = feedback.feedback_features(rows, dims=["JournalSubField", "Cites"])
+    return rounded(rows.select(*KEYS, "journalSubfieldScore").join(scores, KEYS), KEYS, SUBFIELD)
+
+
+def _suffixes_sql(c):
+    """A column without suffixes, one after the other."""
+    out = f"SELECT p_partkey, {c} AS surname, made FROM x"
+    for s in params.SUFFIXES:
+        for tail in (f", {s}".lower(), f" {s}".lower()):
+            out = f"SELECT p_partkey, made, CASE WHEN ends_with(lower(surname), '{tail}') THEN trim(surname[:length(surname) - {len(tail)}]) ELSE surname END AS surname FROM ({out})"
+    return out
+
+
+MADE = """WITH x AS (SELECT p_partkey, split_part(p_name, ' ', 2) || CASE p_partkey % 6 WHEN 0 THEN ', Jr' WHEN 1 THEN ' MD' WHEN 2 THEN ' III' WHEN 3 THEN ' PhD, Sr' ELSE '' END AS surname,
+  CASE p_partkey % 4 WHEN 0 THEN (1980 + p_size)::VARCHAR || ' Jan-Feb' WHEN 1 THEN 'Spring ' || p_size WHEN 2 THEN (1950 + p_size)::VARCHAR ELSE '' END AS made,
+  CASE p_partkey % 4 WHEN 0 THEN 'https://orcid.org/0000-' || p_partkey WHEN 1 THEN 'http://www.orcid.org/0000-' || p_partkey || '/' WHEN 2 THEN ' 0000-' || p_partkey || ' ' ELSE '' END AS orcid, p_name FROM part)"""
+
+
+@query(
+    MADE
+    + rf""", s AS ({_suffixes_sql('surname')})
+SELECT p_partkey, s.surname, CASE WHEN regexp_matches(split_part(trim(s.made), ' ', 1), '^[0-9]+$') THEN split_part(trim(s.made), ' ', 1)::INT ELSE 0 END AS year,
+  regexp_replace(trim(orcid), 'https?://(www\.)?orcid\.org/|[ /]', '', 'g') AS orcid,
+  (contains(lower(p_name), 'a') AND contains(lower(p_name), 'ee')) OR contains(lower(p_name), 'blu') AS matched FROM s JOIN x USING (p_partkey)"""
+)
+def text_values(t):
+    """Name suffixes, free dates, ORCID addresses and keyword groups, in values made of the parts'."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    pick = lambda by, *options: F.coalesce(*[F.when(k % by == i, o) for i, o in enumerate(options)], F.lit(""))
+    surname = F.concat(F.split("p_name", " ")[1], pick(6, F.lit(", Jr"), F.lit(" MD"), F.lit(" III"), F.lit(" PhD, Sr")))
+    made = pick(4, F.concat((1980 + n).cast("string"), F.lit(" Jan-Feb")), F.concat(F.lit("Spring "), n.cast("string")), (1950 + n).cast("string"))
+    number = k.cast("string")
+    orcid = pick(4, F.concat(F.lit("https://orcid.org/0000-"), number), F.concat(F.lit("http://www.orcid.org/0000-"), number, F.lit("/")), F.concat(F.lit(" 0000-"), number, F.lit(" ")))
+    groups = t.spark.createDataFrame([("1", "a"), ("1", "ee"), ("2", "blu")], "group string, word string")
+    rows = keyword_matches(t.read("part"), "p_name", groups, "matched")
+    return rows.select("p_partkey", strip_suffixes(surname).alias("surname"), year_in(made).alias("year"), normalize_orcid(orcid).alias("orcid"), "matched")
+
+
 # What is done with scores that are there: the table's own stand for a model's
 
 @query(SQL + "SELECT count(*) FILTER (WHERE assertion = 'ACCEPTED') AS accepted, count(*) AS decided, count(*) FILTER (WHERE assertion = 'ACCEPTED') >= 10 AS can_train, count(*) >= 100 AS advised FROM curation")
@@ -618,26 +703,32 @@ def name_similarity(t):
     return pairs.withColumn("similarity", jaro_winkler(F.col("a"), F.col("b")))
 
 
-def _models(t, trees=4, depth=2):
-    """Small models of the table's own decisions, enough to run the scoring plan."""
-    rows = model.features(_resolved(t), t.curation).persist()
+#: Trees and depth of the registered models; model.train()'s own are 300 of depth 6 (the README has what these take).
+TREES, DEPTH = 12, 5
+
+
+def _models(t, trees=TREES, depth=DEPTH):
+    """Models of the table's own decisions. The features are computed once and kept in the checkpoint folder."""
+    rows = written(model.features(written(_resolved(t)), t.curation))
     full, held = model.train(rows, model.FEEDBACK, trees, depth)
-    plain, _ = model.train(model.identity_view(rows), model.IDENTITY, trees, depth)
-    return rows, full, plain, held
+    return rows, full, held
 
 
 @query()
 def model_scores(t):
-    rows, full, plain, _ = _models(t)
+    rows, full, _ = _models(t)
+    plain, _ = model.train(model.identity_view(rows), model.IDENTITY, TREES, DEPTH)
     return model.score(rows, full, plain)
 
 
 @query()
 def model_validation(t):
-    return model.validate(_models(t)[3])
+    return model.validate(_models(t)[2])
 
 
 @query()
 def contributions(t):
-    rows, full, _, _ = _models(t)
-    return model.top_contributions(model.contributions(rows, full))
+    rows, full, _ = _models(t)
+    model_dir = f"{checkpoint_folder(t.spark)}/model-{full.key}"
+    full.save(model_dir)
+    return model.top_contributions(tree_contributions(rows, full, model_dir))

@@ -20,7 +20,7 @@ def plain(v):
     return tuple(map(plain, v)) if isinstance(v, list | tuple) else v
 
 
-@pytest.mark.parametrize("name", ["target_author", "name_scores", "feedback_all", "derived_feedback", "candidates_orcid_union", "merge_keep", "upsert_identities", "insert_articles", "link_uploads", "link_found", "upsert_scores", "candidates_cascade", "incremental_window", "roc_auc", "roc_points", "pr_curve", "average_precision", "calibration_bins", "orcid_inference", "score_export", "institution_names", "derived_lookups", "wilson_bounds", "name_keys", "score_safety_net", "score_metrics", "training_gates", "score_cache_misses"])
+@pytest.mark.parametrize("name", ["target_author", "name_scores", "feedback_all", "derived_feedback", "candidates_orcid_union", "merge_keep", "upsert_identities", "insert_articles", "link_uploads", "link_found", "upsert_scores", "candidates_cascade", "incremental_window", "roc_auc", "roc_points", "pr_curve", "average_precision", "calibration_bins", "orcid_inference", "score_export", "institution_names", "derived_lookups", "wilson_bounds", "name_keys", "score_safety_net", "score_metrics", "training_gates", "score_cache_misses", "derived_subfields", "text_values", "retrieval_log", "wiped_rows", "score_summary"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
