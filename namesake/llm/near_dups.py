@@ -182,7 +182,8 @@ def find(docs: DataFrame, percent: int = 80, size: int = 5, count: int = 56, row
     Documents link if 100 * intersection >= percent * union of their shingle sets; component_id is the smallest doc_id
     that links reach, kept says that it is the document's own. A text without words has an empty set and links with
     nothing. Rows of one doc_id are one document; a null doc_id takes part only through an equal set under another id,
-    and is never kept. Equal sets are one class from the start, so that copies cost nothing further.
+    and is never kept. Equal sets are one class from the start, so that copies cost nothing further. Very long texts are
+    sketched and verified whole; other columns, of any name, aren't read; an empty table gives no rows.
 
     A band shared by classes makes them candidates. With 56 bands of 6 a pair at 80 per cent shares none four times in
     10^8 cases, with 48 bands of 7 one at 85 per cent once in 10^8. Candidates that hang together are a family; its classes go into units by size (sizes further apart than the

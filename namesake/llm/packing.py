@@ -274,8 +274,10 @@ def plan(histogram: dict[int, int], capacity: int = 4096, groups: int = 64, smal
 def pack(docs: DataFrame, path: str | None = None, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Pack all documents; one row per piece: its document, place there, crc32 of ids, sequence_id and offset.
 
-    A null or empty text is the end id alone. Rows may repeat. An empty table gives no rows. The driver sees the counts
-    of the lengths 1 to capacity; the plan made of them has a bounded number of rows too and is broadcast.
+    A null or empty text is the end id alone. Rows may repeat, each is packed. A text of more than capacity ids, however long, is
+    cut into pieces of capacity, the last one shorter; equal lengths are interchangeable, by hash and then by id. Other
+    columns, of any name, aren't read. An empty table gives no rows. The driver sees the counts of the lengths 1 to capacity;
+    the plan made of them has a bounded number of rows too and is broadcast.
     """
     if path is None:
         import public_tokenizers

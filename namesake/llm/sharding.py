@@ -39,7 +39,8 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
 
     Returns doc_id, size (UTF-8 bytes of the text plus 8; null text: 8), text_crc32 (null text: that of no bytes, 0),
     law ('key'), shard, slot (gapless from 0 in a shard) and grown_shard (its shard if one more were appended).
-    Repeated rows share a shard and get slots of their own; an empty table gives no rows.
+    Repeated rows share a shard and get slots of their own; texts of any length are measured whole; other columns, of any name,
+    aren't read; an empty table gives no rows.
 
     The slots need the number of rows in each part of a shard; those counts come from a scan of doc_id alone.
     """

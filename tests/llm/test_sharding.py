@@ -42,5 +42,11 @@ def test_slots_over_several_parts(spark, monkeypatch):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and len(slots) == 3
 
 
+def test_a_very_long_text(spark):
+    text = "é" * 2_000_000
+    r = shard(spark.createDataFrame([(1, text, "x")], SCHEMA)).first()
+    assert (r["size"], r.text_crc32, r.slot) == (4_000_008, zlib.crc32(text.encode()), 0)
+
+
 def test_empty(spark):
     assert shard(spark.createDataFrame([], SCHEMA)).count() == 0
