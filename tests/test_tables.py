@@ -159,6 +159,29 @@ def test_curves(spark):
     assert evaluate.viability(df.limit(0)).first().status == "no_data" and evaluate.viability(df.filter("label = 1")).first().status == "single_class"
 
 
+def test_full_report(spark):
+    """Each part of the report against the same made of the rows by itself."""
+    rng = random.Random(3)
+    pairs = [(str(i % 7), i, rng.random(), rng.choice(["ACCEPTED", "REJECTED"])) for i in range(120)]
+    score = spark.createDataFrame([(p, i, "feedbackIdentity", s) for p, i, s, _ in pairs], "person_id string, pmid long, model_type string, calibrated_score double")
+    curation = spark.createDataFrame([(p, i, a) for p, i, _, a in pairs], "person_id string, pmid long, assertion string")
+    identity = spark.createDataFrame([(str(k), "Ann", "Lee") for k in range(7)], "person_id string, first_name string, last_name string")
+    got = evaluate.full_report(score, curation, identity)
+    rows = evaluate.evaluation_set(score, curation)
+    single = {"viability": evaluate.viability(rows), "roc_auc": evaluate.roc_auc(rows), "calibration": evaluate.calibration(rows), "average_precision": evaluate.average_precision(rows), "distribution": evaluate.distribution(rows)}
+    values = lambda df: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()), key=str)
+    assert set(got) == {"rows", "viability", "roc_points", "roc_auc", "bootstrap_ci", "calibration", "pr_curve", "average_precision", "distribution", "disagreements"}
+    assert all(values(got[k]) == values(df) for k, df in single.items())
+    positive = [s for _, _, s, a in pairs if a == "ACCEPTED"]
+    negative = [s for _, _, s, a in pairs if a == "REJECTED"]
+    area = sum(x > y for x in positive for y in negative) / (len(positive) * len(negative))
+    ci = got["bootstrap_ci"].first()
+    assert abs(got["roc_auc"].first().auc - area) < 1e-9 and ci.low < area < ci.high
+    assert got["viability"].first().status == "viable" and got["roc_points"].count() == 121 and got["pr_curve"].count() == 121
+    assert sorted(r.pmid for r in got["disagreements"].collect()) == sorted(i for _, i, s, a in pairs if abs(s * 100 - 100 * (a == "ACCEPTED")) >= 50)
+    got["rows"].unpersist()
+
+
 def test_orcids_from_decisions(spark):
     score = spark.createDataFrame([("1", i, "identityOnly", 0.1) for i in range(6)], "person_id string, pmid long, model_type string, calibrated_score double")
     resolved = spark.createDataFrame([("1", i, "A", "B", "0000-0001-1", ("https://orcid.org/0000-0001-1" if i else "0000-0009-9",)) for i in range(6)], "person_id string, pmid long, first_name string, last_name string, orcid string, target struct<orcid:string>")
