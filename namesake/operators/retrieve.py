@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.strings import name_key, normalize_orcid
 from ..params import Params
+from .order import written
 
 KEYS = ["person_id", "pmid"]
+KINDS = ("lenient", "strict", "orcid")
 
 
 def _keys(last: Column, first: Column) -> tuple[Column, Column]:
@@ -27,13 +30,50 @@ def author_index(article: DataFrame) -> DataFrame:
     return rows.select("pmid", *dates, lenient.alias("lenient"), strict.alias("strict"), normalize_orcid(F.coalesce("a.orcid", F.lit(""))).alias("orcid"))
 
 
-def _asked(index: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """(pmid, key) of the index, once each, of the wanted keys only; all steps share one shuffle by key."""
-    return index.select("pmid", key).filter(F.col(key) != "").join(wanted.select(key).distinct(), key, "left_semi").distinct()
+def matches(identity: DataFrame, index: DataFrame) -> DataFrame:
+    """(pmid, kind, key) of the index, once each and with its dates, of the name keys and ORCIDs that the roster has.
 
+    The articles are read once, for all steps of the search: what is kept in the checkpoint folder is only what the roster
+    asks for. A roster that fits a broadcast is one; else names as common as they come are split by Spark, since the rows
+    move on by article.
+    """
+    wanted = _wanted(identity).select("kind", "key").distinct()
+    dates = [c for c in ("entry_date", "pub_date") if c in index.columns]
+    rows = index.select("pmid", *dates, _entries(*KINDS)).filter("key <> ''")
+    return written(rows.join(wanted, ["kind", "key"], "left_semi").repartition("pmid").distinct())
+
+
+def _entries(*kinds: str) -> Column:
+    """A row (kind, key) for each kind's column."""
+    return F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in kinds]))
+
+
+def _people(identity: DataFrame) -> DataFrame:
+    lenient, strict = _keys(F.col("last_name"), F.col("first_name"))
+    orcid = normalize_orcid(F.coalesce("orcid", F.lit(""))) if "orcid" in identity.columns else F.lit("")
+    return identity.select("person_id", lenient.alias("lenient"), strict.alias("strict"), orcid.alias("orcid"))
+
+
+def _wanted(identity: DataFrame, *kinds: str) -> DataFrame:
+    """(person_id, kind, key) of the roster."""
+    return _people(identity).select("person_id", _entries(*(kinds or KINDS))).filter("key <> ''")
+
+
+def _decisions(identity: DataFrame, matched: DataFrame, cfg: Params) -> DataFrame:
+    """person_id, query_type, lenient_count, strict_count and the two keys."""
+    counts = matched.filter("kind <> 'orcid'").groupBy("kind", "key").agg(F.count("*").alias("n"))
+    of = lambda kind: counts.filter(F.col("kind") == kind).select(F.col("key").alias(kind), F.col("n").alias(f"n_{kind}"))
+    tried = _people(identity).join(of("lenient"), "lenient", "left").join(of("strict"), "strict", "left").na.fill(0, ["n_lenient"])
+    over = F.col("n_lenient") > cfg.lenient_threshold
+    strict_count = F.when(over, F.coalesce("n_strict", F.lit(0)))
+    kind = F.when(~over, "lenient").when(strict_count <= cfg.strict_threshold, "strict").otherwise("skipped")
+    return tried.select("person_id", kind.alias("query_type"), F.col("n_lenient").alias("lenient_count"), strict_count.alias("strict_count"), "lenient", "strict")
 
-def _counts(index: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    return _asked(index, key, wanted).groupBy(key).agg(F.count("*").alias(f"n_{key}"))
+
+def _asked(decisions: DataFrame) -> DataFrame:
+    """(person_id, kind, key): the one name key of each person that is searched for, if any."""
+    key = F.when(F.col("query_type") == "lenient", F.col("lenient")).when(F.col("query_type") == "strict", F.col("strict"))
+    return decisions.select("person_id", F.col("query_type").alias("kind"), key.alias("key")).filter("key <> ''")
 
 
 def retrieve_by_name(identity: DataFrame, index: DataFrame, cfg: Params | None = None) -> tuple[DataFrame, DataFrame]:
@@ -42,28 +82,15 @@ def retrieve_by_name(identity: DataFrame, index: DataFrame, cfg: Params | None =
     Keys are counted before anything is joined: a person whose lenient key has too many articles falls back on the
     strict one, or is skipped, so that the commonest names never reach the join.
     """
-    cfg = cfg or Params()
-    lenient, strict = _keys(F.col("last_name"), F.col("first_name"))
-    people = identity.select("person_id", lenient.alias("lenient"), strict.alias("strict"))
-    n1 = _counts(index, "lenient", people)
-    tried = people.join(n1, "lenient", "left").na.fill(0, ["n_lenient"])
-    n2 = _counts(index, "strict", tried.filter(F.col("n_lenient") > cfg.lenient_threshold))
-    tried = tried.join(n2, "strict", "left")
-    over = F.col("n_lenient") > cfg.lenient_threshold
-    strict_count = F.when(over, F.coalesce("n_strict", F.lit(0)))
-    kind = F.when(~over, "lenient").when(strict_count <= cfg.strict_threshold, "strict").otherwise("skipped")
-    decisions = tried.select("person_id", kind.alias("query_type"), F.col("n_lenient").alias("lenient_count"), strict_count.alias("strict_count"), "lenient", "strict")
-    parts = []
-    for key in ("lenient", "strict"):
-        asked = decisions.filter((F.col("query_type") == key) & (F.col(key) != "")).select("person_id", key)
-        parts.append(asked.join(_asked(index, key, asked), key).select(*KEYS))
-    return parts[0].unionByName(parts[1]), decisions.drop("lenient", "strict")
+    matched = matches(identity, index)
+    decisions = _decisions(identity, matched, cfg or Params())
+    return matched.join(_asked(decisions), ["kind", "key"]).select(*KEYS), decisions.drop("lenient", "strict")
 
 
 def retrieve_by_orcid(identity: DataFrame, index: DataFrame) -> DataFrame:
     """(person_id, pmid) of articles that list the person's ORCID; no thresholds."""
-    asked = identity.select("person_id", normalize_orcid(F.col("orcid")).alias("orcid")).filter("orcid <> ''")
-    return asked.join(_asked(index, "orcid", asked), "orcid").select(*KEYS)
+    found = index.select("pmid", "orcid").filter("orcid <> ''").join(_wanted(identity, "orcid").select("person_id", F.col("key").alias("orcid")), "orcid")
+    return found.select(*KEYS).distinct()
 
 
 def since(index: DataFrame, first_day: Column) -> Column:
@@ -75,21 +102,18 @@ def retrieve(identity: DataFrame, article: DataFrame, link: DataFrame, log: Data
     """(person_id, pmid, source) of new candidates, by name or ORCID, without the pairs that are linked already.
 
     mode full takes all articles, update those since the person's last retrieval (all for a first one, and all by ORCID
-    until an ORCID retrieval has been made), score_only none.
+    until an ORCID retrieval has been made), score_only none. Name keys and ORCIDs are found by one join.
     """
-    index = author_index(article)
-    named, _ = retrieve_by_name(identity, index, cfg)
-    by_orcid = retrieve_by_orcid(identity, index)
     if mode == "score_only":
-        named, by_orcid = named.limit(0), by_orcid.limit(0)
-    elif mode == "update" and log is not None:
-        dates = article.select("pmid", "entry_date", "pub_date")
+        source = T.StructField("source", T.StringType(), False)
+        return identity.sparkSession.createDataFrame([], T.StructType([identity.schema["person_id"], article.schema["pmid"], source]))
+    matched = matches(identity, author_index(article))
+    asked = _asked(_decisions(identity, matched, cfg or Params())).unionByName(_wanted(identity, "orcid"))
+    found = matched.join(asked, ["kind", "key"])
+    if mode == "update" and log is not None:
         seen = log.select("person_id", "last_retrieval_date", "last_orcid_retrieval_date")
-
-        def recent(found: DataFrame, day: str) -> DataFrame:
-            rows = found.join(dates, "pmid").join(seen, "person_id", "left")
-            return rows.filter(F.col(day).isNull() | since(rows, F.col(day))).select(*KEYS)
-
-        named, by_orcid = recent(named, "last_retrieval_date"), recent(by_orcid, "last_orcid_retrieval_date")
-    both = named.unionByName(by_orcid).dropDuplicates(KEYS)
+        day = F.when(F.col("kind") == "orcid", F.col("last_orcid_retrieval_date")).otherwise(F.col("last_retrieval_date"))
+        rows = found.join(seen, "person_id", "left")
+        found = rows.filter(day.isNull() | since(rows, day))
+    both = found.select(*KEYS).distinct()
     return both.join(link, KEYS, "left_anti").withColumn("source", F.lit("search"))

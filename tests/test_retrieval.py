@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from namesake.operators import retrieve
 from namesake.params import Params
 from namesake.plans import report_queries as rq
 from namesake.plans.catalogue import ORACLE, QUERIES
@@ -41,3 +42,29 @@ def test_every_branch(spark, name, sql):
     assert rows(getattr(rq, name)(Tables(spark, SF), cfg), columns) == want
     if name == "retrieval_decisions":
         assert Counter(r[columns.index("query_type")] for r in want) == {"lenient": 42, "strict": 45, "skipped": 63}
+
+
+def test_articles_are_read_once(spark):
+    """What is found comes from the kept matches; update mode reads the dates from there too."""
+    for ask in (rq.candidates_orcid_union, rq.incremental_window):
+        plan = ask(Tables(spark, SF), Params())._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_partkey" not in plan
+
+
+def test_repeated_articles_and_missing_names(spark):
+    """A repeated article or author counts once; persons without a name, or an ORCID, find nothing by it."""
+    author = "array<struct<first_name:string,last_name:string,orcid:string>>"
+    ann, bob = ("Ann", "Lee", None), ("Bob", "Lee", "0000-0001")
+    listed = [(1, [ann, ann]), (1, [ann, ann]), (2, [("A.", "Lee", ""), bob]), (3, []), (4, None), (5, [(None, None, None), ("", "", "")])]
+    articles = spark.createDataFrame(listed, f"pmid long, authors {author}")
+    people = spark.createDataFrame([("p", "Ann", "Lee", ""), ("q", "Bob", "Lee", "https://orcid.org/0000-0001"), ("r", "", "", None), ("s", None, None, "")], "person_id string, first_name string, last_name string, orcid string")
+    index = retrieve.author_index(articles)
+    pairs = lambda df: sorted((r.person_id, r.pmid) for r in df.collect())
+    found, decisions = retrieve.retrieve_by_name(people, index, Params(lenient_threshold=1, strict_threshold=1))
+    assert pairs(found) == [("p", 1), ("q", 2)]
+    assert {r.person_id: (r.query_type, r.lenient_count, r.strict_count) for r in decisions.collect()} == {"p": ("strict", 2, 1), "q": ("lenient", 1, None), "r": ("lenient", 0, None), "s": ("lenient", 0, None)}
+    assert pairs(retrieve.retrieve_by_orcid(people, index)) == [("q", 2)]
+    links = spark.createDataFrame([("p", 1)], "person_id string, pmid long")
+    assert pairs(retrieve.retrieve(people, articles, links)) == [("p", 2), ("q", 2)]
+    assert retrieve.retrieve(people, articles, links, mode="score_only").columns == ["person_id", "pmid", "source"]
+    assert retrieve.retrieve(people, articles.limit(0), links).count() == 0
