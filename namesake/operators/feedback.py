@@ -60,12 +60,13 @@ def _dimensions(columns: list[str]) -> dict[str, Column]:
 
 def evidence(cand: DataFrame, dims: list[str] | None = None) -> DataFrame:
     """(person_id, pmid, assertion, dim, value, mult): a row for each different value of the dimensions (all without
-    dims), with how often the article has it."""
+    dims), with how often the article has it. Rows are partitioned by person, dimension and value, by which they are
+    counted and compared with others: none of that needs another exchange."""
     values = {d: v for d, v in _dimensions(cand.columns).items() if dims is None or d in dims}
     named = lambda dim: lambda x: F.struct(F.lit(dim).alias("dim"), x.alias("value"))
     facts = F.flatten(F.array(*[F.transform(v, named(dim)) for dim, v in values.items()]))
-    rows = cand.select("person_id", "pmid", "assertion", F.explode(facts).alias("fact"))
-    return rows.groupBy("person_id", "pmid", "assertion", F.col("fact.dim").alias("dim"), F.col("fact.value").alias("value")).agg(F.count("*").alias("mult"))
+    rows = cand.select("person_id", "pmid", "assertion", F.explode(facts).alias("fact")).select("person_id", "pmid", "assertion", "fact.dim", "fact.value")
+    return rows.repartition("person_id", "dim", "value").groupBy("person_id", "pmid", "assertion", "dim", "value").agg(F.count("*").alias("mult"))
 
 
 def feedback_features(cand: DataFrame, strict_loo: bool = False, dims: list[str] | None = None, state: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -92,11 +93,15 @@ def feedback_features(cand: DataFrame, strict_loo: bool = False, dims: list[str]
         totals = totals.select("person_id", F.coalesce("total_accepted", none).alias("total_accepted"), F.coalesce("total_rejected", none).alias("total_rejected"))
     hit = (F.col("a") > 0) | (F.col("r") > 0)
     item = F.when(hit, F.col("mult") * decided(F.col("assertion"), F.col("a"), F.col("r"), strict_loo)).otherwise(0.0)
-    per = counted.groupBy("person_id", "pmid", "dim").agg(F.sum(item).alias("s"), F.max(hit).alias("hit"), F.sum("mult").alias("n"))
-    strength = F.coalesce(*[F.when(F.col("dim") == d, F.lit(s)) for d, s in params.ABSENCE.items()])
-    value = F.when(~F.col("hit"), absence(F.col("total_accepted"), strength)).when(F.col("dim").isin(*params.AVERAGED), F.col("s") / F.col("n")).otherwise(F.col("s"))
-    wide = per.join(totals, "person_id").withColumn("v", value).groupBy("person_id", "pmid")
-    wide = wide.agg(*[F.sum(F.when(F.col("dim") == d, F.col("v"))).alias(f"feedbackScore{d}") for d in dims])
-    rows = cand.select("person_id", "pmid").join(totals, "person_id").join(wide, ["person_id", "pmid"], "left")
+    at = {d: F.col("dim") == d for d in dims}
+    sums = [f(F.when(at[d], x)).alias(f"{n}{d}") for d in dims for n, f, x in (("s", F.sum, item), ("hit", F.max, hit))]
+    sums += [F.sum(F.when(at[d], F.col("mult"))).alias(f"n{d}") for d in dims if d in params.AVERAGED]
+    per = counted.groupBy("person_id", "pmid").agg(*sums)
+    rows = cand.select("person_id", "pmid").join(totals, "person_id").join(per, ["person_id", "pmid"], "left")
+
+    def value(d: str) -> Column:
+        s = F.col(f"s{d}") / F.col(f"n{d}") if d in params.AVERAGED else F.col(f"s{d}")
+        return F.when(~F.col(f"hit{d}"), absence(F.col("total_accepted"), F.lit(params.ABSENCE[d]))).otherwise(s)
+
     curated = F.col("total_accepted") + F.col("total_rejected") > 0
-    return rows.select("person_id", "pmid", *[F.coalesce(F.when(curated, F.col(c)), F.lit(0.0)).alias(c) for c in (f"feedbackScore{d}" for d in dims)])
+    return rows.select("person_id", "pmid", *[F.coalesce(F.when(curated, value(d)), F.lit(0.0)).alias(f"feedbackScore{d}") for d in dims])

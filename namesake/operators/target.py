@@ -10,26 +10,33 @@ from pyspark.sql import functions as F
 from ..functions.strings import email_user, first_initial, first_or, name_key, parts_of
 
 
-def _author(a: Column, fore_name: bool) -> Column:
-    """Keys of a listed author. With fore_name the whole given name is split, else only its first word is known."""
+def _words(a: Column, fore_name: bool) -> Column:
+    """The given name of a listed author, its words and the second initial. With fore_name the whole given name is split, else
+    only its first word is known."""
     given = F.coalesce(a["fore_name"] if fore_name else a["first_name"], F.lit(""))
-    words = parts_of(given)
     second = F.when(F.length(a["initials"]) > 1, F.lower(F.substring(a["initials"], 2, 1)))
-    rest = name_key(F.array_join(F.slice(words, 2, 1000), " "))
+    return F.struct(given.alias("given"), parts_of(given).alias("words"), second.alias("second"), a["last_name"].alias("last"), a["initials"].alias("initials"), a["affiliation"].alias("affiliation"))
+
+
+def _keys(w: Column) -> Column:
+    """Keys of a listed author, of its words."""
+    given, words, second, several = w["given"], w["words"], w["second"], F.size(w["words"]) > 1
+    rest = F.when(several, name_key(F.array_join(F.slice(words, 2, 1000), " "))).otherwise("")
+    key = name_key(given)
     return F.struct(
-        name_key(given).alias("first"),
-        name_key(F.coalesce(F.get(words, F.lit(0)), F.lit(""))).alias("token"),
+        key.alias("first"),
+        F.when(several, name_key(F.get(words, F.lit(0)))).otherwise(key).alias("token"),
         rest.alias("rest"),
-        (F.size(words) > 1).alias("several"),
+        several.alias("several"),
         F.coalesce(second, F.lit("")).alias("second"),
-        F.coalesce(second, F.when(F.size(words) > 1, first_initial(F.get(words, F.lit(1)))), F.lit("")).alias("middle_initial"),
+        F.coalesce(second, F.when(several, first_initial(F.get(words, F.lit(1)))), F.lit("")).alias("middle_initial"),
         F.when(rest != "", rest).otherwise(F.coalesce(second, F.lit(""))).alias("middle"),
-        (second.isNull() & (F.size(words) > 1)).alias("cut"),
-        name_key(a["last_name"]).alias("last"),
-        first_or(given, a["initials"]).alias("initial"),
+        (second.isNull() & several).alias("cut"),
+        name_key(w["last"]).alias("last"),
+        first_or(given, w["initials"]).alias("initial"),
         first_initial(given).alias("given_initial"),
-        first_initial(a["last_name"]).alias("last_initial"),
-        F.lower(F.coalesce(a["affiliation"], F.lit(""))).alias("affiliation"),
+        first_initial(w["last"]).alias("last_initial"),
+        F.lower(F.coalesce(w["affiliation"], F.lit(""))).alias("affiliation"),
     )
 
 
@@ -100,7 +107,7 @@ def resolve_by_groups(cand: DataFrame, fore_name: bool = False) -> DataFrame:
     keys = [v.alias(f"p_{k}") for k, v in _person().items()]
     rows = cand.select("person_id", "pmid", "authors", *keys)
     rows = rows.select("person_id", "pmid", *[f"p_{k}" for k in PERSON], F.posexplode("authors").alias("i", "author"))
-    rows = rows.withColumn("a", _author(F.col("author"), fore_name))
+    rows = rows.withColumn("w", _words(F.col("author"), fore_name)).withColumn("a", _keys(F.col("w")))
     p, a = {k: F.col(f"p_{k}") for k in PERSON}, F.col("a")
     rules = _rules(p)
     mask = None
@@ -151,7 +158,7 @@ def resolve_target_author(cand: DataFrame, fore_name: bool = False) -> DataFrame
         bits = [F.when(rule(a) if guard is None else guard & rule(a), 1 << k).otherwise(0) for k, (_, rule, guard) in enumerate(rules)]
         return reduce(lambda x, y: x + y, bits)
 
-    rows = cand.withColumns(keys | {"_a": F.transform("authors", lambda a: _author(a, fore_name))})
+    rows = cand.withColumns(keys | {"_a": F.transform(F.transform("authors", lambda a: _words(a, fore_name)), _keys)})
     rows = rows.withColumn("_m", F.transform("_a", mask))
     none = F.struct(F.lit(0).alias("some"), F.lit(0).alias("several"))
     seen = F.aggregate("_m", none, lambda s, m: F.struct(s["some"].bitwiseOR(m).alias("some"), s["several"].bitwiseOR(s["some"].bitwiseAND(m)).alias("several")))

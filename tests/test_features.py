@@ -1,13 +1,17 @@
 """Hand-made persons and articles, one per rule."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from namesake.functions import strings
 from namesake.operators import feedback, identity_features, target
+from namesake.operators.order import written
 from namesake.params import Params, degree_year_score
+from namesake.plans.catalogue import _resolved
+from namesake.plans.fixtures import Tables
 
 AUTHORS = "array<struct<first_name:string,last_name:string,initials:string,affiliation:string,orcid:string,fore_name:string>>"
 
@@ -163,3 +167,24 @@ def test_strings(spark):
     assert tuple(got) == ("oneilroy", "oneil roy", "0000-0001", "a", "b.edu", "harbor|northfield|medical|new", 2003, "'=1+1", "med.edu", "Smith")
     bounds = spark.createDataFrame([(0, 0), (100, 0), (0, 100), (4, 1)], "a int, r int").select(strings.wilson_clipped(c("a"), c("r")).alias("w"), strings.wilson(c("a"), c("r")).alias("v")).collect()
     assert bounds[0].w == 0.5 and bounds[0].v == 0.0 and bounds[1].w > 0.95 and bounds[2].w < 0.05 and 0.3 < bounds[3].w < 0.5
+
+
+def test_facts_of_feedback_are_exchanged_once(spark):
+    """By person, dimension and value; then only the sums of person and article move, and meet the rows that ask for them."""
+    cand = written(_resolved(Tables(spark, "/root/testdata/sf0.001")))
+    plan = feedback.feedback_features(cand)._jdf.queryExecution().executedPlan().toString()
+    by = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    facts = [keys for keys in by if "dim#" in keys]
+    assert len(facts) == 1 and "value#" in facts[0] and len(by) <= 4
+
+
+def test_author_keys_of_odd_names(spark):
+    """Names of white space, of marks alone, with several words or none: the same author by both forms of the cascade."""
+    names = ["", " ", "-", "Mary Ann", " Mary", "J.-P.", "- x", "Li", "O'Neil Jo", None]
+    author = lambda n: (n, "Stone", "JP", "", "", n)
+    data = [(f"p{i}", i, p, "Stone", m, "", [author(n) for n in names if n != p] + [author(p)]) for i, (p, m) in enumerate((p, m) for p in names if p is not None for m in ("", "Ann"))]
+    cand = spark.createDataFrame(data, f"person_id string, pmid long, first_name string, last_name string, middle_name string, primary_email string, authors {AUTHORS}")
+    for whole in (False, True):
+        rows = {r.pmid: r.target_author_index for r in target.resolve_target_author(cand, whole).collect()}
+        assert rows == {r.pmid: r.target_author_index for r in target.resolve_by_groups(cand, whole).collect()}
+        assert len(rows) == len(data) and any(v >= 0 for v in rows.values())
