@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import guard_cell, normalize_orcid, wilson
-from .order import quantile
+from .order import quantile, written
 
 ARTICLE_LINK = "https://pubmed.ncbi.nlm.nih.gov/"
 
@@ -26,9 +26,12 @@ def infer_orcids(score: DataFrame, resolved: DataFrame, curation: DataFrame | No
 
     resolved: candidates with target. An article counts for or against by its decision (others are left out), or
     without `curation` by its score. Most accepted wins, then fewest rejected, then the smaller id.
+
+    The candidates' ids are kept in the checkpoint folder before they are filtered: the optimizer would put the whole cascade
+    that finds the author in place of each mention of the id in a condition, and run out of the driver's memory.
     """
-    rows = best_model(score).join(resolved.select("person_id", "pmid", "first_name", "last_name", F.col("orcid").alias("identity_orcid"), normalize_orcid(F.coalesce("target.orcid", F.lit(""))).alias("id")), ["person_id", "pmid"])
-    rows = rows.filter(F.length("id") >= 10)
+    ids = written(resolved.select("person_id", "pmid", "first_name", "last_name", F.col("orcid").alias("identity_orcid"), normalize_orcid(F.coalesce("target.orcid", F.lit(""))).alias("id")))
+    rows = best_model(score).join(ids.filter(F.length("id") >= 10), ["person_id", "pmid"])
     if curation is None:
         yes = F.col("calibrated_score") >= threshold
     else:
