@@ -15,6 +15,12 @@ def half_even(c: Column, places: int) -> Column:
     return F.bround(c, places)
 
 
+def percent(c: Column, places: int) -> Column:
+    """A share in per cent, rounded half-even as the decimal that it stands for: as a double, 0.0145 * 100 is over 1.45."""
+    exact = F.bround(c.try_cast("decimal(20,12)") * F.lit(100).cast("decimal(3,0)"), places).cast("double")
+    return F.coalesce(exact, half_even(c * 100, places))
+
+
 def best_model(score: DataFrame) -> DataFrame:
     """Of each person the scores of the model with feedback, if there are any, else the others."""
     full = F.max((F.col("model_type") == "feedbackIdentity").cast("int")).over(Window.partitionBy("person_id"))
@@ -209,7 +215,7 @@ def score_export(score: DataFrame, article: DataFrame, identity: DataFrame, pers
     """Scores in per cent to one place, from the threshold on as rounded, with names and link; text is guarded."""
     rows = score if person is None else score.filter(F.col("person_id") == person)
     rows = rows.join(article.select("pmid", "journal", "pub_year"), "pmid").join(identity.select("person_id", "first_name", "last_name"), "person_id")
-    rows = rows.withColumn("score", half_even(F.col("calibrated_score") * 100, 1)).filter(F.col("score") >= threshold)
+    rows = rows.withColumn("score", percent(F.col("calibrated_score"), 1)).filter(F.col("score") >= threshold)
     link = F.concat(F.lit(ARTICLE_LINK), F.col("pmid").cast("string"), F.lit("/"))
     text = [guard_cell(F.col(c)).alias(c) for c in ("person_id", "first_name", "last_name")]
     return rows.select(*text, "pmid", guard_cell(F.col("journal")).alias("journal"), "pub_year", "model_type", "score", link.alias("link")).orderBy("person_id", F.desc("score"), "pmid")
