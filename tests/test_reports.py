@@ -17,3 +17,11 @@ def test_shares_are_rounded_as_decimals(spark):
     rows = spark.createDataFrame([(0.0145,), (0.0165,), (0.0225,), (7250 / 500000,), (None,)], "c double")
     got = [r[0] for r in rows.select(reports.percent(F.col("c"), 1)).collect()]
     assert got == [1.4, 1.6, 2.2, 1.4, None]
+
+
+def test_size_of_author_lists_before_the_window(spark):
+    """Counting a person's candidates sorts no lists of authors."""
+    plan = entry.queries()["article_author_count"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    window = next(line for line in plan.splitlines() if "Window [count" in line)
+    above = plan[: plan.index(window)]
+    assert "size(authors" not in above
