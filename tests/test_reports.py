@@ -19,6 +19,13 @@ def test_shares_are_rounded_as_decimals(spark):
     assert got == [1.4, 1.6, 2.2, 1.4, None]
 
 
+def test_name_features_read_kept_rows(spark):
+    """The rows are read for their distinct names as well: the cascade that finds the author isn't run again for these."""
+    for name in ("derived_identity", "derived_lookups"):
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan
+
+
 def test_size_of_author_lists_before_the_window(spark):
     """Counting a person's candidates sorts no lists of authors."""
     plan = entry.queries()["article_author_count"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
