@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import map_texts, materialize, number_within, salts_for
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 1_200_000
+CACHE = 300_000
 #: Chunks of more characters are encoded each time they come.
 LONGEST = 64
 #: An ASCII mark behind a letter or a number and before white space: the tokenizer takes it by itself.

@@ -114,3 +114,8 @@ def test_long_chunks_and_an_empty_table(spark):
     assert counter.count([long, None, "", long + " a"]) == [1 + 2500, 0, 0, 1 + 2500 + 1] and all(len(k) <= 64 for k in counter.cache)
     frame = spark.createDataFrame([(1, "a b", 5)], "doc_id long, text string, n_tokens int")
     assert token_counts.count_tokens(frame).columns == ["doc_id", "n_tokens"] and token_counts.count_tokens(frame.limit(0)).count() == 0
+
+
+def test_an_encoder_keeps_few_chunks():
+    """Some 200 bytes a chunk: each worker's table stays small beside the other stages of the pipeline."""
+    assert packing.CACHE * 200 <= 64_000_000
