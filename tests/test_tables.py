@@ -223,3 +223,19 @@ def test_update_stream(spark, tmp_path):
     article(3, "Lee")
     run()
     assert sorted(got) == [1, 3]
+
+
+@pytest.mark.parametrize("policy", ["overwrite", "keep"])
+def test_merges_exchange_and_sort_once(spark, policy):
+    """One sort holds both sides' rows, in parts whose number doesn't fall where the rows compress well."""
+    old = spark.createDataFrame([("a", 1, 1.0, "x"), (None, 2, 2.0, "y")], "k string, n long, v double, kept string")
+    new = spark.createDataFrame([("a", 1, 3.0, 1), ("a", 1, 4.0, 2), (None, 2, 5.0, 1), ("b", 3, 6.0, 1)], "k string, n long, v double, at int")
+    merged = tables.merge(old, new, ["k", "n"], policy, "at")
+    want = {
+        "overwrite": [("a", 1, 4.0, "x"), ("b", 3, 6.0, None), (None, 2, 2.0, "y"), (None, 2, 5.0, None)],
+        "keep": [("a", 1, 1.0, "x"), ("b", 3, 6.0, None), (None, 2, 2.0, "y"), (None, 2, 5.0, None)],
+    }
+    assert sorted(map(tuple, merged.collect()), key=str) == sorted(want[policy], key=str)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("Initial Plan")[-1]
+    assert "Join" not in plan and plan.count("Sort [") == 1 and plan.count("REPARTITION_BY_NUM") == 1
