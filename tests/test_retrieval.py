@@ -1,5 +1,6 @@
 """Retrieval by name at the production thresholds, and each of its branches at small ones, against SQL."""
 
+import datetime
 from collections import Counter
 
 import duckdb
@@ -68,3 +69,20 @@ def test_repeated_articles_and_missing_names(spark):
     assert pairs(retrieve.retrieve(people, articles, links)) == [("p", 2), ("q", 2)]
     assert retrieve.retrieve(people, articles, links, mode="score_only").columns == ["person_id", "pmid", "source"]
     assert retrieve.retrieve(people, articles.limit(0), links).count() == 0
+
+
+def test_pairs_found_twice(spark):
+    """A pair that comes by name and by ORCID is given once, also where only one of the days lets it through; pairs are
+    not exchanged again once they are made."""
+    author = "array<struct<first_name:string,last_name:string,orcid:string>>"
+    bob = ("Bob", "Lee", "1")
+    day = lambda n: datetime.date(2000, 1, n)
+    articles = spark.createDataFrame([(1, day(5), None, [bob]), (1, day(9), None, [bob]), (2, day(5), day(2), [bob, ("Bob", "Lee", "")]), (3, None, day(5), [("Al", "Ox", "1")])], f"pmid long, entry_date date, pub_date date, authors {author}")
+    people = spark.createDataFrame([("p", "Bob", "Lee", "1"), ("q", "B", "Lee", "1"), ("r", "Bob", "Lee", ""), ("p", "Bob", "Lee", "1")], "person_id string, first_name string, last_name string, orcid string")
+    links = spark.createDataFrame([("q", 2), ("r", 3), ("r", 2)], "person_id string, pmid long")
+    found = retrieve.retrieve(people, articles, links)
+    pairs = lambda df: sorted((r.person_id, r.pmid) for r in df.collect())
+    assert pairs(found) == [("p", 1), ("p", 2), ("p", 3), ("q", 1), ("q", 3), ("r", 1)]
+    assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
+    log = spark.createDataFrame([("p", day(6), day(1)), ("q", None, day(9)), ("r", day(10), None)], "person_id string, last_retrieval_date date, last_orcid_retrieval_date date")
+    assert pairs(retrieve.retrieve(people, articles, links, log, "update")) == [("p", 1), ("p", 2), ("p", 3), ("q", 1)]
