@@ -1,12 +1,13 @@
 """Hand-made persons and articles, one per rule."""
 
+import math
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from namesake.functions import strings
+from namesake.functions import numbers, strings
 from namesake.operators import feedback, identity_features, target
 from namesake.operators.order import written
 from namesake.params import Params, degree_year_score
@@ -188,3 +189,22 @@ def test_author_keys_of_odd_names(spark):
         rows = {r.pmid: r.target_author_index for r in target.resolve_target_author(cand, whole).collect()}
         assert rows == {r.pmid: r.target_author_index for r in target.resolve_by_groups(cand, whole).collect()}
         assert len(rows) == len(data) and any(v >= 0 for v in rows.values())
+
+
+def test_mirrored_scores_cancel_as_in_c(spark):
+    """One accepted and four rejected against four and one, and others: by the C library the sums of some are 5e-17, by Java's exp 0."""
+    def own(a, r):
+        return 1 / (1 + math.exp(-(a - r) / (math.sqrt(a + r) + 1))) - 0.5
+
+    pairs = [(a, r) for a in range(13) for r in range(a)]
+    rows = spark.createDataFrame(pairs, "a long, r long")
+    got = rows.select("a", "r", feedback.sigmoid(F.col("a"), F.col("r")).alias("x"), feedback.sigmoid(F.col("r"), F.col("a")).alias("y")).collect()
+    assert {(g.a, g.r): (g.x, g.y) for g in got} == {(a, r): (own(a, r), own(r, a)) for a, r in pairs}
+    one = next(g for g in got if (g.a, g.r) == (4, 1))
+    assert one.x + one.y != 0
+
+
+def test_exp(spark):
+    values = [-750.0, -700.0, -699.9, -3.7, -1.0, -1e-300, 0.0, 0.3, 1.0, 2.5, 690.0, 800.0]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", numbers.exp(F.col("v")).alias("e")).collect()
+    assert all(g.e == (math.exp(g.v) if g.v < 700 else math.inf) or abs(g.e / math.exp(g.v) - 1) < 3e-16 for g in got)
