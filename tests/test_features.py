@@ -3,13 +3,14 @@
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from namesake.functions import numbers, strings
 from namesake.operators import feedback, identity_features, target
-from namesake.operators.order import written
+from namesake.operators.order import CLEANUP, written
 from namesake.params import Params, degree_year_score
 from namesake.plans.catalogue import _resolved
 from namesake.plans.fixtures import Tables
@@ -208,3 +209,35 @@ def test_exp(spark):
     values = [-750.0, -700.0, -699.9, -3.7, -1.0, -1e-300, 0.0, 0.3, 1.0, 2.5, 690.0, 800.0]
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", numbers.exp(F.col("v")).alias("e")).collect()
     assert all(g.e == (math.exp(g.v) if g.v < 700 else math.inf) or abs(g.e / math.exp(g.v) - 1) < 3e-16 for g in got)
+
+
+def test_facts_that_no_decision_shares_stay_behind(spark):
+    """Only shared facts go on to the articles, as rows of one value each, and give the scores that all of them gave."""
+    cand = written(feedback.needed(_resolved(Tables(spark, "/root/testdata/sf0.001"))))
+    got = feedback.feedback_features(cand)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "REPARTITION" in line]
+    assert len(sent) == 2 and not any("sum" in line for line in sent)
+    facts = feedback.evidence(cand).select("person_id", "pmid", "dim", "value", "assertion").collect()
+    marks = {}
+    for f in facts:
+        marks.setdefault((f.person_id, f.dim, f.value), []).append((f.pmid, f.assertion))
+    shared = {(f.person_id, f.pmid) for f in facts if f.dim == "Journal" and any(a and p != f.pmid for p, a in marks[f.person_id, f.dim, f.value])}
+    decided = {f.person_id for f in facts if f.assertion == "ACCEPTED"}
+    for r in got.collect():
+        if r.person_id in decided and (r.person_id, r.pmid) not in shared:
+            assert r.feedbackScoreJournal < 0
+
+
+def test_written_frees_what_was_shuffled(spark):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (found.apply(i).getName() for i in range(found.size())) if f.startswith("shuffle_")}
+
+    before = files()
+    rows = written(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    end = time.time() + 10
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(CLEANUP) == "false"
+    assert rows.count() == 7
