@@ -241,3 +241,19 @@ def test_written_frees_what_was_shuffled(spark):
         time.sleep(0.1)
     assert not files() - before and spark.conf.get(CLEANUP) == "false"
     assert rows.count() == 7
+
+
+def test_sums_do_not_depend_on_the_order(spark):
+    """Scores that cancel but for 5e-17, of which orders that pass .5 lose the rest: one article against its fellows' keywords."""
+    wanted = {"a": (1, 0), "b": (1, 0), "c": (1, 0), "d": (2, 0), "e": (0, 1), "f": (0, 1), "g": (0, 1), "h": (0, 2)}
+    data = [("p", 0, "", list(wanted))]
+    for k, (yes, no) in wanted.items():
+        data += [("p", len(data) + i, mark, [k]) for i, mark in enumerate(["ACCEPTED"] * yes + ["REJECTED"] * no)]
+    got = []
+    for order in (list(wanted), list(wanted)[::-1], list("aebfcgdh")):
+        rows = spark.createDataFrame([("p", 0, "", order), *data[1:]], "person_id string, pmid long, assertion string, keywords array<string>")
+        author = F.struct(*[F.lit("").alias(c) for c in ("first_name", "last_name", "orcid", "affiliation")])
+        cand = rows.select("*", F.array().cast(AUTHORS).alias("authors"), author.alias("target"), F.lit(-1).alias("target_author_index"), F.lit("").alias("journal"), F.lit(0).alias("pub_year"), F.lit("x").alias("department"))
+        got.append(feedback.feedback_features(cand, dims=["Keyword"]).filter("pmid = 0").first().feedbackScoreKeyword)
+    score = lambda a, r: 1 / (1 + math.exp(-(a - r) / (math.sqrt(a + r) + 1))) - 0.5
+    assert set(got) == {math.fsum(score(*v) for v in wanted.values())} and got[0] != 0
